@@ -24,4 +24,29 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
 """
 
-SQL = {"op2_minhash": OP2}
+OP8 = rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text,''), {ABC}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents),
+iw AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text,''), {ABC}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM benchmark),
+it AS (SELECT item_id, ws, least(10, len(ws)) AS l FROM iw WHERE len(ws) > 0),
+win AS (
+  SELECT DISTINCT item_id, l, unnest(list_transform(range(1, len(ws) - l + 2), lambda i: array_to_string(ws[i:i+l-1], ' '))) AS win FROM it),
+ls AS (SELECT DISTINCT l FROM it),
+dw AS (
+  SELECT doc_id, l, unnest(range(1, len(ws) - l + 2)) AS p,
+    unnest(list_transform(range(1, len(ws) - l + 2), lambda i: array_to_string(ws[i:i+l-1], ' '))) AS win
+  FROM w, ls WHERE len(ws) >= l),
+m AS (SELECT doc_id, p, dw.l, item_id FROM dw JOIN win ON dw.l = win.l AND dw.win = win.win),
+h AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM m) GROUP BY 1),
+i AS (
+  SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+SQL = {"op2_minhash": OP2, "op8_decontaminate": OP8}
