@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, toxicity
+from . import decontaminate, minhash, tokens, toxicity
 from .sql import SQL
 
 
@@ -28,6 +28,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("held_out", held_out)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
