@@ -49,4 +49,49 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-SQL = {"op2_minhash": OP2, "op8_decontaminate": OP8}
+_FILL = """,
+b{i} AS (
+  SELECT source, digest FROM (
+    SELECT d.source, d.digest, row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.digest DESC) AS r
+    FROM x d JOIN m{h} ON m{h}.source IS NOT DISTINCT FROM d.source
+    WHERE NOT d.extra AND d.size > 0 AND d.size <= m{h}.missing {anti})
+  WHERE r = 1),
+m{i} AS (
+  SELECT m.source, m.missing - coalesce((SELECT max(x.size) FROM x JOIN b{i} USING (digest) WHERE x.source IS NOT DISTINCT FROM m.source), 0) AS missing
+  FROM m{h} m)"""
+
+OP10 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest,
+    len(list_filter(string_split_regex(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda q: q <> ''))::BIGINT AS size
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT source, source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM s),
+c(capped, step) AS (
+  SELECT []::VARCHAR[], 0
+  UNION ALL
+  SELECT list_sort((SELECT list(coalesce('s' || source, 'n')) FROM w WHERE list_contains(c.capped, coalesce('s' || source, 'n')) OR
+    3 * source_size * (SELECT sum(weight) FROM w WHERE NOT list_contains(c.capped, coalesce('s' || source, 'n')))
+    <= weight * ((SELECT sum(source_size) FROM w) - (SELECT coalesce(sum(3 * source_size), 0) FROM w WHERE list_contains(c.capped, coalesce('s' || source, 'n')))))), step + 1
+  FROM c WHERE step < (SELECT count(*) FROM w)),
+k AS (SELECT coalesce(capped, []) AS capped FROM c ORDER BY step DESC LIMIT 1),
+t AS (
+  SELECT source, source_size, CASE WHEN list_contains(k.capped, coalesce('s' || source, 'n')) THEN (3 * source_size)::DOUBLE
+    ELSE weight * ((SELECT sum(source_size) FROM w) - (SELECT coalesce(sum(3 * source_size), 0) FROM w WHERE list_contains(k.capped, coalesce('s' || source, 'n'))))::DOUBLE
+      / (SELECT sum(weight) FROM w WHERE NOT list_contains(k.capped, coalesce('s' || source, 'n')))::DOUBLE END AS target
+  FROM w, k),
+o AS (
+  SELECT d.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS full_,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY digest) - size)::BIGINT AS c
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (
+  SELECT *, round(target - full_ * source_size)::BIGINT AS gap, size > 0 AND c + size <= round(target - full_ * source_size) AS extra FROM o),
+m0 AS (SELECT source, max(gap) - sum(CASE WHEN extra THEN size ELSE 0 END) AS missing FROM x GROUP BY 1)""" + "".join(
+    _FILL.format(i=i, h=i - 1, anti="".join(f" AND d.digest NOT IN (SELECT digest FROM b{{j}})".format(j=j) for j in range(1, i))) for i in (1, 2, 3)
+) + """
+SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE
+  size * (full_ + CASE WHEN extra OR digest IN (SELECT digest FROM b1 UNION SELECT digest FROM b2 UNION SELECT digest FROM b3) THEN 1 ELSE 0 END) END)::BIGINT AS taken
+FROM x
+"""
+
+SQL = {"op2_minhash": OP2, "op8_decontaminate": OP8, "op10_mixing": OP10}
