@@ -94,4 +94,34 @@ SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE
 FROM x
 """
 
-SQL = {"op2_minhash": OP2, "op8_decontaminate": OP8, "op10_mixing": OP10}
+OP1 = rf"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {ABC}) AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r(host, path, rule, verdict) AS (VALUES
+  ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'), ('net', '/de/', 'net/de/', 'allow'),
+  ('example.net', '/de/8', 'example.net/de/8', 'block'), ('org', '/es/', 'org/es/', 'block')),
+f AS (
+  SELECT u.*, (SELECT arg_max(r.rule, length(r.rule)) FROM r
+    WHERE (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)) AS rule
+  FROM u)
+SELECT page_id, f.host, f.path, f.rule, coalesce(r.verdict, CASE WHEN list_has_any(string_split_regex(f.host, '[^0-9a-z]+'),
+  ['adult','ads','bets','betting','casino','escort','gambling','lottery','pills','poker','porn','spam','viagra','xxx']) THEN 'block' ELSE 'allow' END) AS verdict
+FROM f LEFT JOIN r ON f.rule = r.rule
+"""
+
+_BITS = "', '".join(f"{i:04b}" for i in range(16))
+OP4 = rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body) AS n, sha1(body) AS x, max(page_id) OVER (PARTITION BY sha1(body)) AS keeper FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda j: ['{_BITS}'][strpos('0123456789abcdef', substr(x, j::INT, 1))]), '') AS bits FROM h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * substr(bits, (1 + 5 * i)::INT, 1)::INT + 8 * substr(bits, (2 + 5 * i)::INT, 1)::INT + 4 * substr(bits, (3 + 5 * i)::INT, 1)::INT
+    + 2 * substr(bits, (4 + 5 * i)::INT, 1)::INT + substr(bits, (5 + 5 * i)::INT, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM b
+"""
+
+SQL = {"op1_url_filter": OP1, "op2_minhash": OP2, "op4_warc": OP4, "op8_decontaminate": OP8, "op10_mixing": OP10}
