@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, minhash, mixing, quality, tokens, toxicity, urlfilter, warc
@@ -27,13 +27,17 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def held_out() -> Column:
+    """Rows that a model never learns from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    model = toxicity.fit(docs, _read(spark, sf_dir, "labels").where(~held_out))
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels").where(~held_out()))
     return toxicity.score(docs.select("doc_id", "text"), model).select(
         "row.doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    ).withColumn("held_out", held_out)
+    ).withColumn("held_out", held_out())
 
 
 def tokenizer_path() -> str:
