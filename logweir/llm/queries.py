@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, quality, tokens, toxicity, urlfilter, warc
+from . import decontaminate, licenses, minhash, mixing, quality, tokens, toxicity, urlfilter, warc
 from .sql import SQL
 
 
@@ -23,6 +23,13 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).select(
+        "row.doc_id", F.size("matches").alias("n_matches"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["common"].cast("string"))), ",").alias("licenses"),
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

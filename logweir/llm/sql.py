@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from .licenses import TEMPLATES
+
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
 
 OP2 = rf"""
@@ -124,4 +126,21 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM b
 """
 
-SQL = {"op1_url_filter": OP1, "op2_minhash": OP2, "op4_warc": OP4, "op8_decontaminate": OP8, "op10_mixing": OP10}
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+_RUNS = "unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) END) AS sh"
+OP3 = rf"""
+WITH t(license, text) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT license, list_filter(string_split_regex(translate(text, {ABC}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM t),
+ts AS (SELECT license, {_RUNS} FROM tw),
+tn AS (SELECT license, count(*) AS need FROM ts GROUP BY 1),
+w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text,''), {ABC}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (SELECT doc_id, {_RUNS} FROM w),
+m AS (SELECT doc_id, license, count(*) AS common FROM s JOIN ts USING (sh) GROUP BY 1, 2),
+k AS (SELECT doc_id, license, common FROM m JOIN tn USING (license) WHERE common >= ceil(0.8 * need)),
+g AS (SELECT doc_id, count(*) AS n, string_agg(license || ':' || common, ',' ORDER BY license) AS l FROM k GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::INT AS n_matches, coalesce(l, '') AS licenses FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+SQL = {"op1_url_filter": OP1, "op2_minhash": OP2, "op3_licenses": OP3, "op4_warc": OP4, "op8_decontaminate": OP8, "op10_mixing": OP10}
