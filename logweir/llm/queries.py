@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, minhash, mixing, quality, tokens, toxicity, urlfilter, warc
+from . import decontaminate, licenses, minhash, mixing, pii, quality, tokens, toxicity, urlfilter, warc
 from .sql import SQL
 
 
@@ -53,6 +53,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return pii.entities(_read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row.doc_id", *map(of, pii.KINDS[:4]), F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans")
+    )
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path())
 
