@@ -122,26 +122,24 @@ def shingle_set(text: str | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """Smallest reachable id of every id in ``edges``: columns ``id``, ``component_id``.
 
-    Min-label propagation with pointer jumping; each round is an aggregate and two joins, written to
-    shared storage.  A round that changes no label ends it, so chains of n links take O(log n) rounds.
+    Contraction: every vertex points at its least neighbour or itself, edges move to what their ends point at,
+    and those that close are gone, so each round works on what the last one left.  "Least" is by id at
+    first, which closes stars around their smallest member at once, then by a hash, which makes
+    chains shrink by a constant factor a round.  Each round is written to shared storage.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    both = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialize(
-        both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")), "labels"
-    )
-    while True:
-        near = (
-            both.join(labels.withColumnsRenamed({"id": "v", "label": "lv"}), "v")
-            .groupBy(F.col("u").alias("id"))
-            .agg(F.min("lv").alias("m"))
+    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
+    e = materialize(e, "edges")
+    of = materialize(e.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("label", F.col("id")), "labels")
+    rounds = 0
+    while e.limit(1).count():
+        rank = (lambda c: F.struct(F.lit(0).cast("long").alias("h"), F.col(c).alias("id"))) if not rounds else (lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")))
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        to = materialize(both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least(rank("u"), "m")["id"].alias("p")), "pointers")
+        moved = e.join(to, "u").select("v", F.col("p").alias("x")).join(to.select(F.col("u").alias("v"), F.col("p").alias("y")), "v")
+        e = materialize(moved.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "edges")
+        of = materialize(
+            of.join(to.select(F.col("u").alias("label"), "p"), "label", "left").select("id", F.coalesce("p", "label").alias("label")), "labels"
         )
-        step = labels.join(near, "id").select("id", "label", F.least("label", "m").alias("to"))
-        jump = labels.select(F.col("id").alias("to"), F.col("label").alias("far"))
-        new = materialize(
-            step.join(jump, "to", "left").select("id", F.col("label").alias("old"), F.least("to", "far").alias("label")), "labels"
-        )
-        changed = new.where("old <> label").limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component_id")
+        rounds += 1
+    least = of.groupBy("label").agg(F.min("id").alias("component_id"))
+    return of.join(least, "label").select("id", "component_id")
