@@ -28,7 +28,7 @@ def list_files(
     """``path, name, size, modified, is_large`` of the files below ``root``.
 
     ``include``/``exclude`` are globs on file names; an exclude without wildcards also names directories that are left
-    out (with ``directory_globs`` any exclude does).  Contents aren't read.
+    out (with ``directory_globs`` any exclude does).  Contents aren't read; Spark's listing leaves out files of size 0.
     """
     include, exclude = INCLUDE if include is None else include, EXCLUDE if exclude is None else exclude
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
