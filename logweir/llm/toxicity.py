@@ -97,9 +97,13 @@ class Model:
     curve: tuple[float, float, float] | None = None
     base: float = 0.0
 
+    def level(self, n: int) -> float:
+        """ln(K n): what chance reaches in ``n`` words; short texts get no bonus for being short."""
+        return math.log(max(self.k * n, 1.0))
+
     def evidence(self, found: list[tuple[int, int, float]], n: int) -> tuple[float, float]:
         """Significance of the best segment, and the sum over the significant ones."""
-        level = math.log(self.k * max(n, 1))
+        level = self.level(n)
         all_of = [self.rate * s - level for _, _, s in found]
         return max([-level, *all_of]), math.log1p(sum(x for x in all_of if x > 0))
 
@@ -254,7 +258,7 @@ def _score(model: Model):
                 words = words_of(text.as_py())
                 s = np.fromiter(map(table.__getitem__, words), float, len(words))
                 found = segments(s)
-                level = math.log(model.k * max(len(words), 1))
+                level = model.level(len(words))
                 shown = [(p, q, model.rate * x - level) for p, q, x in found if model.rate * x - level >= SIGNIFICANT]
                 score.append(model.probability(found, len(words)))
                 start.append([p for p, _, _ in shown]), end.append([q for _, q, _ in shown]), strength.append([x for _, _, x in shown])
