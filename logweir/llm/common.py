@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import json
 import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space that separates words, as a Java/RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -56,6 +58,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a constant of the plan, without Python workers; ``schema`` is DDL."""
+    kind = StructType.fromDDL(schema)
+    text = json.dumps([dict(zip(kind.names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<{kind.simpleString()}>")))
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Collect a table whose size is proven: more than ``most`` rows is an error, never a cut."""
     rows = df.limit(most + 1).collect()

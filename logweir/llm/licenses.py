@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import constant_table, materialize
 
 WINDOW, STEP, SHINGLE, BANDS, CONTAINED = 16, 8, 3, 4, 0.8
 #: Templates of a block (its index is a constant of the plan, some kilobytes a template).
@@ -78,7 +78,7 @@ def with_bands(df: DataFrame, step: int, per: int, bands: int) -> DataFrame:
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES.items()), "license string, text string")
+    return constant_table(spark, list(TEMPLATES.items()), "license string, text string")
 
 
 def _array(values: list[int]) -> str:

@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import constant_table
+
 ALLOW, BLOCK = "allow", "block"
 #: Up to this many rules the index is broadcast (a rule is some hundred bytes); beyond it's a shuffled join.
 BROADCAST_RULES = 50_000
@@ -79,12 +81,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = ALLO
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "html"]).alias("row"), host.alias("host"), path.alias("path"))
     sites = rows.select("host", "path").distinct()
     probes = sites.select("host", "path", F.explode(F.concat(tokens_of(F.col("host"), F.col("path")), F.array(F.lit("")))).alias("token"))
-    names = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})] or [("",)], "token string")
+    names = constant_table(spark, [(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
     small = len(rules) <= BROADCAST_RULES
     hint = F.broadcast if small else (lambda df: df)
     counts = {r.token: r["count"] for r in probes.join(hint(names), "token").groupBy("token").count().collect()}
-    index = spark.createDataFrame(
-        [(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=""), r.name, r.verdict, r.regex, r.site, len(r.name)) for r in rules],
+    index = constant_table(
+        spark, [(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=""), r.name, r.verdict, r.regex, r.site, len(r.name)) for r in rules],
         "token string, name string, says string, regex string, site boolean, length int",
     )
     # Site before pattern, longer before shorter, block before allow.
