@@ -11,6 +11,9 @@ templates shorter than that every shingle is a band of its own, so any common sh
 
 Verification is exact: the number of a template's distinct shingles that the whole text has, ``CONTAINED`` of them at least.
 
+A shared band needs a shared shingle, and a shared shingle its longest word: texts that have none of the templates' telling words
+(:func:`telling_words`) are not cut into windows at all, which loses nothing.
+
 The templates come in blocks of bounded size, each block's index is part of the plan, and a document is read,
 cut, probed and verified in one projection: nothing is shuffled, no group is gathered.
 
@@ -28,6 +31,7 @@ from .common import constant_table, materialize
 WINDOW, STEP, SHINGLE, BANDS, CONTAINED = 16, 8, 3, 4, 0.8
 #: Templates of a block (its index is a constant of the plan, some kilobytes a template).
 BLOCK_TEMPLATES = 64
+MAX_WORDS = 20_000
 
 # Opening lines and notices of common public licenses, as their projects publish them.
 TEMPLATES = {
@@ -44,23 +48,44 @@ TEMPLATES = {
 
 
 def words_of(text: Column) -> Column:
+    """Words, with empty strings where the text begins or ends with none."""
     lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    return F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def with_shingles(df: DataFrame, k: int) -> DataFrame:
+def with_shingles(df: DataFrame, k: int, near: list[str] | None = None) -> DataFrame:
     """Replace ``text`` by ``shingles``, the hashes of its runs of ``k`` words; fewer words make one run, none none.
 
+    With ``near`` only texts that have one of those words are cut; the others have no shingles.
     ``words`` is a column of its own that is used more than once, so the optimizer keeps it out of the
     function that runs for every word.
     """
     rest = [c for c in df.columns if c != "text"]
-    words = df.select(*rest, words_of(F.col("text")).alias("words"))
+    raw = df.select(*rest, words_of(F.col("text")).alias("raw"))
+    worth = F.lit(True) if near is None else F.arrays_overlap("raw", F.split(F.lit(" ".join(near)), " "))
+    none = F.array().cast("array<string>")
+    words = raw.select(*rest, F.when(worth & (F.size("raw") > 0), F.filter("raw", lambda w: w != "")).otherwise(none).alias("words"))
     n = F.size("words")
     runs = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice("words", i, F.least(F.lit(k), n))))
     return words.select(*rest, F.when(n == 0, F.array().cast("array<long>")).when(n < k, F.array(F.xxhash64("words"))).otherwise(runs).alias("shingles"))
 
 
+def telling_words(templates: DataFrame, k: int) -> list[str] | None:
+    """The longest word of each run of ``k`` words: a text without any of them shares no shingle with a template.
+
+    None beyond :data:`MAX_WORDS` (then every text is cut).
+    """
+    words = templates.select(F.filter(words_of(F.col("text")), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    n = F.size("w")
+
+    def longest(i: Column) -> Column:
+        run = F.slice("w", i, F.least(F.lit(k), n))
+        return F.array_max(F.transform(run, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
+
+    rows = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), longest)).alias("x")).distinct().limit(MAX_WORDS + 1).collect()
+    return sorted(r.x for r in rows) if len(rows) <= MAX_WORDS else None
+
+
 def with_bands(df: DataFrame, step: int, per: int, bands: int) -> DataFrame:
     """Add ``bands``: the bands of the windows of ``per`` shingles at every ``step`` and of the last one."""
 
@@ -72,7 +97,8 @@ def with_bands(df: DataFrame, step: int, per: int, bands: int) -> DataFrame:
         return F.transform("starts", lambda i: F.xxhash64(F.lit(b), F.array_min(F.slice(own, i, F.least(F.lit(per), n)))))
 
     last = F.greatest(F.size("shingles") - per + 1, F.lit(1))
-    starts = F.concat(F.sequence(F.lit(1), last, F.lit(step)), F.array(last))
+    some, no_ints = F.size("shingles") > 0, F.array().cast("array<int>")
+    starts = F.when(some, F.concat(F.sequence(F.lit(1), last, F.lit(step)), F.array(last))).otherwise(no_ints)
     wide = df.select("*", starts.alias("starts"), *[seeded(b).alias(f"seeded{b}") for b in range(bands)])
     return wide.select(*df.columns, F.flatten(F.array(*[band(b) for b in range(bands)])).alias("bands"))
 
@@ -104,7 +130,8 @@ def _quoted(name: str) -> str:
 
 def _retrieved(known: Column, which: Column) -> Column:
     """Numbers of the templates that share a band with the text."""
-    return F.array_distinct(F.flatten(F.transform(F.array_intersect("bands", known), lambda b: which[b])))
+    hits = F.array_distinct(F.flatten(F.transform(F.array_intersect("bands", known), lambda b: which[b])))
+    return F.when(F.size("bands") > 0, hits).otherwise(F.array().cast("array<int>"))
 
 
 def _verified(numbers: Column, need: Column, contained: float) -> Column:
@@ -129,7 +156,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, window: int = WIND
     )
     blocks = max(1, -(-own.count() // BLOCK_TEMPLATES))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    out = with_bands(with_shingles(packed, shingle), step, per, bands)
+    near = telling_words(templates.where("license is not null"), shingle)
+    out = with_bands(with_shingles(packed, shingle, near), step, per, bands)
     out = out.select("row", "shingles", F.concat("shingles", "bands").alias("bands"))
     found = []
     for block in range(blocks):
