@@ -23,6 +23,8 @@ from __future__ import annotations
 import io
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -52,7 +54,7 @@ class Encoder(dict):
     after a letter or digit is a pre-token of its own too.  Anything else goes to the tokenizer whole.
     """
 
-    MOST = 500_000
+    MOST = 800_000
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -94,6 +96,15 @@ class Encoder(dict):
         return re.split(r" (?=\S)", text)
 
 
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder: a worker runs many tasks, and the words of one come again in the next."""
+    state = sys.modules.setdefault("_logweir_worker", types.ModuleType("_logweir_worker")).__dict__
+    known = state.setdefault("encoders", {})
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
+
+
 # --------------------------------------------------------------------------- files
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
@@ -107,7 +118,7 @@ ENTRY = T.StructType([
 
 def _write(path: str, out_dir: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stream, name, part = None, None, "", TaskContext.get().partitionId()
+        own, stream, name, part = None, None, "", TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         nulls: list[np.ndarray] = []
         counts: list[int] = []
@@ -116,7 +127,7 @@ def _write(path: str, out_dir: str, end_id: int, size: int):
             if not b.num_rows:
                 continue
             if stream is None:
-                encoder = Encoder(path)
+                own = encoder(path)
                 fs, folder = _open(out_dir)
                 fs.create_dir(folder, recursive=True)
                 name = f"shard-{part:06d}-{uuid.uuid4().hex}.tok"
@@ -124,7 +135,7 @@ def _write(path: str, out_dir: str, end_id: int, size: int):
                 stream.write(MAGIC + struct.pack("<I", size))
             offsets, n = [], []
             for text in b.column(1):
-                raw = encoder.encode(text.as_py() or "") + end
+                raw = own.encode(text.as_py() or "") + end
                 stream.write(raw if size == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes())
                 offsets.append(at), n.append(len(raw) // 4)
                 at += len(raw) // 4
