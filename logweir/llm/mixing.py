@@ -10,8 +10,10 @@ t + g (t^2 - t); a document that starts after the share u of its source's taken
 t with demand u, a root of a quadratic.
 
 Choice.  A source of size s and target T is taken floor(T / s) times whole; the rest goes to its documents
-in the order of a digest of id and text, as far as they fit, then ``FILLS`` times to the
-largest document that still fits the remaining gap.  Documents are taken whole, MOST times at most.
+in the order of a digest of id and text up to the first that doesn't fit, then ``FILLS`` times to the
+largest document that still fits the remaining gap, then in passes, again in the order of the digest, to the
+documents left that fit, until none does: what a source misses in the end is less than its smallest
+document left.  Documents are taken whole, MOST times at most.
 
 Running totals within a source use digest buckets (totals of buckets first, then within a bucket), so
 a hot source is spread over as many tasks as it has buckets.
@@ -29,6 +31,8 @@ from pyspark.sql.window import Window
 from .common import SPACE, materialize
 
 WEIGHTS, SLOPES, MOST, FILLS = (1, 2, 3), (-0.5, 0.0, 0.5), 3, 3
+#: Passes in the order of the digest alone; later ones take larger powers of two first, so that two passes a power end it.
+PLAIN = 8
 #: A source with more documents is cut into 4096 buckets, by three hex digits of the digest.
 PER_BUCKET = 2_000
 
@@ -106,32 +110,71 @@ def _mixed(base: DataFrame) -> DataFrame:
     rows = materialize(rows.withColumn("extra", (F.col("size") > 0) & (F.col("c") + F.col("size") <= F.col("gap"))), "chosen")
 
     # What is still missing goes to single documents: the largest that fits, ties by the order.
-    missing = rows.groupBy("source").agg((F.max("gap") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("missing"))
+    missing = rows.groupBy("source").agg(F.max("gap").alias("gap"), (F.max("gap") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("missing"))
+    free = rows.where(~F.col("extra") & (F.col("size") > 0)).select("source", "size", "bucket", "at", "digest")
     picked = None
     for _ in range(FILLS):
         missing = materialize(missing, "missing")
-        free = rows.where(~F.col("extra") & (F.col("size") > 0)).select("source", "size", "bucket", "at", "digest")
-        need = missing.select(F.col("source").alias("s"), "missing")
-        fits = free.join(need, F.col("source").eqNullSafe(F.col("s"))).where("size <= missing").drop("s")
-        if picked is not None:
-            gone = picked.select(F.col("source").alias("s"), F.col("bucket").alias("k"), F.col("at").alias("a"))
-            fits = fits.join(gone, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")) & (F.col("at") == F.col("a")), "left_anti")
-        best = materialize(
-            fits.groupBy("source").agg(F.max_by(F.struct("size", "bucket", "at"), F.struct("size", "digest")).alias("b")).select("source", "b.*"), "fill"
-        )
+        fits = _untaken(_fitting(free, missing), picked)
+        best = fits.groupBy("source").agg(F.max_by(F.struct("size", "bucket", "at"), F.struct("size", "digest")).alias("b"), F.max("lead").alias("lead"))
+        best = materialize(best.select("source", "b.*", "lead"), "fill")
         picked = best if picked is None else picked.unionByName(best)
-        took = best.select(F.col("source").alias("s"), "size")
-        missing = missing.join(took, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("missing") - F.coalesce("size", F.lit(0))).alias("missing"))
-    pick = picked.select(F.col("source").alias("s"), F.col("bucket").alias("k"), F.col("at").alias("a"), F.lit(True).alias("p"))
+        missing = _less(missing, best)
+    # Then to all that fit, pass by pass: a document too long for the gap leaves the running total.
+    free, turn = _untaken(free, picked), 0
+    while True:
+        missing = materialize(missing, "missing")
+        fits = materialize(_fitting(free, missing), "fitting")
+        if fits.isEmpty():
+            break
+        dealt = materialize(_pass(fits, turn >= PLAIN), "pass")
+        best = dealt.where("chosen").select("source", "size", "bucket", "at", "lead")
+        picked = picked.unionByName(best)
+        free, missing, turn = dealt.where(~F.col("chosen")).select(*free.columns), _less(missing, best), turn + 1
+    pick = picked.select(F.col("source").alias("s"), F.col("bucket").alias("k"), F.col("at").alias("a"), "lead", F.lit(True).alias("p"))
     rows = rows.join(pick, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")) & (F.col("at") == F.col("a")), "left")
     once = F.col("extra") | F.coalesce("p", F.lit(False))
     times = F.when(F.col("size") > 0, F.col("full") + once.cast("int")).otherwise(F.lit(0)).cast("int")
-    # Epoch e of a document starts after e whole passes and the documents before it.
-    start = lambda e: F.least(F.lit(1.0), (e * F.col("source_size") + F.col("c")) / F.greatest(F.col("target"), F.lit(1.0)))
+    # Epoch e of a document starts after e whole passes and the documents before it; the last one of a picked document after those taken before it.
+    ahead = lambda e: F.when(e == F.col("full"), F.coalesce("lead", "c")).otherwise(F.col("c"))
+    start = lambda e: F.least(F.lit(1.0), (e * F.col("source_size") + ahead(e)) / F.greatest(F.col("target"), F.lit(1.0)))
     epochs = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
     return rows.select("doc_id", "source", "mark", "size", "source_size", "target", F.transform(epochs, lambda e: position(start(e), F.col("slope"))).alias("positions"))
 
 
+def _fitting(free: DataFrame, missing: DataFrame) -> DataFrame:
+    """Documents no longer than what their source misses; ``lead``: words of the last pass taken so far."""
+    need = missing.select(F.col("source").alias("s"), "missing", (F.col("gap") - F.col("missing")).alias("lead"))
+    return free.join(need, F.col("source").eqNullSafe(F.col("s"))).where("size <= missing").drop("s")
+
+
+def _untaken(free: DataFrame, picked: DataFrame | None) -> DataFrame:
+    if picked is None:
+        return free
+    gone = picked.select(F.col("source").alias("s"), F.col("bucket").alias("k"), F.col("at").alias("a"))
+    return free.join(gone, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")) & (F.col("at") == F.col("a")), "left_anti")
+
+
+def _less(missing: DataFrame, best: DataFrame) -> DataFrame:
+    took = best.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("took"))
+    return missing.join(took, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "gap", (F.col("missing") - F.coalesce("took", F.lit(0))).alias("missing"))
+
+
+def _pass(fits: DataFrame, by_size: bool) -> DataFrame:
+    """``fits`` with ``chosen``, the documents that fit together, in order; ``lead`` moves on by those before."""
+    power = F.lpad((F.lit(99) - F.length(F.bin("size"))).cast("string"), 2, "0") if by_size else F.lit("")
+    dealt = fits.withColumn("step", F.concat(power, F.substring("digest", 1, 3)))
+    ordered = Window.partitionBy("source", "step").orderBy("digest", "bucket", "at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("source", "step").agg(F.sum("size").alias("total"))
+    before = sums.select(
+        F.col("source").alias("s"), F.col("step").alias("k"),
+        (F.sum("total").over(Window.partitionBy("source").orderBy("step")) - F.col("total")).alias("before"),
+    )
+    inside = dealt.withColumn("inside", F.coalesce(F.sum("size").over(ordered), F.lit(0)))
+    placed = inside.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("step") == F.col("k"))).withColumn("c", F.col("before") + F.col("inside"))
+    return placed.select("source", "size", "bucket", "at", "digest", (F.col("lead") + F.col("c")).alias("lead"), (F.col("c") + F.col("size") <= F.col("missing")).alias("chosen"))
+
+
 def occurrences(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The mix as training data: the columns of ``docs``, a row for each time a document is taken,
     range-sorted by training position (ties by ``doc_id``).

@@ -307,6 +307,26 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_passes_long_documents(spark):
+    """A document longer than the gap doesn't keep the others out, wherever its digest stands, and the passes end with nothing that fits."""
+    rng = random.Random(9)
+    rows = [(1000 * s + i, "w " * (rng.randrange(1, 40) if i else 6000), f"s{s}") for s in range(4) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        full = int(own[0].target // own[0].source_size)
+        missing = own[0].target - sum(r.size * len(r.positions) for r in own)
+        assert missing > -1 and not any(len(r.positions) == full and r.size <= missing - 1 for r in own)
+        # Training time goes on through the documents that were picked later.
+        last = sorted(r.positions[-1] for r in own if len(r.positions) > full)
+        assert not last or len(set(last)) > len(last) // 2
+
+
+def test_mixing_passes_end_by_size(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PLAIN", 0)
+    test_mixing_passes_long_documents(spark)
+
+
 def test_positions_invert_demand(spark):
     for g in (-0.5, 0.0, 0.5):
         t = spark.range(11).select((F.col("id") / 10).alias("u")).select("u", mixing.position(F.col("u"), F.lit(g)).alias("t")).collect()
