@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 SEVERITIES = ("Critical", "Error", "Warning", "Info", "Debug", "Unknown")
 TRUNCATED = "... [truncated]"
 
-# What normalisation replaces, in this order.
+# What normalisation replaces, in this order.  Digits, word boundaries and case are those of Unicode (``U``), as in the reference.
 NORMALISED = (
-    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<GUID>"),
-    (r"(?i)\b(?:[0-9a-f]{1,4}:){2,7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}:[0-9a-f]{1,4}\b|::1\b", "<IP>"),
-    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d+)?\b", "<IP>"),
-    (r"(?i)\b0x[0-9a-f]{8,}\b", "<HEX>"),
-    (r"\b\d+(\.\d+)?\b", "<NUM>"),
+    (r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<GUID>"),
+    (r"(?iU)\b(?:[0-9a-f]{1,4}:){2,7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}:[0-9a-f]{1,4}\b|::1\b", "<IP>"),
+    (r"(?U)\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d+)?\b", "<IP>"),
+    (r"(?iU)\b0x[0-9a-f]{8,}\b", "<HEX>"),
+    (r"(?U)\b\d+(\.\d+)?\b", "<NUM>"),
 )
 
 

@@ -266,11 +266,20 @@ SELECT key, count(*) AS n FROM (
     '(?i)\\b0x[0-9a-f]{8,}\\b', '<HEX>', 'g'), '\\b\\d+(\\.\\d+)?\\b', '<NUM>', 'g') AS key
   FROM l WHERE regexp_matches(line, '^[\\x00-\\x7F]*$')) GROUP BY 1""")
 def normalize_lines(spark, sf_dir):
-    """Normalised lines of the documents, those in ASCII, as SQL's word boundaries are."""
-    lines = documents_lens(spark, sf_dir).where(F.col("line").rlike(r"^[\x00-\x7F]*$"))
+    """Normalised lines of the documents, those in ASCII, as SQL's word boundaries are; all of them: :func:`normalize_all_lines`."""
+    return _normalized(documents_lens(spark, sf_dir).where(F.col("line").rlike(r"^[\x00-\x7F]*$")))
+
+
+def _normalized(lines: DataFrame) -> DataFrame:
     return lines.groupBy(normalize_message(F.col("line")).alias("key")).agg(F.count("*").alias("n"))
 
 
+@query()
+def normalize_all_lines(spark, sf_dir):
+    """Normalised lines of the documents, every one; without SQL, whose word boundaries and digits are those of ASCII."""
+    return _normalized(documents_lens(spark, sf_dir))
+
+
 @query("SELECT severity, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS share FROM e GROUP BY 1")
 def severity_breakdown(spark, sf_dir):
     """Rendered, parsed and broken down by severity."""

@@ -1,11 +1,14 @@
 import json
+import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from logweir.functions.text import fuzzy, glob_regex, severity_rank
+from logweir.functions.text import NORMALISED, fuzzy, glob_regex, severity_rank
 from logweir.operators import analyse, correlate, detect, filters, search, sinks
+from logweir.plans import registry
 from logweir.sources.event_xml import read_event_xml
 from logweir.sources.files import list_files, mark_chosen, newest, not_loaded, read_lines, read_utf16_lines, search_files
 from logweir.sources.profiles import builtin_profiles
@@ -56,6 +59,20 @@ def test_dedup_and_timeline(spark):
     assert analyse.counts(e, F.col("id") < 3).first().asDict() == {"total": 5, "matched": 2, "hidden": 3, "untimed": 2}
 
 
+def test_normalize_all_lines_matches_brute_force(spark, tmp_path):
+    """No line is left out, and boundaries and digits are Unicode's, as Python's are."""
+    rng = random.Random(3)
+    lines = ["é12 12é 12", "٣ items", "zähler=17", "中1 1", "", "größe 0xDEADBEEF", "1.2.3.4:80é", "::1 ü"] + ["".join(rng.choice("aféx中01٣.:- ") for _ in range(rng.randrange(25))) for _ in range(300)]
+    spark.createDataFrame([(0, "\n".join(lines), "s"), (1, None, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want: dict = {}
+    for key in lines:
+        for pattern, mark in NORMALISED:
+            key = re.sub(re.sub(r"^\(\?(i?)U\)", lambda m: "(?i)" if m[1] else "", pattern), mark, key)
+        want[key] = want.get(key, 0) + 1
+    got = {r.key: r.n for r in registry.queries()["normalize_all_lines"](spark, str(tmp_path)).collect()}
+    assert got == want and got["<NUM> items"] >= 1 and "é12 12é <NUM>" in got
+
+
 def test_correlate(spark):
     e = entries(spark, *[{"t": T + timedelta(seconds=s)} for s in (-31, -30, 0, 30, 31)], {})
     assert ids(correlate.correlate(e, T)) == [2, 3, 4] and ids(correlate.correlate(e, None)) == []
