@@ -6,14 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.storage import materialize
 from ..functions.text import base_name, normalize_message, preview
 
 PREVIEW_ROWS = 50
+#: A key with more entries is joined without a shuffle; in a larger table one with more than a ``MOST_HOT``-th of it, so that these are fewer than ``MOST_HOT``.
+HOT_ROWS, MOST_HOT = 10_000, 10_000
+
+
+def _keyed(entries: DataFrame, normalized: bool) -> DataFrame:
+    key = normalize_message(F.col("message")) if normalized else F.col("message")
+    return entries.select(F.struct(*entries.columns).alias("row"), F.col("source_file").alias("file"), F.sha2(key.cast("binary"), 256).alias("mark"))
+
+
+def survivors(entries: DataFrame, normalized: bool = False, sums: dict[str, str] | None = None) -> DataFrame:
+    """One entry per (file, message): the latest, then that with the highest id; with ``count`` and ``first_timestamp``, and for
+    each name in ``sums`` the sum of that column over the group.  All aggregates combine map-side."""
+    kept = _survivors(_keyed(entries, normalized), sums or {})
+    return kept.select("row.*", "count", "first_timestamp", *(sums or {}))
+
+
+def _survivors(keyed: DataFrame, sums: dict[str, str]) -> DataFrame:
+    at = F.struct("row.timestamp", "row.id")
+    more = [F.sum(f"row.{column}").alias(name) for name, column in sums.items()]
+    return keyed.groupBy("file", "mark").agg(F.max_by("row", at).alias("row"), F.count("*").alias("count"), F.min("row.timestamp").alias("first_timestamp"), *more)
+
+
+def occurrences(entries: DataFrame, normalized: bool = False) -> DataFrame:
+    """A row for each entry: ``survivor_id`` (of :func:`survivors`), ``timestamp``, ``id``, ``line_number``.  Entries of hot keys find their
+    survivor in a broadcast table of fewer than ``MOST_HOT`` rows, so no task gets a group's rows because it is one group."""
+    keyed = _keyed(entries, normalized)
+    kept = _survivors(keyed, {}).select(F.col("file").alias("f"), F.col("mark").alias("m"), F.col("row.id").alias("survivor_id"), "count")
+    kept = materialize(kept, "survivors")
+    least = max(HOT_ROWS, (kept.agg(F.sum("count")).first()[0] or 0) // MOST_HOT)
+    hot, rest = F.broadcast(kept.where(F.col("count") > least)), kept.where(F.col("count") <= least)
+    same = F.col("file").eqNullSafe(F.col("f")) & F.col("mark").eqNullSafe(F.col("m"))
+    slim = keyed.select("file", "mark", "row.timestamp", "row.id", "row.line_number")
+    out = ("survivor_id", "timestamp", "id", "line_number")
+    return slim.join(hot, same).select(*out).unionByName(slim.join(hot, same, "left_anti").join(rest, same).select(*out))
 
 
 def dedup(entries: DataFrame, normalized: bool = False) -> DataFrame:
     """One entry per (file, message): the latest, then that with the highest id; with ``count``, ``first_timestamp`` and
-    ``occurrences`` (timestamp, id, line_number) in order.  ``normalized`` groups by the message without its variable parts."""
+    ``occurrences`` (timestamp, id, line_number) in order.  ``normalized`` groups by the message without its variable parts.
+    A group's occurrences must fit into one row: for groups of any size there are :func:`survivors` and :func:`occurrences`."""
     key = normalize_message(F.col("message")) if normalized else F.col("message")
     at = F.struct("timestamp", "id")
     grouped = entries.withColumn("key", key).groupBy("source_file", "key").agg(

@@ -242,19 +242,18 @@ FROM {src} GROUP BY source_file, {key}"""
 _ORDER = "(coalesce(epoch_us(timestamp), -1), id)"
 
 
-def _deduped(got: DataFrame) -> DataFrame:
-    ids = F.aggregate("occurrences", F.lit(0).cast("long"), lambda n, o: n + o["id"])
-    return got.select("source_file", "id", "timestamp", "count", "first_timestamp", ids.alias("ids"))
+def _deduped(entries: DataFrame, normalized: bool = False) -> DataFrame:
+    return analyse.survivors(entries, normalized, {"ids": "id"}).select("source_file", "id", "timestamp", "count", "first_timestamp", "ids")
 
 
 @query(_DEDUP.format(src="u", key="message", order=_ORDER))
 def dedup_exact(spark, sf_dir):
-    return _deduped(analyse.dedup(events_lens(spark, sf_dir, untimed=True)))
+    return _deduped(events_lens(spark, sf_dir, untimed=True))
 
 
 @query(_DEDUP.format(src="u", key="regexp_replace(regexp_replace(message, '(?i)\\b0x[0-9a-f]{8,}\\b', '<HEX>', 'g'), '\\b\\d+(\\.\\d+)?\\b', '<NUM>', 'g')", order=_ORDER))
 def dedup_normalized(spark, sf_dir):
-    return _deduped(analyse.dedup(events_lens(spark, sf_dir, untimed=True), normalized=True))
+    return _deduped(events_lens(spark, sf_dir, untimed=True), normalized=True)
 
 
 @query("""

@@ -2,6 +2,7 @@ import json
 import random
 import re
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,24 @@ def test_dedup_and_timeline(spark):
     assert analyse.counts(e, F.col("id") < 3).first().asDict() == {"total": 5, "matched": 2, "hidden": 3, "untimed": 2}
 
 
+def test_survivors_and_occurrences_without_arrays(spark, monkeypatch):
+    """What ``dedup`` says, without an array of a group's rows, for hot and other keys and null ones."""
+    monkeypatch.setattr(analyse, "HOT_ROWS", 3)
+    rows = [{"m": m, "f": f, "t": T + timedelta(minutes=i) if i % 3 else None} for i, (m, f) in enumerate([("hot 1", "a.log")] * 9 + [("hot 2", "b.log"), ("x", None), ("x", None), (None, "a.log"), (None, "a.log"), ("", "a.log")])]
+    e = entries(spark, *rows)
+    for normalized in (False, True):
+        want = {r.id: r for r in analyse.dedup(e, normalized).collect()}
+        got = analyse.survivors(e, normalized, {"ids": "id"})
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+        got = {r.id: r for r in got.collect()}
+        assert {(i, r["count"], r.first_timestamp, r.message, r.ids) for i, r in got.items()} == {(i, r["count"], r.first_timestamp, r.message, sum(o.id for o in r.occurrences)) for i, r in want.items()}
+        long = sorted((r.survivor_id, r.id, r.line_number) for r in analyse.occurrences(e, normalized).collect())
+        assert long == sorted((i, o.id, o.line_number) for i, r in want.items() for o in r.occurrences)
+    if (sf := Path("/root/testdata/sf0.001")).is_dir():
+        for name in ("dedup_exact", "dedup_normalized"):
+            assert "collect_list" not in registry.queries()[name](spark, str(sf))._jdf.queryExecution().toString()
+
+
 def test_normalize_all_lines_matches_brute_force(spark, tmp_path):
     """No line is left out, and boundaries and digits are Unicode's, as Python's are."""
     rng = random.Random(3)
