@@ -4,11 +4,11 @@ Base entities of four kinds come from regular expressions, leftmost and non-over
 check (value range, digit count, Luhn sum) is dropped without a second try.
 
 Bootstrap.  Base entities are seeds.  The words around an occurrence are its lexical patterns: the two words before it, and the
-words on either side.  Occurrences are seeds and candidates, runs of 6 or more letters, digits, ``_`` and ``-`` with
+words on either side.  Occurrences are seeds and candidates, runs of ``LENGTH`` or more letters, digits, ``_`` and ``-`` with
 ``DIGITS`` digits or more outside of base entities.  In the bipartite graph of patterns and values
-    confidence(pattern) = sum of its values' scores / (number of its values + 1)
+    confidence(pattern) = sum of its values' scores / (number of its values with a score above 0 + 1)
     score(value) = 1 - product over its strong patterns of (1 - confidence);  seeds keep 1
-are iterated ``ROUNDS`` times; a pattern is strong with ``STRONG`` confidence and ``SUPPORT`` values of score ``STRONG``.  A candidate
+are iterated ``ROUNDS`` times, so values of which nothing is known yet are no errors of a pattern; a pattern is strong with ``STRONG`` confidence and ``SUPPORT`` values of score ``STRONG``.  A candidate
 occurrence in a strong pattern is an ``id`` span.
 
 Spans count code points, end exclusive.  The expressions are written so that every character is looked at a bounded
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone", "id")
-DIGITS, ROUNDS, STRONG, SUPPORT, CONTEXT = 4, 3, 0.8, 3, 60
+LENGTH, DIGITS, ROUNDS, STRONG, SUPPORT, CONTEXT = 6, 4, 3, 0.8, 3, 60
 
 # The base patterns.  A run that fails from its first character fails from any other, so matches start at
 # the start of a run or where the last match ended (\G).
@@ -40,7 +40,7 @@ PATTERNS = {
 #: Cheap tests that any match passes.
 _MAYBE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_CANDIDATE = r"(?<![0-9A-Za-z_-])[A-Za-z_-]*+[0-9][0-9A-Za-z_-]{5,}+"
+_CANDIDATE = r"(?<![0-9A-Za-z_-])[A-Za-z_-]*+[0-9][0-9A-Za-z_-]*+"
 
 
 def found(text: Column, pattern: str, maybe: str) -> Column:
@@ -114,7 +114,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def outside(s: Column) -> Column:
         clear = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return (F.char_length(_digits(s["value"])) >= DIGITS) & clear
+        return (F.char_length(s["value"]) >= LENGTH) & (F.char_length(_digits(s["value"])) >= DIGITS) & clear
 
     def seen(s: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.md5(s["value"].cast("binary")).alias("value"), contexts(F.col("text"), s["start"].cast("int"), s["end"].cast("int")).alias("patterns"))
@@ -134,7 +134,7 @@ def strong_patterns(seen: DataFrame, rounds: int = ROUNDS, strong: float = STRON
     high = None
     for _ in range(rounds):
         values = materialize(values, "values")
-        n, total = F.count("*"), F.sum("score")
+        n, total = F.count_if(F.col("score") > 0), F.sum("score")
         high = materialize(
             edges.join(values, "value").groupBy("pattern")
             .agg((total / (n + 1)).alias("confidence"), F.count_if(F.col("score") >= strong).alias("good"))

@@ -202,6 +202,15 @@ def test_pii_bootstrap(spark):
     assert spans[12] == "id:32:43" and spans[13] == ""
 
 
+def test_pii_candidates_are_whole_runs(spark):
+    """Short runs whose digits stand at the end are candidates, and many values not seen before don't make a context weak."""
+    runs = ["EMP-2041", "ABCD1234", "ID-12345", "CUST-00123", "x12345"]
+    seeds = [f"please write to contact address user{i}@mail{i}.example.com today" for i in range(12)]
+    df = docs(spark, *seeds, *[f"please write to contact address {r} now" for r in runs], *[f"please write to contact address {r} now" for r in ("A1234", "ABCDE123", "abcdef")])
+    spans = [r["s"] for r in pii.entities(df).orderBy("row.doc_id").select(pii.listed("spans").alias("s")).collect()]
+    assert spans[12:] == [f"id:32:{32 + len(r)}" for r in runs] + ["", "", ""]
+
+
 # --------------------------------------------------------------------------- tokens
 def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
