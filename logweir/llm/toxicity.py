@@ -14,7 +14,7 @@ lambda S - ln(K n); those above ``SIGNIFICANT`` are reported as passages.
 
 Defined cases: null and empty texts have no words and get the score of a text without any passage.  Labels
 that are null or whose ``doc_id`` is null are ignored; several labels of one ``doc_id`` count as toxic
-if one says so.  Repeated documents are scored row by row.  Without any toxic or any clean label all
+if one says so.  Repeated documents are scored row by row; in learning, rows equal in id and text are one.  Without any toxic or any clean label all
 scores are the share of toxic labels (0 without labels).  Input columns come back in the struct ``row``.
 """
 
@@ -198,10 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_tokens
     total = one.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     if not total.n or total.toxic in (0, total.n):
         return Model(base=total.toxic / total.n if total.n else 0.0)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(one), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(one), "doc_id")
+    # Copies of a row would come into the calibration all together.
+    texts = materialize(texts.groupBy("doc_id", "y", F.md5(F.col("text").cast("binary")).alias("mark")).agg(F.first("text").alias("text")), "texts")
     held = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0
     tokens = materialize(
-        texts.where(~held).select(F.coalesce("text", F.lit("")).alias("text"), "y")
+        texts.where(~held).select("text", "y")
         .mapInArrow(_counts, "token binary, clean long, toxic long")
         .groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")),
         "tokens",
@@ -228,8 +230,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_tokens
         keys = F.explode(F.array(*[F.encode(F.concat(F.lit(str(k)), F.substring(word, 1, k)), "UTF-8") for k in (5, 4)]))
         for r in plain.select("token", "n", keys.alias("head")).join(head, "head", "left_semi").select("token", "n").distinct().orderBy(F.desc("n"), "token").limit(max_tokens).collect():
             known.setdefault(bytes(r.token), IDLE)
+    shown = texts.where(held)
+    n = shown.count()
+    if n > max_rows:  # one id with many texts
+        shown = shown.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n)) < max_rows * 9 // 10)
     rows = bounded_rows(
-        texts.where(held).select(F.coalesce("text", F.lit("")).alias("text"), "y").mapInArrow(_evidence(known), "y int, n long, segments array<double>, value array<double>, count array<long>")
+        shown.select("text", "y").mapInArrow(_evidence(known), "y int, n long, segments array<double>, value array<double>, count array<long>")
         .select("y", "n", F.slice(F.reverse(F.array_sort("segments")), 1, 64).alias("segments"), "value", "count"),
         max_rows, "calibration rows",
     )

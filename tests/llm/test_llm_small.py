@@ -211,6 +211,20 @@ def test_pii_candidates_are_whole_runs(spark):
     assert spans[12:] == [f"id:32:{32 + len(r)}" for r in runs] + ["", "", ""]
 
 
+# --------------------------------------------------------------------------- toxicity, repeated keys
+def test_toxicity_calibration_with_one_key_in_most_rows(spark):
+    """Copies of a labelled row, and many texts of one id, don't exceed the bound of the calibration."""
+    rng = random.Random(12)
+    text = lambda bad: " ".join(rng.choice(["vile", "nasty"] if bad and rng.random() < 0.5 else ["sun", "tree", "road", "cat"]) for _ in range(30))
+    rows = [(i, text(i % 2)) for i in range(40)]
+    rows += [rows[k] for k in range(8) for _ in range(60)] + [(k, text(k % 2) + f" n{j}") for k in range(8, 16) for j in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, labels, max_rows=50)
+    got = {(r.row.doc_id, r.score >= 0.5) for r in toxicity.score(df, model).collect()}
+    assert model.curve is not None and sum(toxic == bool(i % 2) for i, toxic in got) >= 0.9 * len(got)
+
+
 # --------------------------------------------------------------------------- tokens
 def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
@@ -292,6 +306,17 @@ def test_quality_judges(spark):
     assert quality.judge(df, labels.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def test_quality_sample_with_one_key_in_most_rows(spark):
+    rng = random.Random(11)
+    texts = [" ".join("w%d" % rng.randrange(5000) for _ in range(80)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(k, texts[k]) for k in range(4) for _ in range(100)]
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(60)], "doc_id long, quality int")
+    for most in (50, 110, 250):
+        assert quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_rows=most).count() == len(rows)
+    a, g = np.array([0.9, 0.8, 0.1]), np.array([True, False, True])
+    assert quality.threshold(a, g, 0.4, np.array([1, 1, 9])) < 0.8 and quality.threshold(a, g, 0.4) == float("inf")
+
+
 # --------------------------------------------------------------------------- mixing
 def test_mixing(spark):
     rng = random.Random(8)
