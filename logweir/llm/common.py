@@ -7,6 +7,7 @@ import json
 import uuid
 
 import numpy as np
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,21 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
+def arrow_uri(uri: str) -> str:
+    """Arrow's name of a folder that Hadoop calls ``uri``: other schemes for object stores; ``dbfs:`` is mounted."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return "s3:" + rest
+    if scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    return uri if "://" in uri or uri.startswith("file:") else "file://" + uri
+
+
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder, for code in tasks."""
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once as Parquet in shared storage and read it back: lineage ends there, and a lost
     executor costs only the tasks it was running."""

@@ -23,22 +23,21 @@ from __future__ import annotations
 import io
 import re
 import struct
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, mix64, new_dir
+from .common import materialize, mix64, new_dir, open_folder
 
 END_ID, MAGIC = 2, b"TIDS"
 KEYS_PER_PART = 200_000
@@ -46,70 +45,162 @@ PUNCTUATION = ".,!?;:*&%$#|()"
 
 
 # --------------------------------------------------------------------------- encoding
-class Encoder(dict):
-    """Byte-level BPE with remembered words.
+class Encoder:
+    """Byte-level BPE over slices of texts, with remembered pieces.
 
-    A pre-token begins at every single space before a character that is no white space, so a text's ids
-    are those of its pieces cut there; pieces repeat.  A trailing run of plain punctuation
-    after a letter or digit is a pre-token of its own too.  Anything else goes to the tokenizer whole.
+    A pre-token begins at every single space before a character that is no white space, so a text's ids are
+    those of its pieces cut there, and pieces repeat: a slice is cut by Arrow, its distinct pieces are looked up,
+    the new ones go through the tokenizer many at a time, and the ids of all pieces are gathered.  A trailing run of
+    plain punctuation after a letter or digit is a pre-token of its own too.
+
+    New pieces without white space are encoded as one text: each of them begins with a space, and only the first id of
+    such a piece has one, which tells where it starts.  Where the count of starts differs from that of the
+    pieces they are encoded one by one.
     """
 
-    MOST = 800_000
+    MOST_PIECES, MOST_CHARS, JOINED = 800_000, 32_000_000, 64
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tails: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        head = word.rstrip(PUNCTUATION)
-        if head and head != word and head[-1].isalnum():
-            tail = word[len(head) :]
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                self.tails[tail] = self.ids(tail)
-            return self[head] + self.tails[tail]
-        if len(self) >= self.MOST:
-            self.clear()
-        out = self.ids(" " + word)
-        if len(word) <= 48:
-            self[word] = out
-        return out
-
-    _odd = re.compile(r" (?=\s|\Z)")
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *words = text.split(" ") if not self._odd.search(text) else self._pieces(text)
-        return self.ids(first) + b"".join(map(self.__getitem__, words)) if first else b"".join(map(self.__getitem__, words))
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.opens[i] = token.startswith("\u0120")  # how the vocabulary writes a space
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = self.used = 0
+        self.pool = np.empty(1 << 16, np.uint32)
+        self.first = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of each text's."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """Like ``split(' ')``, but only at spaces before a character that is no white space."""
-        return re.split(r" (?=\S)", text)
+    def _grown(a: np.ndarray, least: int) -> np.ndarray:
+        return a if len(a) >= least else np.resize(a, max(least, 2 * len(a)))
+
+    def _add(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        at, end = len(self.known), len(self.known) + len(words)
+        self.pool = self._grown(self.pool, self.used + len(ids))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first, self.size = self._grown(self.first, end), self._grown(self.size, end)
+        self.first[at:end] = self.used + np.cumsum(n) - n
+        self.size[at:end] = n
+        self.used += len(ids)
+        self.known.update(zip(words, range(at, end)))
+        self.chars += sum(map(len, words))
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember words that aren't known, each as a piece that follows a space.  Tails are remembered behind a line break."""
+        plain, odd, cut, tails = {}, {}, [], {}
+        for w in words:
+            head = w.rstrip(PUNCTUATION)
+            if head and len(head) != len(w) and head[-1].isalnum():
+                tail = "\n" + w[len(head) :]
+                cut.append((w, head, tail))
+                if tail not in self.known:
+                    tails[tail] = None
+                w = head
+                if w in self.known:
+                    continue
+            if w.isascii() and w.isprintable() and "<|" not in w:
+                plain[w] = None
+            elif "<|" in w or any(map(str.isspace, w)) or not w.isprintable():
+                odd[w] = None
+            else:
+                plain[w] = None
+        self._add(list(odd), *self.ids([" " + w for w in odd]))
+        self._add(list(tails), *self.ids([t[1:] for t in tails]))
+        todo = list(plain)
+        for at in range(0, len(todo), 64 * self.JOINED):
+            part = todo[at : at + 64 * self.JOINED]
+            ids, n = self.ids([" " + " ".join(part[i : i + self.JOINED]) for i in range(0, len(part), self.JOINED)])
+            starts = np.flatnonzero(self.opens[ids])
+            begins = np.cumsum(n) - n
+            expected = np.minimum(self.JOINED, len(part) - self.JOINED * np.arange(len(n)))
+            if len(starts) == len(part) and (np.diff(np.searchsorted(starts, np.r_[begins, len(ids)])) == expected).all():
+                self._add(part, ids, np.diff(np.r_[starts, len(ids)]))
+            else:
+                self._add(part, *self.ids([" " + w for w in part]))
+        code = np.array([(self.known[h], self.known[t]) for _, h, t in cut], np.int64).reshape(-1)
+        n = self.size[code]
+        self._add([w for w, _, _ in cut], gathered(self.pool, self.first[code], n), n.reshape(-1, 2).sum(1))
+
+    # A space before white space or the end is no cut; the class is wider than the tokenizer's white space.
+    _odd = r" ([\s\x0B\x1C-\x1F\x{85}\p{Z}]|\z)"
+
+    def _pieces(self, texts: pa.Array) -> pa.ListArray:
+        odd = pc.match_substring_regex(texts, self._odd)
+        if not pc.any(odd).as_py():
+            return pc.split_pattern(texts, " ")
+        where = odd.to_numpy(zero_copy_only=False)
+        cut = pa.array([re.split(r" (?=\S)", t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+        order = np.empty(len(texts), np.int64)
+        order[~where], order[where] = np.arange((~where).sum()), (~where).sum() + np.arange(where.sum())
+        return pa.concat_arrays([pc.split_pattern(texts.filter(pc.invert(odd)), " "), cut]).take(pa.array(order))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` one after the other, ``end_id`` behind each text, and the number of ids of each text."""
+        if len(self.known) > self.MOST_PIECES or self.chars > self.MOST_CHARS:
+            self._forget()
+        lists = self._pieces(texts.fill_null(""))
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        words, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        opening = of[offsets[:-1]]  # a text's first piece has no space before it
+        later = np.bincount(of, minlength=len(words)) > np.bincount(opening, minlength=len(words))
+        code = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(later & (code < 0)).tolist()
+        self._learn([words[i] for i in new])
+        code[new] = [self.known[words[i]] for i in new]
+        heads = np.unique(opening)
+        own, n_own = self.ids([words[i] for i in heads.tolist()])
+        pool = np.concatenate([self.pool[: self.used], own, np.array([end_id], np.uint32)])
+        n_own = np.r_[n_own, 1]
+        first, size = np.r_[self.first[code], self.used + np.cumsum(n_own) - n_own], np.r_[self.size[code], n_own]
+        # The pieces of each text, its first one from the heads, and the end id behind them.
+        pieces = np.full(len(of) + len(texts), len(words) + len(heads), np.int64)
+        pieces[np.arange(len(of)) + np.repeat(np.arange(len(texts)), np.diff(offsets))] = of
+        start = offsets[:-1] + np.arange(len(texts))
+        pieces[start] = len(words) + np.searchsorted(heads, opening)
+        n = size[pieces]
+        return gathered(pool, first[pieces], n), np.add.reduceat(n, start)
+
+
+def gathered(pool: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of ``n`` values of ``pool`` from ``first`` on, one after the other."""
+    before = np.cumsum(n) - n
+    return pool[np.repeat(first - before, n) + np.arange(int(n.sum()))]
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker process's encoder: a worker runs many tasks, and the words of one come again in the next."""
-    state = sys.modules.setdefault("_logweir_worker", types.ModuleType("_logweir_worker")).__dict__
-    known = state.setdefault("encoders", {})
-    if path not in known:
-        known[path] = Encoder(path)
-    return known[path]
+    """The worker process's encoder: a worker runs many tasks, and the pieces of one come again in the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-# --------------------------------------------------------------------------- files
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of texts with some ``most`` bytes; a longer text is a run by itself."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right"))
+        yield at, (end := max(end, at + 1))
+        at = end
 
 
+# --------------------------------------------------------------------------- files
 ENTRY = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("file", T.StringType()),
     T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -121,34 +212,30 @@ def _write(path: str, out_dir: str, end_id: int, size: int):
         own, stream, name, part = None, None, "", TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         nulls: list[np.ndarray] = []
-        counts: list[int] = []
-        at, end = 0, np.array([end_id], "<u4").tobytes()
+        counts: list[np.ndarray] = []
+        at = 0
         for b in batches:
             if not b.num_rows:
                 continue
             if stream is None:
                 own = encoder(path)
-                fs, folder = _open(out_dir)
+                fs, folder = open_folder(out_dir)
                 fs.create_dir(folder, recursive=True)
                 name = f"shard-{part:06d}-{uuid.uuid4().hex}.tok"
                 stream = fs.open_output_stream(f"{folder}/{name}")
                 stream.write(MAGIC + struct.pack("<I", size))
-            offsets, n = [], []
-            for text in b.column(1):
-                raw = own.encode(text.as_py() or "") + end
-                stream.write(raw if size == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes())
-                offsets.append(at), n.append(len(raw) // 4)
-                at += len(raw) // 4
-            key = b.column(0)
-            ids.append(key.fill_null(0).to_numpy()), nulls.append(key.is_null().to_numpy(zero_copy_only=False))
-            counts += n
-            rows = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [key, pa.array([part] * rows, pa.int32()), pa.array([name] * rows), pa.array(offsets, pa.int64()), pa.array(n, pa.int64())], ENTRY.names
-            )
+            for lo, hi in slices(b.column(1)):
+                found, n = own.encode(b.column(1).slice(lo, hi - lo), end_id)
+                stream.write(found.astype("<u2" if size == 2 else "<u4").tobytes())
+                key, rows = b.column(0).slice(lo, hi - lo), hi - lo
+                ids.append(key.fill_null(0).to_numpy()), nulls.append(key.is_null().to_numpy(zero_copy_only=False)), counts.append(n)
+                offset = at + np.r_[0, np.cumsum(n)[:-1]]
+                at += int(n.sum())
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.full(rows, part, "i4")), pa.array([name] * rows), pa.array(offset), pa.array(n)], ENTRY.names)
         if stream is not None:
-            directory = b"".join((np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(nulls).astype("u1").tobytes(), np.array(counts, "<i8").tobytes()))
-            stream.write(directory + struct.pack("<QQ", len(counts), at))
+            for column, kind in ((ids, "<i8"), (nulls, "u1"), (counts, "<i8")):
+                stream.write(np.concatenate(column).astype(kind).tobytes())
+            stream.write(struct.pack("<QQ", sum(map(len, counts)), at))
             stream.close()
 
     return run
@@ -161,7 +248,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, shards: int
     from tokenizers import Tokenizer
 
     vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size()
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or _partitions(docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     placed = text.repartitionByRange(shards, *order).sortWithinPartitions(*order)
@@ -220,7 +307,7 @@ def _index(out_dir: str):
         body = {"marks": put(fingerprint(keys), "u4"), "part": put(table["part"].to_numpy(), "i4"), "offset": put(table["offset"].to_numpy(), "i8"), "n": put(table["n_tokens"].to_numpy(), "i8")}
         body |= {f"l{i}": x for i, x in enumerate(perfect.levels)} | {f"b{i}": x for i, x in enumerate(perfect.before)}
         np.savez(buffer := io.BytesIO(), **body)
-        fs, folder = _open(out_dir)
+        fs, folder = open_folder(out_dir)
         name = f"index-{table['share'][0].as_py():06d}-{uuid.uuid4().hex}.npz"
         with fs.open_output_stream(f"{folder}/{name}") as f:
             f.write(buffer.getvalue())
@@ -229,6 +316,10 @@ def _index(out_dir: str):
     return run
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def share_of(key, shares: int):
     return F.pmod(F.xxhash64(key), F.lit(shares)).cast("int")
 
@@ -250,7 +341,7 @@ def _lookup(out_dir: str):
             part, offset, n = (np.full(len(keys), -1, k) for k in ("i4", "i8", "i8"))
             for name in dict.fromkeys(names):  # sorted by file, so few per batch
                 if name != held[0]:
-                    fs, folder = _open(out_dir)
+                    fs, folder = open_folder(out_dir)
                     with fs.open_input_file(f"{folder}/{name}") as f:
                         body = dict(np.load(io.BytesIO(f.read())))
                     k = sum(x[0] == "l" for x in body)
@@ -272,14 +363,13 @@ def lookup(keys: DataFrame, index: DataFrame, out_dir: str) -> DataFrame:
     if first is None:
         return keys.where("doc_id is not null").select("doc_id", F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("offset"), F.lit(-1).cast("long").alias("n_tokens"))
     named = keys.where("doc_id is not null").select("doc_id", share_of("doc_id", first.shares).alias("share")).join(index.select("share", "index"), "share")
-    spark = keys.sparkSession
-    dealt = named.select("doc_id", "index").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("index"), F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    dealt = named.select("doc_id", "index").repartition(_partitions(keys), F.col("index"), F.pmod(F.xxhash64("doc_id"), F.lit(16)))
     return dealt.sortWithinPartitions("index").mapInArrow(_lookup(out_dir), "doc_id long, part int, offset long, n_tokens long")
 
 
 def _directory(out_dir: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = _open(out_dir)
+        fs, folder = open_folder(out_dir)
         for b in batches:
             for part, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with fs.open_input_file(f"{folder}/{name}") as f:
@@ -297,26 +387,52 @@ def _directory(out_dir: str):
 
 def read_directory(shards: DataFrame, out_dir: str) -> DataFrame:
     """Every stored document, from the shards' own directories; ``shards`` has ``part, file``."""
-    return shards.select("part", "file").repartition(F.col("file")).mapInArrow(_directory(out_dir), ENTRY)
+    # With a number of partitions, or a small table of names would end in one task.
+    dealt = shards.select("part", "file").repartition(_partitions(shards), F.col("file"))
+    return dealt.mapInArrow(_directory(out_dir), ENTRY)
+
+
+#: A read covers documents that stand one behind the other, this many bytes of them.
+RUN_BYTES = 8 << 20
+
+
+def _runs(names: list[str], offset: np.ndarray, n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Start and end of rows that are neighbours in one file, up to ``most`` ids (a longer document is a run by itself)."""
+    at = 0
+    for i in range(1, len(names) + 1):
+        if i == len(names) or names[i] != names[at] or offset[i] != offset[i - 1] + n[i - 1] or offset[i] + n[i] - offset[at] > most:
+            yield at, i
+            at = i
 
 
 def _payload(out_dir: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, f, size = "", None, 0
-        fs, folder = _open(out_dir)
-        for b in batches:
-            crc = []
-            for name, offset, n in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "n_tokens"))):
-                if name != held:
-                    held, f = name, fs.open_input_file(f"{folder}/{name}")
-                    magic, size = struct.unpack("<4sI", f.read_at(8, 0))
-                    if magic != MAGIC:
-                        raise ValueError(f"{name} is no token shard")
-                raw = f.read_at(n * size, 8 + offset * size)
-                if size == 2:
-                    raw = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
-                crc.append(zlib.crc32(raw))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(crc, pa.int64())], ["row", "ids_crc32"])
+        fs, folder = open_folder(out_dir)
+        try:
+            for b in batches:
+                crc: list[int] = []
+                names = b.column("file").to_pylist()
+                offset, n = (b.column(c).to_numpy() for c in ("offset", "n_tokens"))
+                for lo, hi in _runs(names, offset, n, RUN_BYTES // 4):
+                    if names[lo] != held:
+                        if f is not None:
+                            f.close()
+                        held, f = names[lo], fs.open_input_file(f"{folder}/{names[lo]}")
+                        magic, size = struct.unpack("<4sI", f.read_at(8, 0))
+                        if magic != MAGIC:
+                            raise ValueError(f"{held} is no token shard")
+                    total = int(n[lo:hi].sum())
+                    raw = f.read_at(total * size, 8 + int(offset[lo]) * size)
+                    if len(raw) != total * size:
+                        raise ValueError(f"{held} ends inside a document")
+                    ids = memoryview(np.frombuffer(raw, "<u2" if size == 2 else "<u4").astype("<u4")).cast("B")
+                    place = 4 * np.r_[0, np.cumsum(n[lo:hi])]
+                    crc += [zlib.crc32(ids[p:q]) for p, q in zip(place[:-1].tolist(), place[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(crc, pa.int64())], ["row", "ids_crc32"])
+        finally:
+            if f is not None:
+                f.close()
 
     return run
 
@@ -324,16 +440,34 @@ def _payload(out_dir: str):
 def checksums(places: DataFrame, out_dir: str) -> DataFrame:
     """``row, ids_crc32`` of stored documents, read back from ``places(file, offset, n_tokens, ...)``."""
     packed = places.select(F.struct(*places.columns).alias("row"), "file", "offset", "n_tokens")
-    spark = places.sparkSession
-    dealt = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("file")).sortWithinPartitions("file", "offset")
+    dealt = packed.repartition(_partitions(places), F.col("file")).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_payload(out_dir), f"row {packed.schema['row'].dataType.simpleString()}, ids_crc32 long")
 
 
+def indexed_places(stored: DataFrame, index: DataFrame, out_dir: str) -> DataFrame:
+    """``doc_id, part, offset, n_tokens, indexed`` of every stored document of :func:`read_directory`.
+
+    The first document of each id has the place that the index gives; an id that the index doesn't have, or has at
+    another place than the shard, is an error.  Null ids and repeats of an id aren't in the index: theirs is the shard's.
+    """
+    at = F.struct("part", "offset", "n_tokens")
+    ids = stored.where("doc_id is not null").groupBy("doc_id").agg(F.min(at).alias("at"), F.count("*").alias("copies"))
+    ids = materialize(ids, "ids")
+    got = lookup(ids, index, out_dir).withColumnRenamed("doc_id", "k")
+    right = (F.col("part") == F.col("at.part")) & (F.col("offset") == F.col("at.offset")) & (F.col("n_tokens") == F.col("at.n_tokens"))
+    wrong = F.raise_error(F.concat(F.lit("the index has no right place for document "), F.col("doc_id").cast("string")))
+    first = ids.join(got, ids.doc_id == got.k, "left").select("doc_id", "part", "offset", F.when(right, F.col("n_tokens")).otherwise(wrong.cast("long")).alias("n_tokens"), F.lit(True).alias("indexed"))
+    repeated = ids.where("copies > 1").select(F.col("doc_id").alias("k"), "at")
+    again = stored.join(repeated, stored.doc_id == repeated.k).where((F.col("part") != F.col("at.part")) | (F.col("offset") != F.col("at.offset")))
+    others = again.select("doc_id", "part", "offset", "n_tokens").unionByName(stored.where("doc_id is null").select("doc_id", "part", "offset", "n_tokens"))
+    return first.unionByName(others.withColumn("indexed", F.lit(False)))
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None) -> DataFrame:
-    """Write, index and read back: ``doc_id, start, n_tokens, ids_crc32`` per document, all from the files.
+    """Write, index and read back: ``doc_id, start, n_tokens, ids_crc32, indexed`` per document, all from the files.
 
     The shards' directories say which documents there are; each key's place comes from the index,
-    and the ids from that place.  Repeated and null ids take their own place from the directory.
+    and the ids from that place (:func:`indexed_places`).
     """
     spark = docs.sparkSession
     out_dir = out_dir or new_dir(spark, "tokens")
@@ -341,15 +475,8 @@ def round_trip(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None)
     index = build_index(manifest, out_dir)
     shards = manifest.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
     base = materialize(shards.select("part", "file", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "shards")
-    stored = read_directory(base, out_dir)
-    keyed = lookup(stored.select("doc_id").distinct(), index, out_dir).withColumnsRenamed({"part": "p", "offset": "o", "n_tokens": "n"})
-    placed = stored.join(keyed, "doc_id", "left")
-    first = (F.col("p") == F.col("part")) & (F.col("o") == F.col("offset"))
-    placed = placed.select(
-        "doc_id", "part", F.when(first, F.col("o")).otherwise(F.col("offset")).alias("offset"), F.when(first, F.col("n")).otherwise(F.col("n_tokens")).alias("n_tokens"),
-        F.coalesce(F.col("p") >= 0, F.lit(False)).alias("indexed"),
-    )
-    places = placed.join(base.select("part", "file", "base"), "part")
+    stored = materialize(read_directory(base, out_dir), "directory")
+    places = indexed_places(stored, index, out_dir).join(base, "part")
     return checksums(places, out_dir).select(
         "row.doc_id", (F.col("row.base") + F.col("row.offset")).alias("start"), "row.n_tokens", "ids_crc32", "row.indexed"
     )

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,14 +231,15 @@ def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    texts = [None, "", "hello world", " lead  double\ttab\n\nx ", "it's don't, a.b (c)! \u00a0x", "日本 語", "<|endoftext|> end", "word," * 50, "  ", "a\u2003 b", "x 'll y"]
-    rows = [(i * 7 % 11, x) for i, x in enumerate(texts)] + [(None, "last one"), (3, "again"), (3, "again")]
+    texts = [None, "", "x|! y|!", "a <|endoftext|>. b", "é\x85 \u200bz, ", "hello world", " lead  double\ttab\n\nx ", "it's don't, a.b (c)! \u00a0x", "日本 語", "<|endoftext|> end", "word," * 50, "  ", "a\u2003 b", "x 'll y"]
+    rows = [(i * 7 % 17, x) for i, x in enumerate(texts)] + [(None, "last one"), (3, "again"), (3, "again"), (3, "again, longer" * 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash"))
     got = sorted(tokens.round_trip(df, tokenizer_path()).collect(), key=lambda r: r.start)
     ids = {}
     for k, x in rows:
         ids.setdefault(k, []).append(t.encode(x or "", add_special_tokens=False).ids + [2])
     start = 0
+    assert [r.indexed for r in got] == [r.doc_id is not None and (i == 0 or got[i - 1].doc_id != r.doc_id) for i, r in enumerate(got)]
     assert [r.doc_id for r in got] == sorted([k for k, _ in rows if k is not None]) + [None]
     for r in got:
         want = next(x for x in ids[r.doc_id] if zlib.crc32(np.array(x, "<u4").tobytes()) == r.ids_crc32)
@@ -247,6 +249,39 @@ def test_tokens_round_trip(spark):
     assert tokens.round_trip(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_encoder_matches_the_tokenizer():
+    """Texts of any characters, cut into slices, in a cold and a warm cache."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(tokenizer_path()), random.Random(14)
+    letters = " \n\t  \u00a0\u3000ab cdé日本.,!?'1²_<|endoftext|>\x1c\x85\u200b😀\u0301-\r"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(4000)] + [None, "", " a", "a ", " <|endoftext|>", "<|endoftext|>. x<|endoftext|>y"]
+    own, array = tokens.Encoder(tokenizer_path()), pa.array(texts)
+    want = [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+    for most in (100, 1 << 20):
+        got, places = [], list(tokens.slices(array, most))
+        assert places[0][0] == 0 and places[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(places, places[1:]))
+        for lo, hi in places:
+            ids, n = own.encode(array.slice(lo, hi - lo), 2)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
+
+
+def test_a_wrong_index_is_an_error(spark):
+    df = docs(spark, *["some words"] * 20)
+    out, other = common.new_dir(spark, "t"), common.new_dir(spark, "t")
+    shards = tokens.write_shards(df, tokenizer_path(), out)
+    stored = tokens.read_directory(shards.select("part", "file").distinct(), out)
+    index = tokens.build_index(tokens.write_shards(df.where("doc_id < 19"), tokenizer_path(), other), out)
+    with pytest.raises(Exception, match="no right place"):
+        tokens.indexed_places(stored, index, out).collect()
+
+
+def test_folders_of_object_stores():
+    assert [common.arrow_uri(u) for u in ("s3a://b/a", "dbfs:/a/b", "/a/b", "file:/a", "hdfs://h/a")] == ["s3://b/a", "file:///dbfs/a/b", "file:///a/b", "file:/a", "hdfs://h/a"]
+    assert common.open_folder("/a/b")[1] == common.open_folder("file:///a/b")[1] == "/a/b"
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(5).integers(0, 1 << 63, 50_000, dtype=np.uint64)
     p = tokens.PerfectHash.build(keys)
