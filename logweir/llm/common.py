@@ -9,9 +9,10 @@ import uuid
 import numpy as np
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 #: White space that separates words, as a Java/RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -74,6 +75,25 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running_totals(df: DataFrame, order: list[Column], values: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """``df`` with, for each of ``values``, the sum of that value over all rows before a row in the total ``order``.
+
+    One range sort, written to shared storage; sums within a partition, and the partitions before it (a row a
+    partition) on top.  No group meets in one task, whatever its size, if ``order`` tells its rows apart.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = df.withColumns({f"__value_{k}": v.cast("long") for k, v in values.items()})
+    placed = wide.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # The mark's upper bits are the partition's number, partitions are in order.
+    placed = materialize(placed.withColumn("__mark", F.monotonically_increasing_id()), "sorted").withColumn("__part", F.shiftright("__mark", 33))
+    sums = placed.groupBy("__part").agg(*[F.sum(f"__value_{k}").alias(f"__sum_{k}") for k in values])
+    parts = sums.select("__part", *[(F.sum(f"__sum_{k}").over(Window.orderBy("__part")) - F.col(f"__sum_{k}")).alias(f"__before_{k}") for k in values])
+    own = Window.partitionBy("__part").orderBy("__mark").rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumns({k: F.coalesce(F.sum(f"__value_{k}").over(own), F.lit(0)) for k in values})
+    out = inside.join(F.broadcast(parts), "__part")  # a row a partition
+    return out.select(*df.columns, *[(F.col(f"__before_{k}") + F.col(k)).alias(k) for k in values])
+
+
 def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table as a constant of the plan, without Python workers; ``schema`` is DDL."""
     kind = StructType.fromDDL(schema)

@@ -9,32 +9,31 @@ takes the values ``SLOPES`` in turn (falling, steady, rising).  Its integral, th
 t + g (t^2 - t); a document that starts after the share u of its source's taken words gets the time
 t with demand u, a root of a quadratic.
 
-Choice.  A source of size s and target T is taken floor(T / s) times whole; the rest goes to its documents
-in the order of a digest of id and text up to the first that doesn't fit, then ``FILLS`` times to the
-largest document that still fits the remaining gap, then in passes, again in the order of the digest, to the
-documents left that fit, until none does: what a source misses in the end is less than its smallest
-document left.  Documents are taken whole, MOST times at most.
+Choice.  A source of size s and target T is taken floor(T / s) times whole; the rest, the gap, goes to passes over its
+documents that are not longer than what is still missing.  In the order of a digest of id and text the first pass takes documents up
+to the first that doesn't fit; later passes do so in the order of larger powers of two first, then the digest.  They end when no
+document left fits, after two passes a power of two at most: what a source misses in the end is less than its
+smallest document left.  Documents are taken whole, ``MOST`` times at most.
 
-Running totals within a source use digest buckets (totals of buckets first, then within a bucket), so
-a hot source is spread over as many tasks as it has buckets.
+Order.  All occurrences are range-sorted by their training time (ties by the digest, then the epoch) and numbered from 0 on:
+``rank`` is the place in the training data.
+
+Running totals (within a source, over sources, ranks) come from one range sort each and a total per partition
+(:func:`..common.running_totals`), so neither a hot source nor a large number of sources meets in one task.
 
 Defined cases: null and empty texts have size 0 and are never taken (a copy of nothing has no words); a null source is a source of its own;
-rows equal in id and text are interchangeable; sources of size 0 get the target 0.  Reruns agree.
+rows equal in id and text are interchangeable; very long texts count in full; sources of size 0 get the target 0; an empty table gives an
+empty mix; other columns don't matter, whatever their names.  Reruns agree.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SPACE, materialize
+from .common import SPACE, materialize, running_totals
 
-WEIGHTS, SLOPES, MOST, FILLS = (1, 2, 3), (-0.5, 0.0, 0.5), 3, 3
-#: Passes in the order of the digest alone; later ones take larger powers of two first, so that two passes a power end it.
-PLAIN = 8
-#: A source with more documents is cut into 4096 buckets, by three hex digits of the digest.
-PER_BUCKET = 2_000
+WEIGHTS, SLOPES, MOST = (1, 2, 3), (-0.5, 0.0, 0.5), 3
 
 
 def word_count(text: Column) -> Column:
@@ -53,139 +52,113 @@ def order_key(doc_id: Column, mark: Column) -> Column:
 
 def targets(sizes: DataFrame) -> DataFrame:
     """``source, source_size, weight, slope, target`` from ``source, source_size`` (one row a source)."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    at = F.row_number().over(by_name) - 1
-    turn = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
-    named = sizes.select("source", "source_size", turn(WEIGHTS).cast("long").alias("weight"), turn(SLOPES).alias("slope"), at.alias("at"))
-    cap = F.lit(MOST) * F.col("source_size")
-    by_cap = Window.orderBy(cap / F.col("weight"), "at").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    before = named.withColumns({
-        "cap": cap,
-        "rest": F.sum("source_size").over(whole) - F.coalesce(F.sum(cap).over(by_cap), F.lit(0)),
-        "shares": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(by_cap), F.lit(0)),
-    })
+    numbered = running_totals(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], {"at": F.lit(1)})
+    turn = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("at") % len(values) + 1).cast("int"))
+    named = numbered.select("source", "source_size", turn(WEIGHTS).cast("long").alias("weight"), turn(SLOPES).alias("slope"), "at", (F.lit(MOST) * F.col("source_size")).alias("cap"))
+    before = running_totals(named, [F.col("cap") / F.col("weight"), F.col("at")], {"caps": F.col("cap"), "weights": F.col("weight")})
+    sums = before.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    whole = lambda c: c.cast("decimal(19,0)")  # noqa: E731  products of longs may not fit into a long
     # A source is capped if its cap is not above its share of what the sources before it left.
-    capped = before.withColumn("capped", F.col("cap") * F.col("shares") <= F.col("weight") * F.col("rest"))
-    free = lambda c: F.sum(F.when(~F.col("capped"), F.col(c))).over(whole)
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(whole), F.lit(0))
-    share = F.col("weight") * left.cast("double") / free("weight").cast("double")
+    capped = before.withColumn("capped", whole(F.col("cap")) * whole(F.lit(sums.weight or 0) - F.col("weights")) <= whole(F.col("weight")) * whole(F.lit(sums.size or 0) - F.col("caps")))
+    capped = materialize(capped, "capped")
+    done = capped.where("capped").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+    left, free = (sums.size or 0) - (done.cap or 0), (sums.weight or 0) - (done.weight or 0)
+    share = F.col("weight") * F.lit(float(left)) / F.lit(float(free or 1))
     return capped.select("source", "source_size", "weight", "slope", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def position(u: Column, slope: Column) -> Column:
     """Training time at which the cumulative demand t + g (t^2 - t) reaches ``u``."""
     root = (F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope)
-    return F.when(slope == 0, u).otherwise(root)
+    return F.when((slope == 0) | (u == 0), u).otherwise(root)
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, mark, size, source_size, target, positions`` for every row of ``docs(doc_id, text, source, ...)``:
+def _named(rows: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``by_source(source, ...)``, null sources included; a hot source is split by the join."""
+    other = by_source.withColumnRenamed("source", "other_source")
+    return rows.join(other, F.col("source").eqNullSafe(F.col("other_source")), how).drop("other_source")
+
+
+def _within_source(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of the source that come before."""
+    placed = running_totals(rows, [F.col("source").asc_nulls_last(), *order], {name: F.col(value)})
+    return _named(placed, placed.groupBy("source").agg(F.min(name).alias("start"))).withColumn(name, F.col(name) - F.col("start")).drop("start")
+
+
+def choose(docs: DataFrame) -> DataFrame:
+    """``rid, doc_id, source, mark, digest, size, source_size, target, positions`` for every row of ``docs(doc_id, text, source, ...)``:
     ``positions`` has a training time in [0, 1] for each time the document is taken, ``mark`` is the text's digest."""
     base = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _mark(F.col("text")).alias("mark"))
-    return _mixed(materialize(base.withColumn("digest", order_key(F.col("doc_id"), F.col("mark"))), "mixing"))
-
-
-def _mixed(base: DataFrame) -> DataFrame:
-    per = materialize(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
-    goal = materialize(targets(per.select("source", "source_size")), "targets")
-    known = per.select(F.col("source").alias("s"), "n").join(goal, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    hot = F.col("n") > PER_BUCKET
-    rows = base.join(known.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("bucket", F.when(hot, F.substring("digest", 1, 3)).otherwise(F.lit("")))
-    ordered = Window.partitionBy("source", "bucket").orderBy("digest")
-    rows = rows.withColumns({"at": F.row_number().over(ordered), "inside": F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, -1))})
-    rows = materialize(rows, "ordered")
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("total"))
-    before = sums.select(
-        F.col("source").alias("s"), F.col("bucket").alias("k"),
-        (F.sum("total").over(Window.partitionBy("source").orderBy("bucket")) - F.col("total")).alias("before"),
-    )
+    base = materialize(base.select(F.monotonically_increasing_id().alias("rid"), "*", order_key(F.col("doc_id"), F.col("mark")).alias("digest")), "mixing")
+    goal = materialize(targets(materialize(base.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")), "targets")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     # Rounded to whole words; a target of an exact multiple leaves nothing.
-    gap = F.round(F.col("target") - full * F.col("source_size")).cast("long")
-    rows = rows.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k"))).drop("s", "k").withColumns({
-        "full": full, "gap": gap, "c": F.col("before") + F.coalesce("inside", F.lit(0)),
-    })
-    rows = materialize(rows.withColumn("extra", (F.col("size") > 0) & (F.col("c") + F.col("size") <= F.col("gap"))), "chosen")
-
-    # What is still missing goes to single documents: the largest that fits, ties by the order.
-    missing = rows.groupBy("source").agg(F.max("gap").alias("gap"), (F.max("gap") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("missing"))
-    free = rows.where(~F.col("extra") & (F.col("size") > 0)).select("source", "size", "bucket", "at", "digest")
-    picked = None
-    for _ in range(FILLS):
-        missing = materialize(missing, "missing")
-        fits = _untaken(_fitting(free, missing), picked)
-        best = fits.groupBy("source").agg(F.max_by(F.struct("size", "bucket", "at"), F.struct("size", "digest")).alias("b"), F.max("lead").alias("lead"))
-        best = materialize(best.select("source", "b.*", "lead"), "fill")
-        picked = best if picked is None else picked.unionByName(best)
-        missing = _less(missing, best)
-    # Then to all that fit, pass by pass: a document too long for the gap leaves the running total.
-    free, turn = _untaken(free, picked), 0
-    while True:
-        missing = materialize(missing, "missing")
-        fits = materialize(_fitting(free, missing), "fitting")
-        if fits.isEmpty():
-            break
-        dealt = materialize(_pass(fits, turn >= PLAIN), "pass")
-        best = dealt.where("chosen").select("source", "size", "bucket", "at", "lead")
-        picked = picked.unionByName(best)
-        free, missing, turn = dealt.where(~F.col("chosen")).select(*free.columns), _less(missing, best), turn + 1
-    pick = picked.select(F.col("source").alias("s"), F.col("bucket").alias("k"), F.col("at").alias("a"), "lead", F.lit(True).alias("p"))
-    rows = rows.join(pick, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")) & (F.col("at") == F.col("a")), "left")
-    once = F.col("extra") | F.coalesce("p", F.lit(False))
-    times = F.when(F.col("size") > 0, F.col("full") + once.cast("int")).otherwise(F.lit(0)).cast("int")
-    # Epoch e of a document starts after e whole passes and the documents before it; the last one of a picked document after those taken before it.
+    gap = F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long")
+    goal = goal.withColumn("full", full).withColumn("gap", gap)
+    rows = materialize(_within_source(base, [F.col("digest"), F.col("rid")], "size", "c"), "ordered")
+
+    picked = _fill(rows.where("size > 0").select("rid", "source", "size", "digest"), goal.select("source", "gap"))
+    rows = _named(rows, goal).join(picked, "rid", "left")
+    times = F.when(F.col("size") > 0, F.col("full") + F.col("lead").isNotNull().cast("int")).otherwise(F.lit(0)).cast("int")
+    # Epoch e of a document starts after e whole passes and the documents before it; the last one of a picked document after those picked before it.
     ahead = lambda e: F.when(e == F.col("full"), F.coalesce("lead", "c")).otherwise(F.col("c"))
     start = lambda e: F.least(F.lit(1.0), (e * F.col("source_size") + ahead(e)) / F.greatest(F.col("target"), F.lit(1.0)))
     epochs = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
-    return rows.select("doc_id", "source", "mark", "size", "source_size", "target", F.transform(epochs, lambda e: position(start(e), F.col("slope"))).alias("positions"))
-
-
-def _fitting(free: DataFrame, missing: DataFrame) -> DataFrame:
-    """Documents no longer than what their source misses; ``lead``: words of the last pass taken so far."""
-    need = missing.select(F.col("source").alias("s"), "missing", (F.col("gap") - F.col("missing")).alias("lead"))
-    return free.join(need, F.col("source").eqNullSafe(F.col("s"))).where("size <= missing").drop("s")
-
+    positions = F.transform(epochs, lambda e: position(start(e), F.col("slope")))
+    return rows.select("rid", "doc_id", "source", "mark", "digest", "size", "source_size", "target", positions.alias("positions"))
 
-def _untaken(free: DataFrame, picked: DataFrame | None) -> DataFrame:
-    if picked is None:
-        return free
-    gone = picked.select(F.col("source").alias("s"), F.col("bucket").alias("k"), F.col("at").alias("a"))
-    return free.join(gone, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")) & (F.col("at") == F.col("a")), "left_anti")
 
+def _fill(free: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``rid, lead`` of the documents that fill the gaps; ``lead``: words picked before it."""
+    missing = materialize(gaps.select("source", "gap", F.col("gap").alias("missing")), "missing")
+    picked: DataFrame | None = None
+    while True:
+        fits = _named(free, missing).where("size <= missing")
+        larger_first = [] if picked is None else [F.length(F.bin("size")).desc()]
+        dealt = _within_source(fits, [*larger_first, F.col("digest"), F.col("rid")], "size", "c")
+        dealt = materialize(dealt.withColumn("chosen", F.col("c") + F.col("size") <= F.col("missing")), "pass")
+        own = dealt.where("chosen").select("rid", (F.col("gap") - F.col("missing") + F.col("c")).alias("lead"))
+        if picked is not None and own.isEmpty():
+            return picked
+        picked = own if picked is None else picked.unionByName(own)
+        took = dealt.where("chosen").groupBy("source").agg(F.sum("size").alias("took"))
+        missing = materialize(_named(missing, took, "left").select("source", "gap", (F.col("missing") - F.coalesce("took", F.lit(0))).alias("missing")), "missing")
+        free = dealt.where(~F.col("chosen")).select("rid", "source", "size", "digest")
+
+
+def ranked(chosen: DataFrame) -> DataFrame:
+    """A row for each time a document is taken, from :func:`choose`: ``rid, doc_id, mark, size, epoch, position, rank``."""
+    each = chosen.select("rid", "doc_id", "mark", "size", "digest", F.posexplode("positions").alias("epoch", "position"))
+    order = [F.col("position"), F.col("digest"), F.col("epoch"), F.col("rid")]
+    return running_totals(each, order, {"rank": F.lit(1)}).drop("digest")
 
-def _less(missing: DataFrame, best: DataFrame) -> DataFrame:
-    took = best.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("took"))
-    return missing.join(took, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "gap", (F.col("missing") - F.coalesce("took", F.lit(0))).alias("missing"))
 
+def mix(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, mark, size, source_size, target, taken, position, ranks`` for every row of ``docs(doc_id, text, source, ...)``.
 
-def _pass(fits: DataFrame, by_size: bool) -> DataFrame:
-    """``fits`` with ``chosen``, the documents that fit together, in order; ``lead`` moves on by those before."""
-    power = F.lpad((F.lit(99) - F.length(F.bin("size"))).cast("string"), 2, "0") if by_size else F.lit("")
-    dealt = fits.withColumn("step", F.concat(power, F.substring("digest", 1, 3)))
-    ordered = Window.partitionBy("source", "step").orderBy("digest", "bucket", "at").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("source", "step").agg(F.sum("size").alias("total"))
-    before = sums.select(
-        F.col("source").alias("s"), F.col("step").alias("k"),
-        (F.sum("total").over(Window.partitionBy("source").orderBy("step")) - F.col("total")).alias("before"),
+    ``ranks`` are the places of the document in the range-sorted mix, comma-joined, ``position`` its first training time (null if
+    it isn't taken), ``taken`` the words of all its occurrences.
+    """
+    chosen = materialize(choose(docs), "chosen")
+    own = ranked(chosen).groupBy("rid").agg(
+        F.sum("size").alias("taken"), F.min("position").alias("position"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("rank")), lambda r: r.cast("string")), ",").alias("ranks"),  # MOST at most
+    )
+    return chosen.join(own, "rid", "left").select(
+        "doc_id", "source", "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "position", F.coalesce("ranks", F.lit("")).alias("ranks")
     )
-    inside = dealt.withColumn("inside", F.coalesce(F.sum("size").over(ordered), F.lit(0)))
-    placed = inside.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("step") == F.col("k"))).withColumn("c", F.col("before") + F.col("inside"))
-    return placed.select("source", "size", "bucket", "at", "digest", (F.col("lead") + F.col("c")).alias("lead"), (F.col("c") + F.col("size") <= F.col("missing")).alias("chosen"))
 
 
 def occurrences(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The mix as training data: the columns of ``docs``, a row for each time a document is taken,
-    range-sorted by training position (ties by ``doc_id``).
+    """The mix as training data: the columns of ``docs``, a row for each time a document is taken, range-sorted by rank.
 
-    Texts move twice, to their positions and to their place; rows equal in id and text are
-    interchangeable, so one of them stands for all their occurrences.
+    Texts move twice, to their ranks and to their place; rows equal in id and text are interchangeable, so that one of them (the
+    least by a hash of all columns) stands for all their occurrences.
     """
-    taken = mix(docs).select(F.col("doc_id").alias("k"), F.col("mark").alias("m"), F.explode("positions").alias("position"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k"), _mark(F.col("text")).alias("m"))
-    one = packed.groupBy("k", "m").agg(F.first("row").alias("row")).withColumnsRenamed({"k": "k2", "m": "m2"})
-    placed = taken.join(one, F.col("k").eqNullSafe(F.col("k2")) & (F.col("m") == F.col("m2"))).select("position", "row")
+    taken = ranked(choose(docs)).select(F.col("doc_id").alias("k"), F.col("mark").alias("m"), "rank")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("h"), F.col("doc_id").alias("k"), _mark(F.col("text")).alias("m"))
+    one = packed.groupBy("k", "m").agg(F.min_by("row", "h").alias("row")).withColumnsRenamed({"k": "k2", "m": "m2"})
+    placed = taken.join(one, F.col("k").eqNullSafe(F.col("k2")) & (F.col("m") == F.col("m2"))).select("rank", "row")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("position"), F.col("row.doc_id")]
-    return placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("row.*")
+    return placed.repartitionByRange(n, "rank").sortWithinPartitions("rank").select("row.*")

@@ -74,9 +74,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken")
-    )
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", "ranks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

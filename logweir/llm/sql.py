@@ -51,17 +51,6 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-_FILL = """,
-b{i} AS (
-  SELECT source, digest FROM (
-    SELECT d.source, d.digest, row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.digest DESC) AS r
-    FROM x d JOIN m{h} ON m{h}.source IS NOT DISTINCT FROM d.source
-    WHERE NOT d.extra AND d.size > 0 AND d.size <= m{h}.missing {anti})
-  WHERE r = 1),
-m{i} AS (
-  SELECT m.source, m.missing - coalesce((SELECT max(x.size) FROM x JOIN b{i} USING (digest) WHERE x.source IS NOT DISTINCT FROM m.source), 0) AS missing
-  FROM m{h} m)"""
-
 OP10 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest,
@@ -82,18 +71,36 @@ t AS (
     ELSE weight * ((SELECT sum(source_size) FROM w) - (SELECT coalesce(sum(3 * source_size), 0) FROM w WHERE list_contains(k.capped, coalesce('s' || source, 'n'))))::DOUBLE
       / (SELECT sum(weight) FROM w WHERE NOT list_contains(k.capped, coalesce('s' || source, 'n')))::DOUBLE END AS target
   FROM w, k),
+g AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS full_, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS at FROM t),
 o AS (
-  SELECT d.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS full_,
+  SELECT d.*, g.source_size, g.target, g.full_, round(g.target - g.full_ * g.source_size)::BIGINT AS gap, [-0.5, 0.0, 0.5][g.at % 3 + 1]::DOUBLE AS slope,
     (sum(size) OVER (PARTITION BY d.source ORDER BY digest) - size)::BIGINT AS c
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+-- A pass a step: of the documents that are not longer than what is missing, those up to the first that doesn't fit.
+f(source, digest, size, gap, missing, lead_, step, active) AS (
+  SELECT source, digest, size, gap, gap, NULL::BIGINT, 0, true FROM o WHERE size > 0
+  UNION ALL
+  SELECT source, digest, size, gap, missing - coalesce(sum(CASE WHEN ok THEN size END) OVER (PARTITION BY source), 0)::BIGINT,
+    CASE WHEN ok THEN gap - missing + c ELSE lead_ END, step + 1, step = 0 OR max(ok::INT) OVER () = 1
+  FROM (
+    SELECT *, open AND c + size <= missing AS ok FROM (
+      SELECT *, (sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY CASE WHEN step = 0 THEN 0 ELSE -length(bin(size)) END, digest
+        ROWS UNBOUNDED PRECEDING) - CASE WHEN open THEN size ELSE 0 END)::BIGINT AS c
+      FROM (SELECT *, lead_ IS NULL AND size <= missing AS open FROM f WHERE active)))),
+p AS (SELECT source, digest, max(lead_) AS lead_ FROM f GROUP BY 1, 2),
 x AS (
-  SELECT *, round(target - full_ * source_size)::BIGINT AS gap, size > 0 AND c + size <= round(target - full_ * source_size) AS extra FROM o),
-m0 AS (SELECT source, max(gap) - sum(CASE WHEN extra THEN size ELSE 0 END) AS missing FROM x GROUP BY 1)""" + "".join(
-    _FILL.format(i=i, h=i - 1, anti="".join(f" AND d.digest NOT IN (SELECT digest FROM b{{j}})".format(j=j) for j in range(1, i))) for i in (1, 2, 3)
-) + """
-SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE
-  size * (full_ + CASE WHEN extra OR digest IN (SELECT digest FROM b1 UNION SELECT digest FROM b2 UNION SELECT digest FROM b3) THEN 1 ELSE 0 END) END)::BIGINT AS taken
-FROM x
+  SELECT o.*, p.lead_, CASE WHEN o.size > 0 THEN full_ + (p.lead_ IS NOT NULL)::INT ELSE 0 END AS times
+  FROM o LEFT JOIN p ON p.source IS NOT DISTINCT FROM o.source AND p.digest = o.digest),
+e AS (SELECT *, unnest(range(times)) AS e FROM x),
+u AS (SELECT *, least(1::DOUBLE, (e * source_size + CASE WHEN e = full_ THEN coalesce(lead_, c) ELSE c END) / greatest(target, 1::DOUBLE)) AS u FROM e),
+v AS (
+  SELECT *, CASE WHEN slope = 0 OR u = 0 THEN u
+    ELSE (sqrt((1::DOUBLE - slope) * (1::DOUBLE - slope) + 4::DOUBLE * slope * u) - (1::DOUBLE - slope)) / (2::DOUBLE * slope) END AS position FROM u),
+q AS (SELECT *, row_number() OVER (ORDER BY position, digest, e) - 1 AS rank FROM v),
+a AS (SELECT digest, sum(size)::BIGINT AS taken, min(position) AS position, string_agg(rank::VARCHAR, ',' ORDER BY rank) AS ranks FROM q GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, position, coalesce(ranks, '') AS ranks
+FROM x LEFT JOIN a USING (digest)
 """
 
 OP1 = rf"""

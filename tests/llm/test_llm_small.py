@@ -358,8 +358,8 @@ def test_mixing(spark):
     rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 40))), s) for i, s in enumerate(rng.choice(["a", "b", "c", None, "tiny"]) if k else "hot" for k in [rng.randrange(3) for _ in range(600)])]
     rows += [(1000, None, "a"), (1001, "", "void"), (5, rows[5][1], rows[5][2])]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
-    got = mixing.mix(df).collect()
-    again = mixing.mix(df.repartition(3)).collect()
+    got = mixing.choose(df).collect()
+    again = mixing.choose(df.repartition(3)).collect()
     key = lambda r: (r.source or "", r.doc_id, r.positions)
     assert len(got) == len(rows) and sorted(map(key, got)) == sorted(map(key, again))
     assert all(0 <= p <= 1 for r in got for p in r.positions) and all(len(r.positions) <= 3 for r in got)
@@ -376,11 +376,69 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_numbers_occurrences_by_training_time(spark):
+    """Ranks are the places in a sort of all training times, and the pipeline's rows stand in that order."""
+    rng = random.Random(10)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(30))), "abc"[i % 3]) for i in range(150)] + [(5, "twice", "a"), (5, "twice", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rank", F.lit("clash"))
+    each = sorted((p, r.digest, e, r.doc_id) for r in mixing.choose(df).collect() for e, p in enumerate(r.positions))
+    got = mixing.mix(df).collect()
+    place = sorted((int(k), r.doc_id) for r in got for k in r.ranks.split(",") if k)
+    assert [k for k, _ in place] == list(range(len(each))) and [d for _, d in place] == [e[3] for e in each]
+    assert all(r.taken == r.size * len([k for k in r.ranks.split(",") if k]) and (r.position is None) == (r.ranks == "") for r in got)
+    out = common.new_dir(spark, "t")
+    mixing.occurrences(df).write.parquet(out)
+    stored = spark.read.parquet(out).select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    assert [r.doc_id for r in stored] == [d for _, d in place]
+
+
+def brute_choice(rows):
+    """Words that the mix takes of each (source, digest), document by document."""
+    source, out = {}, {}
+    for i, t, s in rows:
+        mark = hashlib.md5((t or "").encode()).hexdigest()
+        source.setdefault(s, []).append((hashlib.md5(f"{i}:{mark}".encode()).hexdigest(), len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))
+    names = sorted(source, key=lambda s: (s is None, s))
+    size = {s: sum(n for _, n in source[s]) for s in names}
+    weight, target, free, left = {s: k % 3 + 1 for k, s in enumerate(names)}, {}, set(names), sum(size.values())
+    while over := {s for s in free if 3 * size[s] * sum(weight[x] for x in free) <= weight[s] * left}:
+        target |= {s: 3 * size[s] for s in over}
+        left, free = left - sum(3 * size[s] for s in over), free - over
+    target |= {s: weight[s] * left / sum(weight[x] for x in free) for s in free}
+    for s in names:
+        full = int(target[s] // size[s]) if size[s] else 0
+        missing, todo, first = round(target[s] - full * size[s]), sorted(source[s]), True
+        out |= {(s, d): n * full for d, n in todo}
+        while True:
+            fits = [(d, n) for d, n in todo if 0 < n <= missing]
+            fits.sort(key=lambda x: (0 if first else -x[1].bit_length(), x[0]))
+            taken, c = [], 0
+            for d, n in fits:
+                if c + n > missing:
+                    break
+                taken.append((d, n))
+                c += n
+            if not taken and not first:
+                break
+            missing, first, todo = missing - c, False, [x for x in todo if x not in taken]
+            for d, n in taken:
+                out[s, d] += n
+    return out
+
+
+def test_mix_takes_what_brute_force_takes(spark):
+    rng = random.Random(13)
+    rows = [(i, "w " * rng.choice([1, 2, 7, 30, 200, 1000]), rng.choice(["a", "b", "c", "d", None])) for i in range(400)]
+    rows += [(1000 + s, "w " * 20_000, "ab"[s]) for s in range(2)] + [(2000, None, "a"), (2001, "", "empty"), (2002, "x", "one")]
+    got = {(r.source, r.digest): r.size * len(r.positions) for r in mixing.choose(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == brute_choice(rows)
+
+
 def test_mixing_passes_long_documents(spark):
     """A document longer than the gap doesn't keep the others out, wherever its digest stands, and the passes end with nothing that fits."""
     rng = random.Random(9)
     rows = [(1000 * s + i, "w " * (rng.randrange(1, 40) if i else 6000), f"s{s}") for s in range(4) for i in range(300)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = mixing.choose(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     for s in {r.source for r in got}:
         own = [r for r in got if r.source == s]
         full = int(own[0].target // own[0].source_size)
@@ -391,9 +449,16 @@ def test_mixing_passes_long_documents(spark):
         assert not last or len(set(last)) > len(last) // 2
 
 
-def test_mixing_passes_end_by_size(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "PLAIN", 0)
-    test_mixing_passes_long_documents(spark)
+def test_running_totals(spark):
+    """A key with most of the rows, nulls and ties, over more partitions than rows."""
+    rows = [(1, i) for i in range(90)] + [(None, 5), (None, 6), (2, 7)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = {r: (sum(x[1] for x in order[:i]), i) for i, r in enumerate(order)}
+    for n in (3, 200):
+        got = {(r.k, r.v): (r.s, r.n) for r in common.running_totals(df, [F.col("k"), F.col("v")], {"s": F.col("v"), "n": F.lit(1)}, n).collect()}
+        assert got == want
+    assert common.running_totals(df.limit(0), [F.col("k")], {"s": F.col("v")}).count() == 0
 
 
 def test_positions_invert_demand(spark):
