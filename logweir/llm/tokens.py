@@ -21,12 +21,13 @@ the first of them.  An empty table makes an empty manifest.  Other columns are n
 from __future__ import annotations
 
 import io
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +59,10 @@ class Encoder:
     pieces they are encoded one by one.
     """
 
-    MOST_PIECES, MOST_CHARS, JOINED = 800_000, 32_000_000, 64
+    MOST_PIECES, LONGEST, JOINED, AT_ONCE = 500_000, 64, 64, 2_000
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,15 +74,18 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.chars = self.used = 0
+        self.used = 0
         self.pool = np.empty(1 << 16, np.uint32)
         self.first = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each text's."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        flat, n = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for at in range(0, len(texts), self.AT_ONCE):  # what the tokenizer returns is large
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + self.AT_ONCE], add_special_tokens=False)]
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32)), n.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.concatenate(flat), np.concatenate(n)
 
     @staticmethod
     def _grown(a: np.ndarray, least: int) -> np.ndarray:
@@ -95,27 +100,26 @@ class Encoder:
         self.size[at:end] = n
         self.used += len(ids)
         self.known.update(zip(words, range(at, end)))
-        self.chars += sum(map(len, words))
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember words that aren't known, each as a piece that follows a space.  Tails are remembered behind a line break."""
-        plain, odd, cut, tails = {}, {}, [], {}
-        for w in words:
-            head = w.rstrip(PUNCTUATION)
-            if head and len(head) != len(w) and head[-1].isalnum():
-                tail = "\n" + w[len(head) :]
-                cut.append((w, head, tail))
-                if tail not in self.known:
-                    tails[tail] = None
-                w = head
-                if w in self.known:
-                    continue
-            if w.isascii() and w.isprintable() and "<|" not in w:
-                plain[w] = None
-            elif "<|" in w or any(map(str.isspace, w)) or not w.isprintable():
-                odd[w] = None
+
+    def _learn(self, simple: list[str], words: list[str]) -> None:
+        """Remember words, each as a piece that follows a space: ``simple`` ones of letters and digits, and others.  A word's tail, plain
+        punctuation at its end or all from its first white space on, is a pre-token boundary away from its head; tails are
+        remembered behind a line break."""
+        plain, odd, cuts, tails, todo = dict.fromkeys(simple), {}, ([], []), {}, list(words)
+        for w in todo:  # grows by heads
+            if space := self._space.search(w):
+                head = w[: space.start()]
+            elif w[-1] in PUNCTUATION and (head := w.rstrip(PUNCTUATION)) and head[-1].isalnum():
+                pass
             else:
-                plain[w] = None
+                (odd if "<|" in w or not w.isprintable() else plain)[w] = None
+                continue
+            tail = "\n" + w[len(head) :]
+            cuts[space is not None].append((w, head, tail))
+            if tail not in self.known:
+                tails[tail] = None
+            if head not in self.known:
+                todo.append(head)
         self._add(list(odd), *self.ids([" " + w for w in odd]))
         self._add(list(tails), *self.ids([t[1:] for t in tails]))
         todo = list(plain)
@@ -129,10 +133,13 @@ class Encoder:
                 self._add(part, ids, np.diff(np.r_[starts, len(ids)]))
             else:
                 self._add(part, *self.ids([" " + w for w in part]))
-        code = np.array([(self.known[h], self.known[t]) for _, h, t in cut], np.int64).reshape(-1)
-        n = self.size[code]
-        self._add([w for w, _, _ in cut], gathered(self.pool, self.first[code], n), n.reshape(-1, 2).sum(1))
+        for cut in cuts:  # heads before what they are heads of
+            cut = list({w: (w, h, t) for w, h, t in cut if w not in self.known}.values())
+            code = np.array([(self.known[h], self.known[t]) for _, h, t in cut], np.int64).reshape(-1)
+            n = self.size[code]
+            self._add([w for w, _, _ in cut], gathered(self.pool, self.first[code], n), n.reshape(-1, 2).sum(1))
 
+    _space = re.compile(r"\s")
     # A space before white space or the end is no cut; the class is wider than the tokenizer's white space.
     _odd = r" ([\s\x0B\x1C-\x1F\x{85}\p{Z}]|\z)"
 
@@ -148,7 +155,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` one after the other, ``end_id`` behind each text, and the number of ids of each text."""
-        if len(self.known) > self.MOST_PIECES or self.chars > self.MOST_CHARS:
+        if len(self.known) > self.MOST_PIECES:
             self._forget()
         lists = self._pieces(texts.fill_null(""))
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -157,16 +164,21 @@ class Encoder:
         opening = of[offsets[:-1]]  # a text's first piece has no space before it
         later = np.bincount(of, minlength=len(words)) > np.bincount(opening, minlength=len(words))
         code = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(later & (code < 0)).tolist()
-        self._learn([words[i] for i in new])
-        code[new] = [self.known[words[i]] for i in new]
-        heads = np.unique(opening)
-        own, n_own = self.ids([words[i] for i in heads.tolist()])
+        new = later & (code < 0)
+        long = new & (pc.binary_length(coded.dictionary).to_numpy() > self.LONGEST)  # not worth remembering
+        simple = pc.utf8_is_alnum(coded.dictionary).to_numpy(zero_copy_only=False)
+        pick = lambda mask: list(compress(words, mask.tolist()))
+        new &= ~long
+        self._learn(pick(new & simple), pick(new & ~simple))
+        code[new] = [self.known[w] for w in pick(new)]
+        heads, far = np.unique(opening), np.flatnonzero(long)
+        own, n_own = self.ids([words[i] for i in heads.tolist()] + [" " + words[i] for i in far.tolist()])
         pool = np.concatenate([self.pool[: self.used], own, np.array([end_id], np.uint32)])
         n_own = np.r_[n_own, 1]
         first, size = np.r_[self.first[code], self.used + np.cumsum(n_own) - n_own], np.r_[self.size[code], n_own]
+        first[far], size[far] = first[len(words) + len(heads) : -1], n_own[len(heads) : -1]
         # The pieces of each text, its first one from the heads, and the end id behind them.
-        pieces = np.full(len(of) + len(texts), len(words) + len(heads), np.int64)
+        pieces = np.full(len(of) + len(texts), len(first) - 1, np.int64)
         pieces[np.arange(len(of)) + np.repeat(np.arange(len(texts)), np.diff(offsets))] = of
         start = offsets[:-1] + np.arange(len(texts))
         pieces[start] = len(words) + np.searchsorted(heads, opening)
@@ -190,7 +202,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """Start and end of runs of texts with some ``most`` bytes; a longer text is a run by itself."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
     at = 0
