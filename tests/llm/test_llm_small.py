@@ -207,9 +207,108 @@ def test_pii_candidates_are_whole_runs(spark):
     """Short runs whose digits stand at the end are candidates, and many values not seen before don't make a context weak."""
     runs = ["EMP-2041", "ABCD1234", "ID-12345", "CUST-00123", "x12345"]
     seeds = [f"please write to contact address user{i}@mail{i}.example.com today" for i in range(12)]
-    df = docs(spark, *seeds, *[f"please write to contact address {r} now" for r in runs], *[f"please write to contact address {r} now" for r in ("A1234", "ABCDE123", "abcdef")])
+    df = docs(spark, *seeds, *[f"please write to contact address {r} now" for r in runs], *[f"please write to contact address {r} now" for r in ("A12", "A1234", "abcdef")])
     spans = [r["s"] for r in pii.entities(df).orderBy("row.doc_id").select(pii.listed("spans").alias("s")).collect()]
-    assert spans[12:] == [f"id:32:{32 + len(r)}" for r in runs] + ["", "", ""]
+    assert spans[12:] == [f"id:32:{32 + len(r)}" for r in runs] + ["", "id:32:37", ""]
+
+
+def brute_spans(texts):
+    """All spans by the definitions, with dictionaries."""
+    base = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_pii(t).split(",") if x)] for t in texts]
+    kinds = {k: i for i, k in enumerate(pii.KINDS)}
+
+    def shape(v):
+        if re.fullmatch("[0-9]+", v):
+            return f"digits {len(v)}"
+        return len(v) >= 16 and f"{'hex' if re.fullmatch('[0-9a-f]+|[0-9A-F]+', v) else 'mixed'} {len(v)}"
+
+    def patterns(t, a, b, value):
+        before, after = t[:a].lower(), t[b:].lower()
+        stuck = re.search(r"[^\s\w]*\Z", before)[0]
+        words = before[: len(before) - len(stuck)].split()
+        stuck_after = re.match(r"[^\s\w]*", after)[0]
+        behind = after[len(stuck_after) :].split()
+        out = set()
+        if len(words) > 1:
+            out.add(("L", words[-2], words[-1], stuck))
+        if words and behind:
+            out.add(("B", words[-1], stuck, stuck_after, behind[0]))
+        return out | ({("S", shape(value))} if value and shape(value) else set())
+
+    cue = re.compile(r"(?:^|[^a-z])(?:" + "|".join(pii.CUES) + r")s?[\"']?\s*[:=]\s*[\"']?\Z", re.I)
+    edges, found = {}, []
+    for d, t in enumerate(texts):
+        each = [(a, b, True, None) for _, a, b in base[d]]
+        for m in re.finditer(r"(?<![0-9A-Za-z_-])[A-Za-z_-]*[0-9][0-9A-Za-z_-]*", t):
+            if len(m[0]) >= pii.LENGTH and not any(a < m.end() and m.start() < b for _, a, b in base[d]):
+                each.append((m.start(), m.end(), bool(cue.search(t[: m.start()])), m[0]))
+        for a, b, seed, value in each:
+            own = patterns(t, a, b, value)
+            if value:
+                found.append((d, a, b, own))
+            for p in own:
+                edges[p, t[a:b]] = edges.get((p, t[a:b]), False) or seed
+    seed = {}
+    for (_, v), s in edges.items():
+        seed[v] = max(seed.get(v, 0.0), float(s))
+    score, strong = dict(seed), {}
+    for _ in range(pii.ROUNDS):
+        of = {}
+        for p, v in edges:
+            of.setdefault(p, []).append(score[v])
+        rate = {p: sum(x) / (sum(y > 0 or p[0] == "S" and p[1].startswith("digits") for y in x) + 1) for p, x in of.items()}
+        strong = {p: c for p, c in rate.items() if c >= pii.STRONG and sum(y >= pii.STRONG for y in of[p]) >= pii.SUPPORT}
+        miss = {}
+        for p, v in edges:
+            miss[v] = miss.get(v, 1.0) * (1 - strong.get(p, 0.0))
+        score = {v: max(seed[v], 1 - miss[v]) for v in seed}
+    out = [sorted((kinds[k], k, a, b) for k, a, b in own) for own in base]
+    for d, a, b, own in found:
+        if own & strong.keys():
+            out[d].append((4, "id", a, b))
+    return [",".join(f"{k}:{a}:{b}" for _, k, a, b in sorted(x)) for x in out]
+
+
+def test_pii_spans_match_brute_force(spark):
+    rng = random.Random(15)
+    word = lambda: rng.choice("the of on with to call please write number order is at".split())
+    number = lambda n, letters="0123456789": "".join(rng.choice(letters) for _ in range(n))
+    some = [
+        lambda: f"u{rng.randrange(40)}@m{rng.randrange(9)}.org", lambda: f"+1 ({number(3)}) 555-{number(4)}", lambda: f'token = "{number(40, "0123456789abcdef")}"', lambda: number(rng.choice([4, 8, 16])),
+        lambda: f"order ({number(6)})", lambda: "AB-" + number(4), lambda: f"password: {number(9, 'abc123')}1,", lambda: "w" * 300 + " x1234",
+    ]
+    texts = [" ".join(rng.choice(some)() if rng.random() < 0.25 else word() for _ in range(rng.randrange(30))) for _ in range(150)] + ["", "  ", "x" * 5000 + " " + "y" * 200 + " a1234 " + "z" * 400]
+    got = {r["doc_id"]: r["s"] for r in pii.entities(docs(spark, *texts)).select("row.doc_id", pii.listed("spans").alias("s")).collect()}
+    want = brute_spans(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum("id:" in x for x in want) > 10
+
+
+def test_pii_finds_planted_identifiers(spark):
+    """Identifiers that no base pattern has: after the words that lead to known ones, in assignments, and by a shape seen there."""
+    rng = random.Random(16)
+    number = lambda n, letters="0123456789": "".join(rng.choice(letters) for _ in range(n))
+    filler = lambda: " ".join(rng.choice("la mer est un jour de vent sur terre".split()) for _ in range(12))
+    secret = lambda: number(39, "0123456789abcdef") + "f"
+    rows, planted = [], {}
+    for i in range(600):
+        before, value = filler(), ""
+        if i % 6 == 0:
+            before, value = before + " reach me at", f"user{i}@mail.example.com" if i % 12 else f"EMP-{number(5)}"
+        elif i % 6 == 1:
+            before, value = before + ' token = "', secret()
+        elif i % 6 == 2:
+            value = secret()
+        elif i % 6 == 3:
+            value = number(rng.choice([4, 6, 12]))
+        text = before + (" " if value and before[-1] != '"' else "") + value + (" " if before[-1] != '"' else '" ') + filler()
+        rows.append((i, text))
+        if i % 12 == 0 or i % 6 in (1, 2):
+            planted[i] = f"id:{text.index(value)}:{text.index(value) + len(value)}"
+    got = {r["doc_id"]: [x for x in r["s"].split(",") if x.startswith("id")] for r in pii.entities(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", pii.listed("spans").alias("s")).collect()}
+    hits = sum(planted[i] in got[i] for i in planted)
+    assert hits >= 0.9 * len(planted) and hits >= 0.9 * sum(map(len, got.values()))
+    none = pii.entities(docs(spark).limit(0))
+    assert none.count() == 0 and pii.entities(docs(spark, *["a@b.c 12345"] * 5)).select("spans").distinct().count() == 1
 
 
 # --------------------------------------------------------------------------- toxicity, repeated keys
