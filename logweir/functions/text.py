@@ -29,6 +29,21 @@ def short_label(severity: Column) -> Column:
     return F.upper(F.substring(severity, 1, 4))
 
 
+def prefix_sums(sizes: Column, block: int = 128) -> Column:
+    """Array of the sums of the numbers before each place of ``sizes`` (longs).  Two levels, as a fold that appends copies what it has."""
+    longs = "array<bigint>"
+
+    def folded(values: Column, start: Column) -> Column:
+        first = F.struct(start.cast("long").alias("at"), F.array().cast(longs).alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(values, first, step, lambda acc: acc["out"])
+
+    blocks = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(blocks, lambda i: F.slice(sizes, i, F.lit(block)))
+    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
+    return F.flatten(F.zip_with(parts, folded(sums, F.lit(0)), folded))
+
+
 def normalize_message(message: Column) -> Column:
     """Variable parts replaced by marks, so that messages that differ only in those are equal."""
     for pattern, mark in NORMALISED:
