@@ -6,31 +6,34 @@ the base32 SHA-1 of the full payload in both.  Each task writes an archive of it
 and the manifest names the archives of committed tasks.
 
 Reading is sequential: bytes go through an incremental ``zlib`` inflater, a member at a time; the head ends at the
-first blank line and ``Content-Length`` frames the block, so memory holds one record.  Both digests are
-verified; a record that fails raises ``ValueError`` (or is marked, with ``strict=False``).
+first blank line and ``Content-Length`` frames the block, so memory holds one record.  Digests that a record states are
+verified; a record that fails raises ``ValueError`` (or is marked, with ``strict=False``).  Archives of other writers are read too:
+any record type (``types`` chooses), any record id, with or without digests and HTTP heads; an archive is one task's work.
 
 Defined cases: a null html is an empty payload; a null url has no target URI; a null ``page_id`` is written as
 ``null`` and read back as null.  Pages that tie on the largest ``page_id`` of a payload are all responses; if all ids of a
-payload are null, all are.  Line breaks in urls are percent-encoded.  Other columns aren't stored.
+payload are null, all are.  Repeated rows are a record each; very long payloads are whole; an empty table makes no archive.  Line breaks
+in urls are percent-encoded.  Other columns aren't stored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_dir
+from .common import materialize, new_dir, open_folder
 
 CHUNK = 1 << 16
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, verified boolean"
+TYPES = ("response", "revisit")
+RECORD = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, verified boolean"
 
 
 def digest_of(data: bytes) -> str:
@@ -67,25 +70,61 @@ def members(stream) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Names in lower case -> values; a line that begins with white space goes on with the last value."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _matches(said: str | None, data: bytes) -> bool | None:
+    """Whether ``data`` has the digest that a record states: ``algorithm:value`` in base32 or hex; None if that can't be told."""
+    kind, _, value = (said or "").partition(":")
+    if kind.lower().replace("-", "") not in ("sha1", "sha256", "md5"):
+        return None
+    real = hashlib.new(kind.lower().replace("-", ""), data)
+    return value.upper().rstrip("=") == base64.b32encode(real.digest()).decode().rstrip("=") or value.lower() == real.hexdigest()
+
+
+def _page(urn: str | None) -> int | None:
+    m = re.fullmatch(r"<?urn:x-page:(-?\d+)>?", urn or "")
+    return int(m[1]) if m else None
+
+
 def parse(raw: bytes) -> dict:
-    """Head, block and payload of a record, with the outcome of both digests."""
+    """Head, block and payload of a record, with the outcome of its digests (None if it states none)."""
     top, blank, rest = raw.partition(b"\r\n\r\n")
-    version, *lines = top.decode("utf-8", "surrogatepass").split("\r\n")
-    head = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    size = int(head["content-length"])
+    version, *lines = top.decode("utf-8", "surrogateescape").split("\r\n")
+    head = _fields(lines)
+    length = head.get("content-length", "")
+    if not version.startswith("WARC/") or not blank or not length.isdigit():
+        raise ValueError("this isn't a WARC record")
+    size = int(length)
     block = rest[:size]
-    if not version.startswith("WARC/") or not blank or len(block) != size or rest[size:] != b"\r\n\r\n":
+    if len(block) != size or rest[size:] != b"\r\n\r\n":
         raise ValueError("a record is not framed by its Content-Length")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    fields = dict(line.lower().split(b": ", 1) for line in http.split(b"\r\n")[1:])
-    number = lambda urn: None if urn is None or urn == "<urn:x-page:null>" else int(urn.rpartition(":")[2].rstrip(">"))
-    kind, said = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-    ok = head["warc-block-digest"] == "sha1:" + digest_of(block)
-    if kind == "response":
-        ok = ok and said == digest_of(payload) and len(payload) == int(fields[b"content-length"])
+    kind = head.get("warc-type", "")
+    http = head.get("content-type", "").lower().startswith("application/http") or block[:5] == b"HTTP/"
+    payload, full = (None if kind == "revisit" else block), size
+    if http:
+        top, _, body = block.partition(b"\r\n\r\n")
+        stated = _fields(top.decode("latin-1").split("\r\n")[1:]).get("content-length", "")
+        payload = None if kind == "revisit" else body
+        full = len(body) if payload is not None else int(stated) if stated.isdigit() else None
+    said = head.get("warc-payload-digest")
+    known = [_matches(head.get("warc-block-digest"), block), None if payload is None else _matches(said, payload)]
+    known = [k for k in known if k is not None]
+    digest = said.partition(":")[2] if said else digest_of(payload) if payload is not None else None
     return {
-        "page_id": number(head["warc-record-id"]), "url": head.get("warc-target-uri"), "record_type": kind, "refers_to": number(head.get("warc-refers-to")),
-        "payload_bytes": int(fields[b"content-length"]), "payload_digest": said, "payload": payload if kind == "response" else None, "verified": ok,
+        "record_id": head.get("warc-record-id"), "page_id": _page(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "record_type": kind,
+        "refers_to": _page(head.get("warc-refers-to")), "payload_bytes": full, "payload_digest": digest, "payload": payload, "verified": all(known) if known else None,
     }
 
 
@@ -95,7 +134,7 @@ def _write(out_dir: str):
         for b in batches:
             for page, url, html, refers, kind in zip(*(c.to_pylist() for c in b.columns)):
                 if stream is None:
-                    fs, folder = pafs.FileSystem.from_uri(out_dir)
+                    fs, folder = open_folder(out_dir)
                     fs.create_dir(folder, recursive=True)
                     name = f"pages-{uuid.uuid4().hex}.warc.gz"
                     stream = fs.open_output_stream(f"{folder}/{name}", compression=None)
@@ -121,11 +160,11 @@ def write_warc(pages: DataFrame, out_dir: str, least: int = 0) -> DataFrame:
     return materialize(placed.select("*", kind.alias("kind")).mapInArrow(_write(out_dir), "file string, records long"), "archives")
 
 
-def _read(out_dir: str, payloads: bool, strict: bool):
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary(), "verified": pa.bool_()}
+def _read(out_dir: str, payloads: bool, strict: bool, types: tuple[str, ...] | None):
+    kinds = {"record_id": pa.string(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary(), "verified": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = pafs.FileSystem.from_uri(out_dir)
+        fs, folder = open_folder(out_dir)
         rows: list[dict] = []
         size = 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in kinds.items()], list(kinds))
@@ -134,8 +173,10 @@ def _read(out_dir: str, payloads: bool, strict: bool):
                 with fs.open_input_stream(f"{folder}/{name}", compression=None) as stream:
                     for raw in members(stream):
                         r = parse(raw)
-                        if strict and not r["verified"]:
-                            raise ValueError(f"{name}: a digest of page {r['page_id']} doesn't match")
+                        if types is not None and r["record_type"] not in types:
+                            continue
+                        if strict and r["verified"] is False:
+                            raise ValueError(f"{name}: a digest of {r['record_id']} doesn't match")
                         if not payloads:
                             r["payload"] = None
                         rows.append(r)
@@ -150,9 +191,11 @@ def _read(out_dir: str, payloads: bool, strict: bool):
     return run
 
 
-def read_warc(archives: DataFrame, out_dir: str, payloads: bool = True, strict: bool = True) -> DataFrame:
-    """The records of ``archives(file)``, one task per archive or more archives, as :data:`RECORD`."""
-    return archives.select("file").repartition(F.col("file")).mapInArrow(_read(out_dir, payloads, strict), RECORD)
+def read_warc(archives: DataFrame, out_dir: str, payloads: bool = True, strict: bool = True, types: tuple[str, ...] | None = TYPES) -> DataFrame:
+    """The records of ``archives(file)``, names of files in ``out_dir``, as :data:`RECORD`; ``types`` None reads every record type."""
+    # Ranges of names spread a few archives over as many tasks, and with a number of partitions they stay apart.
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("file").repartitionByRange(n, "file").mapInArrow(_read(out_dir, payloads, strict, types), RECORD)
 
 
 def round_trip(pages: DataFrame, out_dir: str | None = None) -> DataFrame:
