@@ -11,8 +11,11 @@ How a link gets found and confirmed
 3. A bucket is (band, hash).  Its members are candidates of one member only, the star's centre, so a
    bucket of m members makes m - 1 pairs.  The pairs are confirmed on full sets.
 4. A bucket whose members are not all connected by then may hide links between two members that are
-   no centre.  Such buckets go through an exact pass: members in blocks of bounded size, an inverted
-   index per pair of blocks, and only confirmed links come out, at most one per member.
+   no centre.  Such buckets go through an exact pass.  Overlapping buckets form a group; in a group shingles are ordered by
+   rarity, and two sets that are linked share a shingle of their prefixes (a set of n has one of
+   n - ceil(0.75 n) + 1).  Members that share none with anyone not connected to them are done; the others, joined by
+   shared prefix shingles, are compared in blocks of bounded size: an inverted index per pair of blocks, and only
+   confirmed links come out, at most one per member.  So documents that merely share a long passage never meet.
 5. Components of the confirmed links, smallest ``doc_id`` first.
 
 With 32 bands of 4 rows a pair of similarity 0.75 shares no bucket with probability
@@ -21,7 +24,8 @@ With 32 bands of 4 rows a pair of similarity 0.75 shares no bucket with probabil
 Defined cases: a null or empty text, or one of white space only, has no shingle and is linked with nothing.
 Rows with a null ``doc_id`` are returned with a null component and ``kept`` true.  Repeated rows share a
 component; ``kept`` is ``doc_id = component_id`` for each of them.  Rows that share a ``doc_id`` but not a
-text are compared as different documents.  Other columns are ignored.
+text are compared as different documents, ``mark`` (of id and text) tells them apart.  Very long texts are whole; an empty table gives
+an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +35,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WordHashes, _MUL, connected_components, materialize, mix64, shingle_set
 
 BANDS, ROWS, WORDS = 32, 4, 5
 #: A block of the exact pass: this many shingles and members at most (a larger document is a block by itself).
 BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 1_000
+#: A table of units is broadcast up to this many rows of two numbers.
+MANY = 1_000_000
 
 
 class OnePermutation:
@@ -103,7 +110,7 @@ def _features(bands: int, rows: int, words: int):
                         sigs.append(oph.signature(s))
                 found = iter(band_hashes(np.stack(sigs), bands)) if sigs else iter(())
                 hashed = pa.array([next(found).view(np.int64) if k else None for k in keys], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), hashed], ["doc_id", "n", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), hashed], ["doc_id", "mark", "n", "key", "bands"])
 
     return run
 
@@ -172,16 +179,22 @@ def _links(share: tuple[int, int]):
     return run
 
 
+def mark_of(docs: DataFrame) -> Column:
+    """Digest of a document's id and text."""
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return F.md5(F.concat(id_, F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
+
+
 def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``.
+    """``doc_id, mark, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``; ``mark`` is :func:`mark_of`.
 
     ``share`` = (a, b): a link needs b * intersection >= a * union.
     """
     num, den = share
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark_of(docs).alias("mark"))
     seen = materialize(
-        docs.mapInArrow(_features(bands, rows, words), "doc_id long, n long, key binary, bands array<long>"), "minhash"
+        docs.mapInArrow(_features(bands, rows, words), "doc_id long, mark string, n long, key binary, bands array<long>"), "minhash"
     )
     compared = seen.where("key is not null and doc_id is not null")
     reps = materialize(
@@ -192,10 +205,12 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands:
     )
 
     # Buckets of two or more, with the star's centre; the join can split a hot bucket, the count combines early.
-    member = reps.select("rid", F.explode("bands").alias("bucket"))
-    bucket = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rid").alias("center")).where("size > 1")
-    shared = materialize(member.join(bucket, "bucket"), "buckets")
-    star = shared.where("rid <> center").select("center", "rid").distinct()
+    # Sizes go along, so that pairs that can't be similar never get their sets.
+    member = reps.select("rid", "n", F.explode("bands").alias("bucket"))
+    bucket = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rid", "n")).alias("first")).where("size > 1")
+    shared = materialize(member.join(bucket, "bucket").select("bucket", "rid", "n", F.col("first.rid").alias("center"), F.col("first.n").alias("center_n")), "buckets")
+    near = F.least("n", "center_n") * den >= F.greatest("n", "center_n") * num
+    star = shared.where(F.col("rid") != F.col("center")).where(near).select("center", "rid").distinct()
 
     # Sets of the documents in those buckets; a bitmap of bounded size keeps other texts out of the shuffle.
     need = reps.join(shared.select("rid").distinct(), "rid", "left_semi").select("rid", "key", "doc")
@@ -215,7 +230,6 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands:
     first = materialize(
         star.join(sets.select(F.col("rid").alias("center"), F.col("shingles").alias("s")), "center")
         .join(sets, "rid")
-        .where(F.least(F.size("s"), F.size("shingles")) * den >= F.greatest(F.size("s"), F.size("shingles")) * num)
         .where(common * den >= (F.size("s") + F.size("shingles") - common) * num)
         .select(F.col("center").alias("a"), F.col("rid").alias("b")),
         "links",
@@ -231,10 +245,11 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands:
     known = names.join(least, "component_id").select("key", F.col("least").alias("linked"))
     alone = compared.groupBy("key").agg(F.min("doc_id").alias("doc"))
     of = alone.join(known, "key", "left").select("key", F.coalesce("linked", "doc").alias("least"))
-    out = seen.select("doc_id", "n", "key").join(of, "key", "left")
+    out = seen.select("doc_id", "mark", "n", "key").join(of, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select(
         "doc_id",
+        "mark",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
@@ -244,11 +259,8 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands:
 def _rest(shared: DataFrame, reps: DataFrame, sets: DataFrame, first: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links that no star has: pairs of members that are not centres, in buckets that the star's links
     leave in two parts or more.
-
-    Buckets that overlap are one group if comparing the group once costs fewer pairs than comparing
-    each bucket; otherwise each bucket is its own group.  A group is cut into blocks of bounded size and
-    each pair of blocks is one unit of work.
     """
+    num, den = share
     parts = connected_components(first)
     labelled = shared.join(parts.withColumnRenamed("id", "rid"), "rid", "left").select(
         "bucket", "rid", "center", F.coalesce("component_id", "rid").alias("label")
@@ -257,23 +269,28 @@ def _rest(shared: DataFrame, reps: DataFrame, sets: DataFrame, first: DataFrame,
         labelled.groupBy("bucket")
         .agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("m > 2 and lo <> hi")
-        .select("bucket", "m")
+        .select("bucket")
     )
     active = materialize(labelled.join(split, "bucket"), "active")
     groups = connected_components(active.where("rid <> center").select("center", "rid"), "center", "rid")
-    named = active.join(groups.withColumnsRenamed({"id": "rid", "component_id": "grp"}), "rid")
-    cost = (
-        named.groupBy("grp", "bucket").agg(F.count("*").cast("double").alias("k"))
-        .groupBy("grp").agg(F.sum(F.col("k") * F.col("k")).alias("by_bucket"))
-        .join(groups.groupBy(F.col("component_id").alias("grp")).agg(F.count("*").cast("double").alias("size")), "grp")
-        .select("grp", (F.col("size") * F.col("size") <= F.col("by_bucket")).alias("whole"))
-    )
-    unit = F.when(F.col("whole"), F.struct(F.lit(True).alias("w"), F.col("grp").alias("id"))).otherwise(F.struct(F.lit(False).alias("w"), F.col("bucket").alias("id")))
-    rows = named.join(cost, "grp").select(unit.alias("unit"), "rid", "label").distinct().join(reps.select("rid", "n"), "rid")
-    sizes = rows.groupBy("unit").agg(
+    rows = groups.select(F.col("id").alias("rid"), F.col("component_id").alias("grp")).join(active.select("rid", "label").distinct(), "rid")
+    # Prefixes: a set's rarest shingles within its group.
+    each = materialize(rows.join(sets, "rid").select("grp", "rid", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "members")
+    common = each.groupBy("grp", "s").agg(F.count("*").alias("k")).where("k > 1")
+    kept = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    place = F.row_number().over(Window.partitionBy("grp", "rid").orderBy("k", "s"))  # a document's own shingles
+    ranked = each.join(common, ["grp", "s"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("place", place)
+    prefix = materialize(ranked.where((F.col("place") <= kept) & (F.col("k") > 1)).select("grp", "rid", "label", "s"), "prefixes")
+    posting = prefix.groupBy("grp", "s").agg(F.min("rid").alias("center"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    met = prefix.join(posting.select("grp", "s", "center"), ["grp", "s"]).where("rid <> center").select("center", "rid").distinct()
+    units = connected_components(met, "center", "rid").select(F.col("id").alias("rid"), F.col("component_id").alias("unit"))
+    todo = materialize(units.join(rows.select("rid", "label"), "rid").join(reps.select("rid", "n"), "rid"), "units")
+    sizes = todo.groupBy("unit").agg(
         F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_SHINGLES), F.count("*") / F.lit(BLOCK_MEMBERS))).cast("int").alias("blocks")
     )
-    placed = rows.join(sizes, "unit").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    # The units of one block need no join; those of more are few.
+    large = F.broadcast(sizes.where("blocks > 1")) if sizes.where("blocks > 1").count() <= MANY else sizes.where("blocks > 1")
+    placed = todo.join(large, "unit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "rid", "label"
     )

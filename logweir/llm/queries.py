@@ -20,7 +20,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

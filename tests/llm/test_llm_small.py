@@ -1,5 +1,6 @@
 """Edge cases of the operators: nulls, empty and repeated rows, ties, empty tables, clashing columns, brute force."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -111,6 +112,48 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_ties_repeats_and_clashes(spark):
+    """Pages that share the largest id of a payload are all responses; repeated rows are records of their own; other columns don't matter."""
+    rows = [(7, "u", "same"), (7, "v", "same"), (3, "u", "same"), (3, "u", "same"), (None, "u", "only null"), (9, "long", "z" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"payload": F.lit("clash"), "kind": F.lit(1), "mark": F.lit(2), "refers": F.lit(3)})
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(df).collect()), key=str)
+    assert got == sorted([(7, "response", None, 4)] * 2 + [(3, "revisit", 7, 4)] * 2 + [(None, "response", None, 9), (9, "response", None, 3_000_000)], key=str)
+
+
+def test_warc_archives_are_read_in_as_many_tasks(spark):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(40)], "page_id long, url string, html string")
+    out = common.new_dir(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        archives = warc.write_warc(df, out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = warc.read_warc(archives, out)
+    assert archives.count() == 4 and read.select(F.spark_partition_id()).distinct().count() == 4 and read.count() == 40
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    """Records without digests, with other ids, types and heads, as other tools write them."""
+    http = "HTTP/1.1 200 OK\r\nServer:x\r\nX-Long: a\r\n b\r\n\r\n"
+    plain = [
+        ("warcinfo", {"WARC-Record-ID": "<urn:uuid:a>", "Content-Type": "application/warc-fields"}, "software: x\r\n"),
+        ("request", {"WARC-Record-ID": "<urn:uuid:b>", "Content-Type": "application/http;msgtype=request", "WARC-Target-URI": "http://a/"}, "GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        ("response", {"WARC-Record-ID": "<urn:uuid:c>", "Content-Type": "application/http; msgtype=response", "WARC-Target-URI": "http://a/"}, http + "body\r\n\r\nmore"),
+        ("response", {"WARC-Record-ID": "<urn:uuid:d>", "Content-Type": "application/http", "WARC-Payload-Digest": "sha1:" + hashlib.sha1(b"x").hexdigest()}, http + "x"),
+        ("resource", {"WARC-Record-ID": "<urn:uuid:e>", "WARC-Block-Digest": "md5:" + hashlib.md5(b"y").hexdigest()}, "y"),
+        ("revisit", {"WARC-Record-ID": "<urn:uuid:f>", "WARC-Refers-To": "<urn:uuid:c>", "Content-Type": "application/http"}, http),
+    ]
+    raw = b"".join(gzip.compress(("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in {"WARC-Type": kind, **head, "Content-Length": len(body)}.items()) + "\r\n" + body + "\r\n\r\n").encode()) for kind, head, body in plain)
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    archives = spark.createDataFrame([("a.warc.gz",)], "file string")
+    rows = warc.read_warc(archives, f"file://{tmp_path}", types=None).collect()
+    assert [(r.record_type, r.record_id, r.verified) for r in rows] == [(k, h["WARC-Record-ID"], {"<urn:uuid:d>": True, "<urn:uuid:e>": True}.get(h["WARC-Record-ID"])) for k, h, _ in plain]
+    assert bytes(rows[2].payload) == b"body\r\n\r\nmore" and rows[2].payload_digest == warc.digest_of(bytes(rows[2].payload)) and rows[5].payload is None and rows[5].payload_bytes is None
+    assert [r.record_id for r in warc.read_warc(archives, f"file://{tmp_path}").collect()] == ["<urn:uuid:c>", "<urn:uuid:d>", "<urn:uuid:f>"]
+    with pytest.raises(ValueError):
+        warc.parse(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n")
+
+
 def test_warc_damage():
     good = warc.record("response", 1, "u", b"hello", None)
     raw = next(warc.members(__import__("io").BytesIO(good)))
