@@ -186,7 +186,8 @@ def mark_of(docs: DataFrame) -> Column:
 
 
 def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """``doc_id, mark, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``; ``mark`` is :func:`mark_of`.
+    """``doc_id, mark, n_shingles, component_id, component, kept`` for every row of ``docs(doc_id, text, ...)``; ``mark`` is :func:`mark_of`,
+    ``component`` the component's name, which tells two apart whose smallest ids are the same; null without shingles or id.
 
     ``share`` = (a, b): a link needs b * intersection >= a * union.
     """
@@ -241,10 +242,10 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands:
         parts.join(reps.select(F.col("rid").alias("id"), "key", "doc"), "id")
         .select("key", "component_id", "doc")
     )
-    least = names.groupBy("component_id").agg(F.min("doc").alias("least"))
-    known = names.join(least, "component_id").select("key", F.col("least").alias("linked"))
+    least = names.groupBy("component_id").agg(F.min("doc").alias("least"), F.min("key").alias("name"))
+    known = names.join(least, "component_id").select("key", F.col("least").alias("linked"), "name")
     alone = compared.groupBy("key").agg(F.min("doc_id").alias("doc"))
-    of = alone.join(known, "key", "left").select("key", F.coalesce("linked", "doc").alias("least"))
+    of = alone.join(known, "key", "left").select("key", F.coalesce("linked", "doc").alias("least"), F.coalesce("name", "key").alias("name"))
     out = seen.select("doc_id", "mark", "n", "key").join(of, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select(
@@ -252,6 +253,7 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands:
         "mark",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.hex("name")).alias("component"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
