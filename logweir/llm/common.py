@@ -7,6 +7,7 @@ import json
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +95,20 @@ def running_totals(df: DataFrame, order: list[Column], values: dict[str, Column]
     return out.select(*df.columns, *[(F.col(f"__before_{k}") + F.col(k)).alias(k) for k in values])
 
 
+def packed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``row``, a struct of the columns in ``carry`` (all), and ``text`` unless ``row`` has it as a string, so that texts go to
+    Python once; :func:`texts_of` finds them in a batch."""
+    names = carry or docs.columns
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+    inside = "text" in names and docs.schema["text"].dataType.simpleString() == "string"
+    return own.drop("text") if inside else own
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    names = batch.schema.names
+    return batch.column("text") if "text" in names else batch.column("row").field("text")
+
+
 def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table as a constant of the plan, without Python workers; ``schema`` is DDL."""
     kind = StructType.fromDDL(schema)

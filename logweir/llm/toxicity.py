@@ -12,15 +12,24 @@ Scoring: every word has a score; all maximal-scoring segments come from one line
 disjoint candidates).  A segment of score S in a text of n words has significance
 lambda S - ln(K n); those above ``SIGNIFICANT`` are reported as passages.
 
+Words are runs of letters and digits of any script.  A run of more than ``LONG`` characters, as scripts without spaces have them,
+counts as its overlapping pieces of ``PIECE`` characters.
+
+Bounds: ``MAX_ROWS`` labelled rows; what is learned from them must fit ``MAX_TOKENS`` tokens, or :func:`fit` raises an error (a
+smaller sample helps).  Nothing is cut to fit.
+
 Defined cases: null and empty texts have no words and get the score of a text without any passage.  Labels
 that are null or whose ``doc_id`` is null are ignored; several labels of one ``doc_id`` count as toxic
-if one says so.  Repeated documents are scored row by row; in learning, rows equal in id and text are one.  Without any toxic or any clean label all
-scores are the share of toxic labels (0 without labels).  Input columns come back in the struct ``row``.
+if one says so.  Repeated documents are scored row by row; in learning, rows equal in id and text are one.  Very long texts are scored
+whole.  Ties in a token's score change nothing.  Without any toxic or any clean label all
+scores are the share of toxic labels (0 without labels); without documents there are none.  Input columns come back in the struct
+``row``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,18 +39,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, materialize
+from .common import bounded_rows, materialize, packed, texts_of
 
-MAX_ROWS, MAX_TOKENS = 100_000, 50_000
+MAX_ROWS, MAX_TOKENS = 100_000, 1_000_000
 PRIOR, Z, SEEN = 0.1, 3.0, 5
+LONG, PIECE = 32, 4
 #: Score of a word that tells nothing; two strong words some dozen words apart still form one passage.
 IDLE = -0.1
 SIGNIFICANT = 3.0
-_TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_RUN = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
+    """Lower-cased words as UTF-8, long runs in pieces."""
+    if not text:
+        return []
+    if text.isascii():
+        words = text.lower().encode().translate(_TABLE).split()
+    else:
+        words = [w.encode() for w in _RUN.findall(text.lower())]
+    if not words or len(max(words, key=len)) <= LONG:
+        return words
+    out: list[bytes] = []
+    for w in words:
+        run = w.decode() if len(w) > LONG else ""
+        out += [run[i : i + PIECE].encode() for i in range(len(run) - PIECE + 1)] if len(run) > LONG else [w]
+    return out
 
 
 def prefixes(word: bytes) -> tuple[bytes, ...]:
@@ -58,7 +82,7 @@ class TokenScores(dict):
         self.known = known
 
     def __missing__(self, word: bytes) -> float:
-        s = next((self.known[k] for k in prefixes(word) if k in self.known), IDLE) if len(word) <= 64 else IDLE
+        s = next((self.known[k] for k in prefixes(word) if k in self.known), IDLE)
         if len(self) > 300_000:
             self.clear()
         self[word] = s
@@ -131,7 +155,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counted = (Counter(), Counter())
     for b in batches:
         for text, y in zip(b.column(0), b.column(1)):
-            counted[y.as_py()].update({w for w in words_of(text.as_py()) if len(w) <= 64})
+            counted[y.as_py()].update(set(words_of(text.as_py())))
         if len(counted[0]) + len(counted[1]) > 200_000:
             yield flush()
     yield flush()
@@ -185,7 +209,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_tokens: int = MAX_TOKENS) -> Model:
     """Learn from ``labels(doc_id, toxic)`` and the texts of those rows; ``max_rows`` bounds the sample
-    (by a hash of the id, so no end of the table is preferred), ``max_tokens`` the model."""
+    (by a hash of the id, so no end of the table is preferred); more than ``max_tokens`` telling tokens are an error."""
     one = materialize(
         labels.where("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -218,40 +242,44 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_tokens
     odds = F.log((F.col("toxic") + alpha) / F.lit(t + prior)) - F.log((F.col("clean") + alpha) / F.lit(c + prior))
     z = odds / F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
     scored = tokens.select("token", odds.alias("odds"), z.alias("z"), (F.col("clean") + F.col("toxic")).alias("n"))
-    strong = scored.where((F.abs("z") >= Z) & (F.col("n") >= SEEN)).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens).collect()
+    strong = bounded_rows(scored.where((F.abs("z") >= Z) & (F.col("n") >= SEEN)), max_tokens, "the table of telling tokens")
     known = {bytes(r.token): float(r.odds) if r.odds > 0 else max(float(r.odds), -1.0) for r in strong}
     # Words seen often enough to speak for themselves don't take their prefix's score.
     heads = [bytes(r.token) for r in strong if bytes(r.token)[:1] != b"w"]
     if heads:
         spark = docs.sparkSession
         head = F.broadcast(spark.createDataFrame([(bytearray(h),) for h in heads], "head binary"))
-        word = F.decode(F.substring(F.col("token"), 2, 1_000), "UTF-8")
+        word = F.decode(F.substring(F.col("token"), 2, 4 * LONG), "UTF-8")  # words have LONG characters at most
         plain = scored.where((level == F.lit(b"w")) & (F.abs("z") < Z) & (F.col("n") >= SEEN))
         keys = F.explode(F.array(*[F.encode(F.concat(F.lit(str(k)), F.substring(word, 1, k)), "UTF-8") for k in (5, 4)]))
-        for r in plain.select("token", "n", keys.alias("head")).join(head, "head", "left_semi").select("token", "n").distinct().orderBy(F.desc("n"), "token").limit(max_tokens).collect():
+        own = plain.select("token", keys.alias("head")).join(head, "head", "left_semi").select("token").distinct()
+        for r in bounded_rows(own, max_tokens, "the table of words that tell nothing"):
             known.setdefault(bytes(r.token), IDLE)
     shown = texts.where(held)
     n = shown.count()
     if n > max_rows:  # one id with many texts
         shown = shown.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n)) < max_rows * 9 // 10)
-    rows = bounded_rows(
-        shown.select("text", "y").mapInArrow(_evidence(known), "y int, n long, segments array<double>, value array<double>, count array<long>")
-        .select("y", "n", F.slice(F.reverse(F.array_sort("segments")), 1, 64).alias("segments"), "value", "count"),
-        max_rows, "calibration rows",
+    seen = materialize(
+        shown.select("text", "y").mapInArrow(_evidence(known), "y int, n long, segments array<double>, value array<double>, count array<long>"), "calibration"
     )
     model = Model(known=known, base=total.toxic / total.n)
-    y = np.array([r.y for r in rows])
-    if len(set(y.tolist())) < 2:
+    best = F.coalesce(F.array_max("segments"), F.lit(0.0))
+    rows = bounded_rows(seen.select("y", "n", best.alias("best")), max_rows, "calibration rows")
+    if len({r.y for r in rows}) < 2:
         return model
+    # A score is a multiple of 0.1 here, so there are few values.
+    pairs = seen.where("y = 0").select(F.explode(F.arrays_zip("value", "count")).alias("p"))
+    hist = sorted((r.value, r.n) for r in pairs.groupBy(F.col("p.value").alias("value")).agg(F.sum("p.count").alias("n")).collect())
+    model.rate = _rate(np.array([v for v, _ in hist]), np.array([n for _, n in hist], float))
     clean = [r for r in rows if not r.y and r.n]
-    hist: Counter = Counter()
-    for r in clean:
-        hist.update(dict(zip(r.value, r["count"])))
-    model.rate = _rate(np.array(list(hist)), np.array(list(hist.values()), float))
-    gumbel = sum(r.n * math.exp(-model.rate * max(r.segments, default=0.0)) for r in clean)
+    gumbel = sum(r.n * math.exp(-model.rate * r.best) for r in clean)
     model.k = len(clean) / gumbel if gumbel else 1.0
-    x = np.array([model.evidence([(0, 0, s) for s in r.segments], r.n) for r in rows])
-    model.curve = tuple(map(float, _logistic(x, y)))
+    # The evidence of every calibration row from all its segments, as in scoring.
+    level = F.log(F.greatest(F.lit(model.k) * F.col("n"), F.lit(1.0)))
+    gains = F.transform("segments", lambda s: F.greatest(F.lit(model.rate) * s - level, F.lit(0.0)))
+    evidence = seen.select("y", F.greatest(-level, F.lit(model.rate) * best - level).alias("best"), F.log1p(F.aggregate(gains, F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    rows = sorted(bounded_rows(evidence, max_rows, "calibration rows"))
+    model.curve = tuple(map(float, _logistic(np.array([(r.best, r.total) for r in rows]), np.array([r.y for r in rows]))))
     return model
 
 
@@ -260,7 +288,7 @@ def _score(model: Model):
         table = TokenScores(model.known)
         for b in batches:
             score, start, end, strength = [], [], [], []
-            for text in b.column(1):
+            for text in texts_of(b):
                 words = words_of(text.as_py())
                 s = np.fromiter(map(table.__getitem__, words), float, len(words))
                 found = segments(s)
@@ -270,15 +298,16 @@ def _score(model: Model):
                 start.append([p for p, _, _ in shown]), end.append([q for _, q, _ in shown]), strength.append([x for _, _, x in shown])
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(score, pa.float64()), pa.array(start, ints), pa.array(end, ints), pa.array(strength, pa.list_(pa.float64()))],
+                [b.column("row"), pa.array(score, pa.float64()), pa.array(start, ints), pa.array(end, ints), pa.array(strength, pa.list_(pa.float64()))],
                 ["row", "score", "starts", "ends", "significance"],
             )
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``row, score, starts, ends, significance``: probability and the significant passages (in words) of every row."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(_score(model), f"row {kind}, score double, starts array<int>, ends array<int>, significance array<double>")
+def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+    """``row, score, starts, ends, significance``: probability and the significant passages (in words) of every row; ``row`` has
+    the columns in ``carry`` (all)."""
+    rows = packed(docs, carry)
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_score(model), f"row {kind}, score double, starts array<int>, ends array<int>, significance array<double>")
