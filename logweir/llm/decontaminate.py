@@ -15,7 +15,8 @@ it in one narrow pass; no document is shuffled.
 
 Defined cases: null, empty and wordless texts have no words and no hits; items with a null ``item_id`` or
 without words are ignored; items that share an id count once; repeated documents are judged
-row by row.  All input columns come back inside the struct ``row``, so their names can't clash.
+row by row, very long ones whole; without items nothing is hit, without documents there is no row.  All input columns come back inside
+the struct ``row``, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, windows_hash
+from .common import mix64, packed, texts_of, windows_hash
 
 WINDOW, SHINGLE = 10, 5
-#: Words of items in a block (a single longer item is a block's part by itself).
-BLOCK_WORDS = 1_000_000
+#: Words of items in a block, some 80 MB in a task (a longer item is a block's part by itself).
+BLOCK_WORDS = 250_000
 
 # Words are runs of 0-9, a-z (A-Z lower-cased) and code points from U+0080.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -146,7 +147,7 @@ def _probe(own: Probe) -> object:
         for b in batches:
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
                 lengths, starts, ends, items = [], [], [], []
-                for text, s, e, known in zip(*(part.column(c) for c in ("text", "starts", "ends", "item_ids"))):
+                for text, s, e, known in zip(texts_of(part), *(part.column(c) for c in ("starts", "ends", "item_ids"))):
                     ids = own.windows.numbers(words_of(text.as_py()))
                     hit = np.zeros(len(ids) + 2, bool)
                     for p, q in zip(s.as_py() or (), e.as_py() or ()):
@@ -157,26 +158,27 @@ def _probe(own: Probe) -> object:
                     edge = np.flatnonzero(hit[1:] != hit[:-1]).astype(np.int32)
                     lengths.append(len(ids)), starts.append(edge[::2]), ends.append(edge[1::2]), items.append(sorted(found))
                 ints = pa.list_(pa.int32())
+                same = [c for c in ("row", "text") if c in part.schema.names]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("text"), pa.array(lengths, pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array(items, pa.list_(pa.int64()))],
-                    ["row", "text", "n_words", "starts", "ends", "item_ids"],
+                    [*map(part.column, same), pa.array(lengths, pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array(items, pa.list_(pa.int64()))],
+                    [*same, "n_words", "starts", "ends", "item_ids"],
                 )
 
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
     """``row, n_words, starts, ends, item_ids`` for every row of ``docs(text, ...)``.
 
-    ``row`` has the document's columns, ``starts``/``ends`` the hit runs of words (end exclusive) and
+    ``row`` has the document's columns (those in ``carry``), ``starts``/``ends`` the hit runs of words (end exclusive) and
     ``item_ids`` the ids of ``items(item_id, text)`` with a window in the text.
     """
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     words = items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     blocks = max(1, -(-words // BLOCK_WORDS))
     text = F.col("text").cast("string")
-    out = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.lit(0).cast("long").alias("n_words"),
+    out = packed(docs, carry).select(
+        "*", F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<long>").alias("item_ids"),
     )
     for block in range(blocks):  # each block is bounded, so what is collected and sent is too

@@ -42,7 +42,7 @@ def held_out() -> Column:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels").where(~held_out()))
-    return toxicity.score(docs.select("doc_id", "text"), model).select(
+    return toxicity.score(docs, model, ["doc_id"]).select(
         "row.doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     ).withColumn("held_out", held_out())
 
@@ -65,7 +65,7 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), carry=["doc_id"]))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,94 @@ def test_segments_match_brute_force():
         want = best(0, len(s))
         assert sum(e[2] for e in got) == pytest.approx(sum(s[i:j].sum() for i, j in want))
         assert not got or max(e[2] for e in got) == pytest.approx(max(s[i:j].sum() for i, j in want))
+        # Without ties the segments are the same ones.
+        s = rng.normal(-0.3, 1, len(s))
+        assert [(i, j) for i, j, _ in toxicity.segments(s)] == best(0, len(s))
+
+
+def test_toxic_words_of_any_length_and_script():
+    assert toxicity.words_of("A\u00a0b,c_d\u3000Été 12") == [b"a", b"b", b"c", b"d", "été".encode(), b"12"] and toxicity.words_of(None) == toxicity.words_of("--") == []
+    assert toxicity.words_of("x" * 32) == [b"x" * 32] and toxicity.words_of("ok " + "y" * 40) == [b"ok"] + [b"yyyy"] * 37
+    assert toxicity.words_of("語" * 33) == [("語" * 4).encode()] * 30 and len(toxicity.words_of("ab" * 100_000)) == 199_997
+
+
+def test_toxicity_matches_brute_force(spark):
+    """Log-odds, back-off, extreme values, evidence and score by their definitions, with more than 64 passages and long words in the texts."""
+    rng = random.Random(21)
+    rows, labels, calm = [], {}, ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    for i in range(400):
+        y = i % 3 == 0 or i % 50 == 0
+        words = [rng.choice(calm) if rng.random() > (0.3 if y else 0.02) else rng.choice(["vile", "nasty"] + ["q" * 70] * y) for _ in range(rng.randrange(5, 60))]
+        if i % 50 == 0:
+            words = (["vile", "nasty", "vile"] + [rng.choice(calm) for _ in range(80)]) * 70
+        rows.append((i, " ".join(words)))
+        labels[i] = int(y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    held = {r.doc_id for r in df.where(F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).collect()}
+
+    def words(t):
+        out = []
+        for w in re.findall("[a-z0-9]+", t.lower()):
+            out += [w] if len(w) <= 32 else [w[i : i + 4] for i in range(len(w) - 3)]
+        return out
+
+    keys = lambda w: ["w" + w, "5" + w[:5], "4" + w[:4]]
+    count = {}
+    for i, t in rows:
+        if i not in held:
+            for w in set(words(t)):
+                for k in keys(w):
+                    count.setdefault(k, [0, 0])[labels[i]] += 1
+    total = [sum(v[y] for k, v in count.items() if k[0] == "w") for y in (0, 1)]
+    odds, known = {}, {}
+    for k, (c, t) in count.items():
+        a = toxicity.PRIOR * (c + t)
+        o = np.log((t + a) / (total[1] + toxicity.PRIOR * sum(total))) - np.log((c + a) / (total[0] + toxicity.PRIOR * sum(total)))
+        odds[k] = (o, o / np.sqrt(1 / (t + a) + 1 / (c + a)))
+        if abs(odds[k][1]) >= toxicity.Z and c + t >= toxicity.SEEN:
+            known[k] = o if o > 0 else max(o, -1.0)
+    for k, (c, t) in count.items():
+        if k[0] == "w" and abs(odds[k][1]) < toxicity.Z and c + t >= toxicity.SEEN and {x for x in keys(k[1:])[1:]} & known.keys():
+            known.setdefault(k, toxicity.IDLE)
+    assert {k.decode(): pytest.approx(v) for k, v in model.known.items()} == known
+    score = lambda t: np.array([next((known[k] for k in keys(w) if k in known), toxicity.IDLE) for w in words(t)])
+
+    def passages(s):  # the recursive definition, by running totals
+        found, todo = [], [(0, len(s))]
+        while todo:
+            lo, hi = todo.pop()
+            total, low, at, best = 0.0, 0.0, lo, (0.0, 0, 0)
+            for j in range(lo, hi):
+                total += s[j]
+                if total - low > best[0] + 1e-12:
+                    best = (total - low, at, j + 1)
+                if total < low:
+                    low, at = total, j + 1
+            if best[0] > 0:
+                found.append(best[0])
+                todo += [(lo, best[1]), (best[2], hi)]
+        return found
+
+    clean = np.concatenate([np.round(score(t), 1) for i, t in rows if i in held and not labels[i]])
+    assert np.mean(np.exp(model.rate * clean)) == pytest.approx(1, abs=1e-6) and model.rate > 0
+    quiet = [(len(words(t)), max(passages(score(t)), default=0.0)) for i, t in rows if i in held and not labels[i]]
+    assert model.k == pytest.approx(len(quiet) / sum(n * np.exp(-model.rate * x) for n, x in quiet))
+
+    def evidence(t):
+        level = np.log(max(model.k * len(words(t)), 1))
+        x = np.array(passages(score(t)))
+        return max([-level, *(model.rate * x - level)]), np.log1p(np.maximum(model.rate * x - level, 0).sum() if len(x) else 0)
+
+    x = np.array([(1, *evidence(t)) for i, t in rows if i in held])
+    y, w = np.array([labels[i] for i, _ in rows if i in held]), np.array(model.curve)
+    assert abs(x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 1e-2 * w).max() < 1e-4  # the curve's likelihood is at its top
+    got = {r.row.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert got == {i: pytest.approx(1 / (1 + np.exp(-(w @ (1, *evidence(t))))), abs=1e-6) for i, t in rows}
+    assert max(len(passages(score(t))) for _, t in rows) > 64
+    with pytest.raises(ValueError, match="telling"):
+        toxicity.fit(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), max_tokens=1)
+    assert toxicity.score(df.limit(0), model).count() == 0
 
 
 def test_toxicity_learns_and_handles_odd_rows(spark):
@@ -483,6 +571,46 @@ def test_quality_judges(spark):
     assert quality.judge(df, labels.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def test_quality_matches_brute_force(spark):
+    """Path lengths node by node, the threshold by trying all, and rates on rows that neither the forest nor the threshold saw."""
+    rng = np.random.default_rng(22)
+    x, odd = rng.normal(size=(300, 4)), rng.normal(4, 1, size=(9, 4))
+    forest = quality.Forest(x, odd, trees=20, sample=64)
+
+    def path(tree, row):
+        stat, split, left, right, length = tree
+        at = 0
+        while stat[at] >= 0:
+            at = left[at] if row[stat[at]] < split[at] else right[at]
+        return length[at]
+
+    points = np.r_[x[:40], odd]
+    want = [2 ** (-np.mean([path(t, p) for t in forest.trees]) / forest.expected) for p in points]
+    assert forest.anomaly(points) == pytest.approx(np.array(want))
+    harmonic = lambda n: sum(1 / i for i in range(1, n + 1))
+    assert forest.average(256) == pytest.approx(2 * harmonic(255) - 2 * 255 / 256, abs=0.01) and forest.average(1) == 0
+    for _ in range(200):
+        n = rng.integers(2, 30)
+        a, good, copies = rng.integers(0, 8, n) / 8, rng.random(n) < 0.7, rng.integers(1, 4, n)
+        loss = rng.choice([0.0, 0.1, 0.5])
+
+        def gain(cut):
+            hit, lost = (copies * ((a > cut) & ~good)).sum() / max((copies * ~good).sum(), 1), (copies * ((a > cut) & good)).sum() / max((copies * good).sum(), 1)
+            return hit - lost if lost <= loss else -1
+
+        cut = quality.threshold(a, good, loss, copies)
+        cuts = [v - 1e-9 for v in a]
+        best = max(map(gain, cuts))
+        assert (cut == np.inf and (best < 0 or good.all() or not good.any())) or gain(cut) == pytest.approx(best)
+    texts = [" ".join("w%d" % rng.integers(5000) for _ in range(80)) + "." for _ in range(900)] + [" ".join("w%d%s" % (rng.integers(5000), "##" * rng.integers(0, 2)) for _ in range(80)) for _ in range(60)]
+    df, labels = docs(spark, *texts), [(i, int(i < 900)) for i in range(960)]
+    known = spark.createDataFrame([r for r in labels if r[0] % 3], "doc_id long, quality int")
+    got = {r.row.doc_id: r.kept for r in quality.judge(df, known).collect()}
+    unseen = [i for i, _ in labels if i % 3 == 0]
+    assert sum(not got[i] for i in unseen if i >= 900) >= 18 and sum(not got[i] for i in unseen if i < 900) <= 9
+    assert quality.judge(df.limit(0), known).count() == 0
+
+
 def test_quality_sample_with_one_key_in_most_rows(spark):
     rng = random.Random(11)
     texts = [" ".join("w%d" % rng.randrange(5000) for _ in range(80)) for _ in range(60)]
