@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,14 +36,18 @@ def detect_formats(lines: DataFrame, files: DataFrame, profiles: list[Profile],
     return judged.select("path", F.coalesce("best.id", F.lit(PLAIN_TEXT)).alias("profile_id"), F.coalesce("best.confidence", F.lit(0.0)).alias("detection_confidence"))
 
 
-# Shapes of timestamps at the start of a line that a proposed profile may have.
+# Shapes of timestamps that a proposed profile may have, the first of the best share wins.
 SHAPES = (
-    (r"^\[?\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "%Y-%m-%dT%H:%M:%S"), (r"^\[?\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "%Y-%m-%d %H:%M:%S"),
-    (r"^\[?\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}", "%Y/%m/%d %H:%M:%S"), (r"^\[?\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}", "%d.%m.%Y %H:%M:%S"),
-    (r"^\[?\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M", "%m/%d/%Y %I:%M:%S %p"), (r"^\[?\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}", "%m/%d/%Y %H:%M:%S"),
-    (r"^\[?[A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}", "%b %d %H:%M:%S"), (r"^\[?\d{2}-[A-Z][a-z]{2}-\d{4} \d{2}:\d{2}:\d{2}", "%d-%b-%Y %H:%M:%S"),
-    (r"^\d{10}(?:\.\d+)?\s", ""),
-)
+    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})", "%Y-%m-%dT%H:%M:%S%.f%z"),
+    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?", "%Y-%m-%d %H:%M:%S"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d+", "%Y-%m-%d %H:%M:%S,%3f"),
+    (r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}", "%d.%m.%Y %H:%M:%S"),
+    (r"\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}", "%d/%b/%Y:%H:%M:%S %z"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}", "%m/%d/%Y %H:%M"),
+    (r"^\d{1,2}/\d{1,2}/\d{2} \d{2}:\d{2}:\d{2}", "%m/%d/%y %H:%M:%S"),
+    (r"^[A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}", "%b %e %H:%M:%S"),
+    (r"^\d{1,2} [A-Z][a-z]+ \d{4} \d{2}:\d{2}:\d{2}", "%d %B %Y %H:%M:%S"),
+)
 LEVEL_WORDS = {"Critical": ["FATAL", "CRITICAL"], "Error": ["ERROR"], "Warning": ["WARNING", "WARN"], "Info": ["INFO"], "Debug": ["DEBUG", "TRACE"]}
 
 
@@ -79,6 +81,6 @@ def infer_profile(lines: DataFrame, files_per_group: int = 5, lines_per_group: i
 def proposed(row, profile_id: str) -> Profile:
     """A profile from a row of :func:`infer_profile`; it has to be checked by its reader."""
     shape = next((p for p, f in SHAPES if f == row.timestamp_format), r"^\S")
-    body = re.sub(r"^\^(\\\[\?)?", "", shape)
-    opening = r"\[?" if shape.startswith(r"^\[?") else ""
-    return Profile(profile_id, profile_id, shape, rf"^{opening}(?P<timestamp>{body})\]?\s*(?P<message>.+)$", row.timestamp_format or "", files=(row.glob,), levels={k: LEVEL_WORDS[k] for k in row.levels})
+    begin, body = ("^", shape[1:]) if shape.startswith("^") else ("", shape)
+    line = rf"{begin}(?P<timestamp>{body})\]?\s*(?P<message>.+)$"
+    return Profile(profile_id, profile_id, shape, line, row.timestamp_format or "", files=(row.glob,), levels={k: LEVEL_WORDS[k] for k in row.levels})

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.storage import materialize
 from ..functions.text import severity_rank, truncate_bytes
 from ..functions.timestamps import parse_timestamp, sniff_timestamp
 from ..sources.profiles import LEVELS, PLAIN_TEXT, Profile, java_regex
@@ -47,32 +48,55 @@ def severity_of(level: Column | None, message: Column, profile: Profile) -> Colu
     return F.coalesce(mapped, overridden, F.when(no_level, keyword), F.lit("Unknown"))
 
 
+#: Separates the groups of a match; a line that has it is matched group by group.
+_MARK = "\ufdd1"
+
+
 def extract(lines: DataFrame, profile: Profile) -> DataFrame:
-    """Lines that aren't blank, with ``hit`` and the groups of the profile's expression."""
-    pattern = java_regex(profile.line)
-    hit = F.coalesce(F.col("line").rlike(pattern), F.lit(False))
+    """Lines that aren't blank, with ``hit`` and the groups of the profile's expression, which runs once a line."""
+    pattern, body = java_regex(profile.line), profile.line
+    names = [k for k in ("timestamp", "level", "thread", "component", "message") if profile.group(k)]
+    # The whole line becomes its groups; a line without a match stays as it is, without marks.
+    skipped = "" if body.startswith("^") else r"\A[\s\S]*?"
+    whole = java_regex(f"{skipped}(?:{body})[\\s\\S]*\\z")
+    groups = "".join(f"{_MARK}${profile.group(k)}" for k in names)
+    rows = _lines(lines).where(~F.col("line").rlike(r"^\s*$"))
+    rows = rows.withColumn("odd", F.contains("line", F.lit(_MARK))).withColumn("parts", F.split(F.regexp_replace("line", whole, groups + _MARK), _MARK))
+    hit = F.when(F.col("odd"), F.col("line").rlike(pattern)).otherwise(F.size("parts") > 1)
+    rows = rows.withColumn("hit", F.coalesce(hit, F.lit(False)))
 
     def group(name: str) -> Column:
-        k = profile.group(name)
-        return F.when(F.col("hit"), F.nullif(F.regexp_extract("line", pattern, k), F.lit(""))) if k else F.lit(None).cast("string")
+        if name not in names:
+            return F.lit(None).cast("string")
+        value = F.when(F.col("odd"), F.regexp_extract("line", pattern, profile.group(name))).otherwise(F.get("parts", F.lit(names.index(name) + 1)))
+        return F.when(F.col("hit"), F.nullif(value, F.lit("")))
 
-    rows = _lines(lines).where(~F.col("line").rlike(r"^\s*$")).withColumn("hit", hit)
-    message = group("message") if profile.group("message") else F.col("line")
+    message = group("message") if "message" in names else F.col("line")
     return rows.select(
-        "*", group("timestamp").alias("stamp"), group("level").alias("level"), group("thread").alias("thread"), group("component").alias("component"),
+        "source_file", "line_number", "line", "file_modified", "hit",
+        group("timestamp").alias("stamp"), group("level").alias("level"), group("thread").alias("thread"), group("component").alias("component"),
         F.when(F.col("hit"), F.coalesce(message, F.lit(""))).otherwise(F.col("line")).alias("part"),
     )
 
 
 def with_heads(rows: DataFrame) -> DataFrame:
-    """Add ``head``: the line of the last hit at or before a line, null before a file's first hit."""
+    """Add ``head``, the line of the last hit at or before a line (null before a file's first hit), and ``ahead``, the bytes of
+    the entry before the line."""
     rows = rows.withColumn("block", F.floor(F.col("line_number") / BLOCK_LINES))
-    mark = F.when(F.col("hit"), F.col("line_number"))
+    mark, size = F.when(F.col("hit"), F.col("line_number")), F.octet_length("part") + 1
     own = Window.partitionBy("source_file", "block").orderBy("line_number")
-    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.groupBy("source_file", "block").agg(F.max(mark).alias("last")).withColumn("carried", F.max("last").over(before)).drop("last")
-    marked = rows.withColumn("head", F.max(mark).over(own))
-    return marked.join(last, ["source_file", "block"]).withColumn("head", F.coalesce("head", "carried")).drop("block", "carried")
+    # Of each block: all bytes, the last hit, and the bytes behind its start.
+    last = F.max(F.when(F.col("hit"), F.struct("line_number", (F.col("upto") - size).alias("at"))))
+    numbered = rows.withColumn("upto", F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sums = numbered.groupBy("source_file", "block").agg(F.max("upto").alias("bytes"), last.alias("last"))
+    upto = Window.partitionBy("source_file").orderBy("block")
+    placed = sums.withColumn("start", F.sum("bytes").over(upto) - F.col("bytes"))
+    carried = F.max(F.struct(F.col("last.line_number").alias("head"), (F.col("start") + F.col("last.at")).alias("at"))).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.select("source_file", "block", "start", carried.alias("carried"))
+    at = F.max(F.when(F.col("hit"), F.struct(F.col("line_number").alias("head"), (F.col("upto") - size).alias("at")))).over(own)
+    marked = numbered.withColumn("own", at).join(placed, ["source_file", "block"])
+    head, begin = F.coalesce("own.head", "carried.head"), F.coalesce(F.col("start") + F.col("own.at"), "carried.at")
+    return marked.withColumn("ahead", F.col("start") + F.col("upto") - size - begin).withColumn("head", head).drop("block", "carried", "own", "upto", "start")
 
 
 def parse_lines(lines: DataFrame, profile: Profile, as_of: datetime) -> DataFrame:
@@ -90,8 +114,8 @@ def parse_lines(lines: DataFrame, profile: Profile, as_of: datetime) -> DataFram
         rows = rows.where("hit").withColumns({"severity": severity, "message": F.col("part"), "raw_text": F.col("line")})
     else:
         headed = with_heads(rows).where("head is not null")
-        # Beyond this many lines an entry is over its size: every line adds two bytes at least.
-        headed = headed.where(F.col("line_number") - F.col("head") <= MAX_ENTRY_BYTES)
+        # Lines behind an entry's largest size are cut off anyway; one byte more shows that there was more.
+        headed = headed.where(F.col("ahead") <= MAX_ENTRY_BYTES + 1)
         first = lambda c: F.max(F.when(F.col("hit"), F.col(c))).alias(c)
         joined = F.array_sort(F.collect_list(F.struct("line_number", "part", "line")))
         text = lambda f: F.array_join(F.transform("all", lambda x: x[f]), "\n")
@@ -126,36 +150,40 @@ def parse_errors(lines: DataFrame, profile: Profile, as_of: datetime, most: int
 
 def parse_all(lines: DataFrame, detected: DataFrame, profiles: list[Profile], as_of: datetime) -> DataFrame:
     """Entries of all files, each by its detected profile (``path, profile_id``); files whose profile finds
-    nothing in them are parsed again as plain text.  Profiles that no file has cost nothing."""
+    nothing in them, and files that ``detected`` doesn't have, are plain text.  Profiles that no file has cost nothing."""
     by_id = {p.id: p for p in profiles}
-    present = [r.profile_id for r in detected.select("profile_id").distinct().collect() if r.profile_id in by_id]
-    named = lines.join(detected.select(F.col("path").alias("source_file"), "profile_id"), "source_file")
-    out = None
-    for p in (by_id[i] for i in sorted(present)):
-        got = parse_lines(named.where(F.col("profile_id") == p.id).drop("profile_id"), p, as_of)
-        out = got if out is None else out.unionByName(got)
-    plain = by_id[PLAIN_TEXT]
-    if out is None:
-        return parse_lines(lines.limit(0), plain, as_of)
-    if set(present) == {PLAIN_TEXT}:
-        return out
-    empty = named.where(F.col("profile_id") != PLAIN_TEXT).join(out.select("source_file").distinct(), "source_file", "left_anti")
-    return out.unionByName(parse_lines(empty.drop("profile_id"), plain, as_of))
+    wanted = detected.groupBy(F.col("path").alias("source_file")).agg(F.max("profile_id").alias("wanted"))
+    present = sorted(r.wanted for r in wanted.select("wanted").distinct().collect() if r.wanted in by_id and r.wanted != PLAIN_TEXT)
+    named = lines.join(wanted, "source_file", "left")
+    if present:
+        # One pass tells which files have a line of their profile; raw profiles take any.
+        fits = F.coalesce(*[F.when(F.col("wanted") == i, F.col("line").rlike(java_regex(by_id[i].line)) if by_id[i].mode != "raw" else F.lit(True)) for i in present], F.lit(False))
+        found = named.where(F.col("wanted").isin(*present)).groupBy("source_file").agg(F.max(F.coalesce(fits, F.lit(False))).alias("found"))
+        final = wanted.join(found.where("found"), "source_file").select("source_file", F.col("wanted").alias("profile_id"))
+        named = lines.join(materialize(final, "profiles"), "source_file", "left")
+    else:
+        named = lines.withColumn("profile_id", F.lit(None).cast("string"))
+    out = parse_lines(named.where(F.col("profile_id").isNull()).drop("profile_id"), by_id[PLAIN_TEXT], as_of)
+    for i in present:
+        out = out.unionByName(parse_lines(named.where(F.col("profile_id") == i).drop("profile_id"), by_id[i], as_of))
+    return out
 
 
 def assign_ids(entries: DataFrame, start: int = 0) -> DataFrame:
-    """Add ``id``: consecutive from ``start`` in the order of (directory, path, line), without a global sort.
+    """Add ``id``: consecutive from ``start`` in the order of (directory, path, line), without a global sort; entries without a
+    file or a line number come last, those of a file in the order of time and text.
 
     Counts per file and block of lines give every block its first id; only those counts (a row a block) are ordered globally.
     """
-    folder = F.regexp_replace("source_file", "[^/\\\\]*$", "")
+    folder = F.regexp_replace("source_file", r"[^/\\]*$", "")
     e = entries.withColumns({"folder": folder, "block": F.floor(F.col("line_number") / BLOCK_LINES)})
     counts = e.groupBy("folder", "source_file", "block").count()
-    before = F.sum("count").over(Window.orderBy("folder", "source_file", "block")) - F.col("count")
-    first = counts.select("source_file", "block", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("source_file", "block").orderBy("line_number"))
-    numbered = e.withColumn("own", own).join(first, ["source_file", "block"])
-    return numbered.withColumn("id", F.col("own") - 1 + F.col("before") + start).drop("own", "before", "block", "folder")
+    order = [F.asc_nulls_last(c) for c in ("folder", "source_file", "block")]
+    first = counts.select(F.col("source_file").alias("f"), F.col("block").alias("b"), (F.sum("count").over(Window.orderBy(*order)) - F.col("count")).alias("before"))
+    ties = [F.asc_nulls_last(c) for c in ("line_number", "timestamp", "raw_text", "message") if c in entries.columns]
+    own = F.row_number().over(Window.partitionBy("source_file", "block").orderBy(*ties))
+    numbered = e.withColumn("own", own).join(first, F.col("source_file").eqNullSafe(F.col("f")) & F.col("block").eqNullSafe(F.col("b")))
+    return numbered.withColumn("id", F.col("own") - 1 + F.col("before") + start).drop("own", "before", "block", "folder", "f", "b")
 
 
 def next_id(entries: DataFrame, high_water: int = -1) -> int:

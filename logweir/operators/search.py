@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import java_escape
+from ..functions.text import java_escape, prefix_sums
 
 MAX_TERMS = 200
 
@@ -27,25 +27,26 @@ class MultiSearch:
 
     @classmethod
     def parse(cls, text: str, **options) -> MultiSearch:
-        """Terms between commas or line breaks; a leading ``-`` or ``!`` excludes."""
+        """Terms between commas or line breaks; one leading ``-`` or ``!`` excludes."""
         wanted, excluded = {}, {}
         for raw in re.split(r"[,\n]", text):
             term = raw.strip()
             into = excluded if term[:1] in ("-", "!") else wanted
-            term = term.lstrip("-!").strip() if into is excluded else term
+            term = term[1:].strip() if into is excluded else term
             if term:
                 into[term] = None
         return cls(tuple(wanted), tuple(excluded), **options)
 
-    def problems(self) -> list[tuple[int, str]]:
-        """(number of the term, reason); empty if the search can run."""
+    def problems(self, spark: SparkSession | None = None) -> list[tuple[int, str]]:
+        """(number of the term, reason); empty if the search can run.  Expressions are compiled by Spark, which runs them, where there is a session."""
+        spark = spark or SparkSession.getActiveSession()
         both = self.terms + self.excluded
         found = [(MAX_TERMS, f"more than {MAX_TERMS} terms")] if len(both) > MAX_TERMS else []
         for i, t in enumerate(both if self.regex else ()):
             try:
-                re.compile(t)
-            except re.error as e:
-                found.append((i, str(e)))
+                spark.range(1).select(F.lit("").rlike(t)).collect() if spark else re.compile(t)
+            except Exception as e:
+                found.append((i, str(e).split("\n")[0]))
         return found
 
     def pattern(self, term: str) -> str:
@@ -81,23 +82,24 @@ def highlight(text: Column, search: MultiSearch) -> Column:
     def ranges(term: str) -> Column:
         p = search.pattern(term)
         hits, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
-
-        def add(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.octet_length(F.element_at(gaps, i))
-            end = start + F.octet_length(F.element_at(hits, i))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-        none = F.array().cast(kind)
-        return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(1), F.size(hits)), zero, add, lambda acc: acc["out"])).otherwise(none)
+        both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: (F.octet_length(g) + F.octet_length(h)).cast("long"))
+        zipped = F.arrays_zip(hits.alias("h"), prefix_sums(both).alias("b"), F.slice(gaps, 1, F.size(hits)).alias("g"))
+        start = lambda z: (z["b"] + F.octet_length(z["g"])).cast("int")
+        each = F.transform(zipped, lambda z: F.struct(start(z).alias("start"), (start(z) + F.octet_length(z["h"])).alias("end")))
+        return F.when(F.size(hits) > 0, each).otherwise(F.array().cast(kind))
 
     if not search.terms:
         return F.array().cast(kind)
 
-    def merge(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= r["start"]), joined).otherwise(F.concat(acc, F.array(r)))
-
+    # A range opens where none before it reaches its start; it ends where the last before the next opening does.
     every = F.array_sort(F.concat(*[ranges(t) for t in search.terms]))
-    return F.aggregate(every, F.array().cast(kind), merge)
+
+    def merge(acc: Column, r: Column) -> Column:
+        apart = r["start"] > acc["end"]
+        done = F.when(apart & (acc["end"] >= 0), F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+        return F.struct(F.when(apart, r["start"]).otherwise(acc["start"]).alias("start"), F.greatest(acc["end"], r["end"]).alias("end"), done.alias("out"))
+
+    none = F.array().cast(kind)
+    zero = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), none.alias("out"))
+    last = lambda acc: F.when(acc["end"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+    return F.aggregate(every, zero, merge, last)

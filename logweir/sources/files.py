@@ -15,27 +15,39 @@ from ..functions.text import base_name, matches_glob
 INCLUDE = ["*.log", "*.log.[0-9]*", "*.txt"]
 EXCLUDE = ["*.gz", "*.zip", "*.bak", "*.tmp", "node_modules", ".git", "__pycache__"]
 MAX_DEPTH, DEEPEST, MAX_FILES, LARGE_BYTES = 10, 50, 500, 100 * 1024 * 1024
+UTF16_MARKS = (bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
 
 
 def _wild(pattern: str) -> bool:
     return any(c in pattern for c in "*?[")
 
 
-def list_files(
-    spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_depth: int = MAX_DEPTH,
+def list_files(spark: SparkSession, root: str, **options) -> DataFrame:
+    """``path, name, size, modified, is_large`` of the files below ``root``; ``options`` are those of :func:`select_files`.
+
+    Contents aren't read; Spark's listing leaves out files of size 0.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return select_files(listed.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")), root, **options)
+
+
+def below(path: Column, root: str) -> Column:
+    """Names of the folders below ``root`` that lead to ``path``, and the file's."""
+    top = "/" + root.split(":", 1)[-1].strip("/") if ":" in root else "/" + root.strip("/")
+    return F.split(F.substr(F.regexp_replace(path, "^[a-z0-9]+:/+", "/"), F.lit(len(top.rstrip("/")) + 2)), "/")
+
+
+def select_files(
+    listed: DataFrame, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_depth: int = MAX_DEPTH,
     modified_since: datetime | None = None, directory_globs: bool = False,
 ) -> DataFrame:
-    """``path, name, size, modified, is_large`` of the files below ``root``.
+    """``path, name, size, modified, is_large`` of those of ``listed(path, size, modified)`` that are wanted.
 
     ``include``/``exclude`` are globs on file names; an exclude without wildcards also names directories that are left
-    out (with ``directory_globs`` any exclude does).  Contents aren't read; Spark's listing leaves out files of size 0.
+    out (with ``directory_globs`` any exclude does).
     """
     include, exclude = INCLUDE if include is None else include, EXCLUDE if exclude is None else exclude
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    clean = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    top = "/" + root.split(":", 1)[-1].strip("/") if ":" in root else "/" + root.strip("/")
-    parts = F.split(F.substring(clean, len(top) + 2, 10_000), "/")
-    listed = listed.select("path", base_name(F.col("path")).alias("name"), "size", "modified", parts.alias("parts"))
+    listed = listed.select("path", base_name(F.col("path")).alias("name"), "size", "modified", below(F.col("path"), root).alias("parts"))
     directories = [p for p in exclude if directory_globs or not _wild(p)]
     keep = F.size("parts") <= min(max_depth, DEEPEST)
     if include:
@@ -79,26 +91,37 @@ def search_files(query: str) -> Column:
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """``source_file, line_number, line, file_modified`` of text files, one row a line, numbered from 1.
 
-    Files are read in splits, also a single huge one.  A split's rows have consecutive marks in the order of its lines, so a line's number is its
-    distance from the split's first mark plus the lines of the splits before; those counts are a row a split.
+    Files that begin with a UTF-16 byte order mark are decoded whole, as they can't be split; all others are UTF-8, with or without
+    a mark, invalid bytes replaced, and are read in splits, also a single huge one.
     """
+    # A split's rows have consecutive marks in the order of its lines, and both reads have the same splits, so a line's number is its
+    # distance from the split's first mark plus the lines of the splits before.  Those counts are a row a split.
     raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive).text(paths).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("at"), F.col("_metadata.file_modification_time").alias("file_modified"),
-        F.monotonically_increasing_id().alias("mark"), F.make_valid_utf8(F.regexp_replace("value", "\r$", "")).alias("line"),
+        F.monotonically_increasing_id().alias("mark"), "value",
     )
-    raw = materialize(raw, "raw-lines")  # marks must not change any more
-    splits = raw.groupBy("source_file", "at").agg(F.min("mark").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("source_file").orderBy("at")
-    splits = splits.select("source_file", "at", "first", (F.sum("n").over(before) - F.col("n")).alias("before"))
-    numbered = raw.join(splits, ["source_file", "at"])
-    return numbered.select("source_file", (F.col("mark") - F.col("first") + 1 + F.col("before")).alias("line_number"), "line", "file_modified")
-
-
-def read_utf16_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of files that begin with a UTF-16 byte order mark; each is decoded whole, as such files can't be split."""
-    marked = F.col("content").substr(1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
-    files = spark.read.format("binaryFile").load(paths).where(marked)
+    marked = (F.col("at") == 0) & F.substring(F.col("value").cast("binary"), 1, 2).isin(*UTF16_MARKS)
+    splits = raw.groupBy("source_file", "at").agg(F.min("mark").alias("first"), F.count("*").alias("n"), F.min_by(marked, "mark").alias("wide"))
+    splits = materialize(splits, "splits")
+    by_file = Window.partitionBy("source_file")
+    splits = splits.select("source_file", "at", "first", (F.sum("n").over(by_file.orderBy("at")) - F.col("n")).alias("before"), F.max("wide").over(by_file).alias("wide"))
+    number = F.col("mark") - F.col("first") + 1 + F.col("before")
+    line = F.make_valid_utf8(F.regexp_replace("value", "\r$", ""))
+    narrow = raw.join(splits.where(~F.col("wide")), ["source_file", "at"]).select("source_file", number.alias("line_number"), line.alias("line"), "file_modified")
+    narrow = narrow.withColumn("line", F.when(F.col("line_number") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
+    wide = [r.source_file for r in splits.where("wide").select("source_file").distinct().collect()]  # names of files that the driver has listed
+    return narrow.unionByName(read_utf16_lines(spark, wide)) if wide else narrow
+
+
+def utf16_lines(files: DataFrame) -> DataFrame:
+    """Lines of ``files(path, content, modified)`` whose content begins with a UTF-16 byte order mark."""
     text = F.regexp_replace(F.decode("content", "UTF-16"), "\n\\z", "")
-    return files.select(F.col("path").alias("source_file"), F.col("modificationTime").alias("file_modified"), F.posexplode(F.split(text, "\n")).alias("i", "line")).select(
+    own = files.where(F.substring("content", 1, 2).isin(*UTF16_MARKS))
+    return own.select(F.col("path").alias("source_file"), F.col("modified").alias("file_modified"), F.posexplode(F.split(text, "\n")).alias("i", "line")).select(
         "source_file", (F.col("i") + 1).cast("long").alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line"), "file_modified"
     )
+
+
+def read_utf16_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of the files that begin with a UTF-16 byte order mark; each is decoded whole, as such files can't be split."""
+    return utf16_lines(spark.read.format("binaryFile").load(paths).select("path", "content", F.col("modificationTime").alias("modified")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import matches_glob, normalize_message
 from ..operators.parse import only_errors, parse_lines
-from ..sources.files import EXCLUDE, INCLUDE, newest
+from ..sources.files import EXCLUDE, INCLUDE, below, newest
 from ..sources.profiles import Profile
 
 RING_ROWS, TAIL_FILES = 50_000, 100
@@ -49,8 +49,7 @@ def watch_new_files(spark: SparkSession, root: str, include: list[str] | None =
     """
     include, exclude = INCLUDE if include is None else include, EXCLUDE if exclude is None else exclude
     raw = spark.readStream.schema("value string").option("recursiveFileLookup", True).option("lineSep", "\n").text(root)
-    path = F.regexp_replace("_metadata.file_path", "^[a-z]+:/+", "/")
-    rel = F.split(F.substring(path, len("/" + root.split(":", 1)[-1].strip("/")) + 2, 10_000), "/")
+    rel = below(F.col("_metadata.file_path"), root)
     keep = F.lit(True)
     if include:
         keep &= matches_glob(F.col("_metadata.file_name"), include)

@@ -1,7 +1,9 @@
 """Following files that grow: a Python streaming source with a byte offset per file.
 
 Spark's file source takes files as complete and never sees appended bytes.  Here a batch is a list of byte ranges, a partition
-each; ranges end behind a line break, so a partial line waits in its file, and a file that became shorter is read again from its start.
+each, of ``PER_FILE_BYTES`` at most; the driver only asks for sizes.  A range's lines are those that end in it: a task looks back for the
+start of the first one, so a partial line waits in its file, and characters are decoded whole.  A line of more than ``LONGEST_LINE``
+bytes is dropped, and only it.  A file that became shorter is read again from its start.
 """
 
 from __future__ import annotations
@@ -18,26 +20,19 @@ SCHEMA = "source_file string, line_number bigint, line string, file_modified tim
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int) -> None:
-        self.path, self.start, self.end = path, start, end
+    """Bytes ``start`` to ``end`` of a file; lines begin at ``floor`` or later."""
 
+    def __init__(self, path: str, start: int, end: int, floor: int) -> None:
+        self.path, self.start, self.end, self.floor = path, start, end, floor
 
-def _behind_last_break(path: str, start: int, size: int, most: int) -> int:
-    """End of the last complete line within ``most`` bytes from ``start``; a line that is longer than allowed is skipped over."""
-    with open(path, "rb") as f:
-        f.seek(start)
-        data = f.read(min(size - start, most))
-        at = data.rfind(b"\n")
-        if at >= 0:
-            return start + at + 1
-        if size - start > LONGEST_LINE:
-            return size
-        data += f.read(size - start - len(data))
-        at = data.find(b"\n")
-        return start + at + 1 if at >= 0 else start
+
+def _size(path: str) -> int:
+    return os.path.getsize(path) if os.path.exists(path) else 0
 
 
 class TailReader(DataSourceStreamReader):
+    """Offsets are ``path -> [bytes read, where reading began]``."""
+
     def __init__(self, options: dict) -> None:
         self.paths = json.loads(options["paths"])
         self.first = json.loads(options.get("offsets", "{}"))
@@ -45,7 +40,8 @@ class TailReader(DataSourceStreamReader):
         self.last: dict | None = None
 
     def initialOffset(self) -> dict:
-        sizes = {p: self.first.get(p, os.path.getsize(p) if os.path.exists(p) else 0) for p in self.paths}
+        at = {p: self.first.get(p, _size(p)) for p in self.paths}
+        sizes = {p: [n, n] for p, n in at.items()}
         self.last = self.last or dict(sizes)
         return sizes
 
@@ -53,31 +49,36 @@ class TailReader(DataSourceStreamReader):
         last = self.last or self.initialOffset()
         now = {}
         for p in self.paths:
-            size, start = os.path.getsize(p) if os.path.exists(p) else 0, last.get(p, 0)
-            start = 0 if size < start else start
-            now[p] = _behind_last_break(p, start, size, self.most) if size > start else start
+            size, (at, floor) = _size(p), last.get(p, [0, 0])
+            if size < at:
+                at = floor = 0
+            now[p] = [min(size, at + self.most), floor]
         self.last = now
         return now
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         found = []
         for p in self.paths:
-            a, b = start.get(p, 0), end.get(p, 0)
+            (a, _), (b, floor) = start.get(p, [0, 0]), end.get(p, [0, 0])
             if b != a:
-                found.append(Range(p, 0 if b < a else a, b))
+                found.append(Range(p, floor if b < a else a, b, floor))
         return found
 
     def read(self, part: Range) -> Iterator[tuple]:
         from datetime import datetime, timezone
 
+        back = max(part.floor, part.start - LONGEST_LINE)
         with open(part.path, "rb") as f:
-            f.seek(part.start)
+            f.seek(back)
+            before = f.read(part.start - back)
             data = f.read(part.end - part.start)
-        if data and not data.endswith(b"\n"):
-            return  # the rest of a line that was too long
         modified = datetime.fromtimestamp(os.path.getmtime(part.path), timezone.utc)
-        for i, line in enumerate(data.split(b"\n")[:-1]):
-            yield part.path, i + 1, line.removesuffix(b"\r").decode("utf-8", "replace"), modified
+        opening = before.rfind(b"\n") + 1
+        known = opening > 0 or back == part.floor  # else the first line began too long ago
+        lines = (before[opening:] + data).split(b"\n")[:-1]
+        for i, line in enumerate(lines):
+            if (i or known) and len(line) <= LONGEST_LINE:
+                yield part.path, i + 1, line.removesuffix(b"\r").decode("utf-8", "replace"), modified
 
 
 class TailSource(DataSource):

@@ -43,7 +43,8 @@ def test_multi_search(spark):
     run = lambda text, **k: ids(e.where(search.MultiSearch.parse(text, **k).to_column()))
     assert run("error", whole_word=True) == [1, 3, 4] and run("error[0]", whole_word=True) == [3] and run("error, found, log", min_match=10) == [3]
     assert run("error, occurred, x", min_match=2) == [1] and run("error, occurred, x", min_match=0) == [1, 2, 3, 4] and run("-db") == [1, 2, 3] and run("db") == [4]
-    assert search.MultiSearch.parse("(", regex=True).problems()[0][0] == 0
+    assert search.MultiSearch.parse("(", regex=True).problems()[0][0] == 0 and search.MultiSearch.parse("a++, \\p{IsLatin}", regex=True).problems(spark) == []
+    assert search.MultiSearch.parse("--x, -!y, - z, !").excluded == ("-x", "!y", "z")
     h = lambda text, q: [tuple(r) for r in spark.range(1).select(search.highlight(F.lit(text), search.MultiSearch.parse(q))).first()[0]]
     assert h("database error occurred", "database error, error") == [(0, 14)] and h("é ab ab", "ab") == [(3, 5), (6, 8)] and h("aabb", "aa, bb") == [(0, 4)]
 
@@ -127,6 +128,9 @@ def test_files(spark, tmp_path):
     assert {r.name for r in files.where(search_files("a.l, *.TXT")).collect()} == {"a.log", "u.txt", "w.txt"}
     assert mark_chosen(files, files.where("name = 'a.log'")).where("parsing_skipped").count() == 3
     assert [(r.line_number, r.line) for r in read_lines(spark, str(tmp_path / "a.log")).orderBy("line_number").collect()] == [(1, "x"), (2, "y")]
+    (tmp_path / "bom.txt").write_bytes("\ufeffone\r\ntwo\n".encode())
+    every = {(r.source_file.rsplit("/", 1)[1], r.line_number, r.line) for r in read_lines(spark, [str(tmp_path / n) for n in ("a.log", "w.txt", "bom.txt")]).collect()}
+    assert every == {("a.log", 1, "x"), ("a.log", 2, "y"), ("w.txt", 1, "é"), ("w.txt", 2, "ü"), ("bom.txt", 1, "one"), ("bom.txt", 2, "two")}
     assert [(r.line_number, r.line) for r in read_utf16_lines(spark, str(tmp_path / "w.txt")).collect()] == [(1, "é"), (2, "ü")]
 
 

@@ -33,6 +33,22 @@ def test_offsets(tmp_path):
     assert lines_of(r, c, d) == ["new"]
 
 
+def test_a_long_line_costs_only_itself(tmp_path, monkeypatch):
+    """Neither what stands before it nor the complete lines behind it are lost, however long it is."""
+    f = tmp_path / "a.log"
+    f.write_bytes(b"")
+    r = reader(f)
+    a, got = r.initialOffset(), []
+    long = b"x" * (3 * tail.LONGEST_LINE)
+    f.write_bytes(b"first\n" + long + b"\n" + b"".join(b"line %d\n" % i for i in range(200_000)) + b"y" * (tail.LONGEST_LINE - 5) + b"\nlast\n")
+    while (b := r.latestOffset()) != a:
+        parts = r.partitions(a, b)
+        assert all(p.end - p.start <= tail.PER_FILE_BYTES for p in parts)
+        got += [row[2] for p in parts for row in r.read(p)]
+        a = b
+    assert got == ["first", *[f"line {i}" for i in range(200_000)], "y" * (tail.LONGEST_LINE - 5), "last"]
+
+
 def test_bytes_per_file(tmp_path):
     f = tmp_path / "a.log"
     f.write_bytes(b"")
