@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,29 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it's unset, a local master uses its warehouse folder and a cluster is told to set it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
     return path.rstrip("/")
 
 
+def new_dir(spark: SparkSession, what: str) -> str:
+    """A fresh folder under :func:`shared_dir`, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session is gone; the folder's owner cleans it
+            pass
+
+    atexit.register(drop)
+    return path
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back; values such as row marks stay as written."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = new_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,7 +21,7 @@ AS_OF = datetime(2024, 1, 20, tzinfo=timezone.utc)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# The events lens in SQL.
+# The events lens in SQL.  Fixed values: the severity words of the plain-text profile in ``_KEYWORDS`` below.
 LENS = """
 WITH e AS (
   SELECT event_id AS id, ts AS timestamp,
@@ -357,15 +357,21 @@ def event_xml(spark, sf_dir):
     return read_event_xml(lens.select("source_file", xml.alias("xml"))).select("line_number", "timestamp", "severity", "component", "thread", "message")
 
 
-@query()
-def highlight(spark, sf_dir):
-    """Byte ranges of two terms in every message."""
-    lens = events_lens(spark, sf_dir)
-    return lens.select("id", F.to_json(search.highlight(F.col("message"), search.MultiSearch.parse("error, or, 1"))).alias("ranges"))
+_SAMPLED = """
+s AS (SELECT CASE severity WHEN 'Error' THEN 'ERROR' WHEN 'Warning' THEN 'WARN' WHEN 'Info' THEN 'INFO' WHEN 'Debug' THEN 'DEBUG' ELSE 'NOTE' END AS word
+  FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY id) AS n FROM e) WHERE n <= 50
+    AND source_file IN (SELECT DISTINCT source_file FROM e ORDER BY 1 LIMIT 5) ORDER BY source_file, n LIMIT 50),
+w AS (SELECT word, count(*) AS k FROM s GROUP BY 1),
+t AS (SELECT max((k, 'N-N-N N:N:N,N ' || word)) AS t, max(k) AS k, sum(k) AS n, list(word) AS words FROM w)"""
 
 
-@query()
+@query(f""", {_SAMPLED}
+SELECT 'user_.log' AS stem, 'user_*.log' AS glob, '%Y-%m-%d %H:%M:%S' AS timestamp_format, 1.0::DOUBLE AS timestamp_share,
+  CASE WHEN k::DOUBLE / n >= 0.5 THEN t[2] END AS anchor, k::DOUBLE / n AS anchor_share,
+  array_to_string(list_filter(['Error', 'Warning', 'Info', 'Debug'], lambda x: list_contains(words, CASE x WHEN 'Error' THEN 'ERROR' WHEN 'Warning' THEN 'WARN' WHEN 'Info' THEN 'INFO' ELSE 'DEBUG' END)), ',') AS levels
+FROM t""")
 def infer_profile(spark, sf_dir):
+    """A proposal for files whose names differ in a digit."""
     lens = events_lens(spark, sf_dir)
     lines = rendered(lens, _RENDER["log4j-default"][0]())
     order = F.row_number().over(analyse.Window.partitionBy("source_file").orderBy("line_number"))
@@ -373,8 +379,11 @@ def infer_profile(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import formats, stored  # noqa: F401  they register theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
