@@ -101,6 +101,28 @@ def test_url_rules(spark):
     assert (got[0].host, got[0].path) == ("www.example.com", "/en/75") and (got[8].host, got[8].path) == ("", "") and (got[11].host, got[11].path) == ("b:", "//c/d")
 
 
+def test_url_rules_from_a_file(spark, tmp_path):
+    """Sites in any case, hosts alone, globs and words; the table of rules means what the rules mean, broadcast or not."""
+    (tmp_path / "rules.txt").write_text("# comment\nblock Example.com/en/\nallow example.com/en/ok\nblock com\nBLOCK */Ads/*.gif\nblock =casino\nallow com.test/x\nbad line here\n\nblock *track*\n")
+    urls = [
+        ("http://EXAMPLE.com/en/1", "block", "Example.com/en/"), ("http://a.example.com/en/ok", "allow", "example.com/en/ok"), ("http://x.com/", "block", "com"), ("http://computer.org/", "allow", None), ("http://com", "block", "com"),
+        ("http://a.org/ADS/1/b.gif", "block", None), ("http://a.org/ads/b.gifx", "allow", None), ("http://my-casino.org", "block", None), ("http://com.test/xy", "allow", "com.test/x"), ("http://a.org/betracked", "block", None),
+        ("http://a.org/" + "y" * 100_000 + "/ads/" + "z" * 100_000 + ".gif", "block", None),
+    ]
+    df = spark.createDataFrame([(i, u[0]) for i, u in enumerate(urls)] * 2 + [(99, None)], "page_id long, url string").withColumns({"rule": F.lit("clash"), "verdict": F.lit(0)})
+    own = tuple(urlfilter.site_rule(n, v) for n, v in (("Example.com/en/", "block"), ("example.com/en/ok", "allow"), ("com", "block"), ("com.test/x", "allow")))
+    own += (urlfilter.glob_rule("*/Ads/*.gif"), urlfilter.word_rule("casino"), urlfilter.glob_rule("*track*"))
+    for rules in (urlfilter.read_rules(spark, str(tmp_path / "rules.txt")), own):
+        for most in (50_000, 0):
+            urlfilter.BROADCAST_RULES, kept = most, urlfilter.BROADCAST_RULES
+            try:
+                got = {(r.row.page_id, r.verdict, r.rule) for r in urlfilter.judge(df, rules).collect()}
+            finally:
+                urlfilter.BROADCAST_RULES = kept
+            assert got == {(i, u[1], u[2]) for i, u in enumerate(urls)} | {(99, "allow", None)}
+    assert urlfilter.judge(df.limit(0)).count() == 0
+
+
 # --------------------------------------------------------------------------- warc
 def test_warc_round_trip(spark):
     df = spark.createDataFrame([(1, "http://a", "x"), (2, None, "x"), (3, "u\r\nX: y", ""), (4, "u", None), (None, "u", "é" * 70_000), (5, "u", "z")], "page_id long, url string, html string").repartition(3)
