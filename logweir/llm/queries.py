@@ -60,6 +60,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op6_pii`` that SQL can express: the base entities."""
+    return op6_pii(spark, sf_dir).drop("spans")
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -78,7 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pii_base": pii_base}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -150,4 +150,30 @@ g AS (SELECT doc_id, count(*) AS n, string_agg(license || ':' || common, ',' ORD
 SELECT d.doc_id, coalesce(n, 0)::INT AS n_matches, coalesce(l, '') AS licenses FROM documents d LEFT JOIN g USING (doc_id)
 """
 
-SQL = {"op1_url_filter": OP1, "op2_minhash": OP2, "op3_licenses": OP3, "op4_warc": OP4, "op8_decontaminate": OP8, "op10_mixing": OP10}
+# Matches and what lies between them tell where each match stands.
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", "length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(d), i, 1)::INT "
+        "WHEN substr(reverse(d), i, 1)::INT > 4 THEN 2 * substr(reverse(d), i, 1)::INT - 9 ELSE 2 * substr(reverse(d), i, 1)::INT END)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15"),
+}
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, '{name}' AS kind, unnest(regexp_extract_all(t, '{p}')) AS v, unnest(regexp_split_to_array(t, '{p}')[:-2]) AS gap, generate_subscripts(regexp_extract_all(t, '{p}'), 1) AS i "
+    f"FROM b WHERE regexp_matches(t, '{p}')"
+    for k, (name, (p, _)) in enumerate(_KINDS.items())
+)
+_RIGHT = "CASE kind " + " ".join(f"WHEN '{name}' THEN {test}" for name, (_, test) in _KINDS.items()) + " END"
+PII = rf"""
+WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_FOUND}),
+p AS (SELECT *, (sum(length(gap) + length(v)) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS e, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM f),
+g AS (SELECT doc_id, k, kind, e - length(v) AS s, e FROM p WHERE {_RIGHT}),
+a AS (
+  SELECT doc_id, count_if(k = 0) AS n0, count_if(k = 1) AS n1, count_if(k = 2) AS n2, count_if(k = 3) AS n3, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS l
+  FROM g GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_email, coalesce(n1, 0)::BIGINT AS n_ip, coalesce(n2, 0)::BIGINT AS n_card, coalesce(n3, 0)::BIGINT AS n_phone, sha256(coalesce(l, '')) AS base_sha256
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+SQL = {"pii_base": PII, "op1_url_filter": OP1, "op2_minhash": OP2, "op3_licenses": OP3, "op4_warc": OP4, "op8_decontaminate": OP8, "op10_mixing": OP10}
