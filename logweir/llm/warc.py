@@ -192,10 +192,11 @@ def _read(out_dir: str, payloads: bool, strict: bool, types: tuple[str, ...] | N
 
 
 def read_warc(archives: DataFrame, out_dir: str, payloads: bool = True, strict: bool = True, types: tuple[str, ...] | None = TYPES) -> DataFrame:
-    """The records of ``archives(file)``, names of files in ``out_dir``, as :data:`RECORD`; ``types`` None reads every record type."""
-    # Ranges of names spread a few archives over as many tasks, and with a number of partitions they stay apart.
-    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return archives.select("file").repartitionByRange(n, "file").mapInArrow(_read(out_dir, payloads, strict, types), RECORD)
+    """The records of ``archives(file)``, names of files in ``out_dir``, as :data:`RECORD`; ``types`` None reads every record type.
+    A task reads the archives of one partition of ``archives``."""
+    # The manifest has a file for each task that wrote an archive, and a scan spreads files over all cores: a shuffle would only
+    # add Python tasks without an archive.
+    return archives.select("file").mapInArrow(_read(out_dir, payloads, strict, types), RECORD)
 
 
 def round_trip(pages: DataFrame, out_dir: str | None = None) -> DataFrame:
