@@ -400,7 +400,8 @@ def _directory(out_dir: str):
 def read_directory(shards: DataFrame, out_dir: str) -> DataFrame:
     """Every stored document, from the shards' own directories; ``shards`` has ``part, file``."""
     # Ranges with a number of partitions, or a small table of names would end in one task.
-    dealt = shards.select("part", "file").repartitionByRange(_partitions(shards), "file")
+    n = max(1, min(_partitions(shards), shards.count()))
+    dealt = shards.select("part", "file").repartitionByRange(n, "file")
     return dealt.mapInArrow(_directory(out_dir), ENTRY)
 
 
