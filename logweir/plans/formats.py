@@ -13,11 +13,16 @@ from .lenses import documents_lens, events_lens, rendered
 from .registry import AS_OF, _RENDER, profile, query
 
 
-def _by_severity(**words: str):
-    """A word for each severity, ``other`` for those not named, as Spark column and as SQL."""
-    other = words.pop("other", "")
-    column = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in words.items()], F.lit(other))
-    return column, "CASE severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items()) + f" ELSE '{other}' END"
+def _word(words: dict[str, str]):
+    """A word for each severity, ``other`` for those not named, as a column; columns need a session, so only queries call this."""
+    named = [F.when(F.col("severity") == k, v) for k, v in words.items() if k != "other"]
+    return F.coalesce(*named, F.lit(words.get("other", "")))
+
+
+def _word_sql(words: dict[str, str]) -> str:
+    """:func:`_word` in SQL."""
+    named = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items() if k != "other")
+    return f"(CASE severity {named} ELSE '{words.get('other', '')}' END)"
 
 
 def _stamp(fmt: str):
@@ -44,8 +49,7 @@ _SYSLOG = dict(Error="err ", Warning="warn ", Info="notice ", Debug="debug ")
 
 
 def _register_roundtrips() -> None:
-    word = lambda words: _by_severity(**words)[0]
-    sql = lambda words: f"({_by_severity(**words)[1]})"
+    word, sql = _word, _word_sql
     mail, server = dict(Error="FAIL", Warning="DELAY", other="SEND"), dict(Error="failed to ", Warning="timeout ", Info="completed ", Debug="dbcc ")
     lease, box = dict(Error="Nack", Warning="Expired", Info="Renew", other="Other"), dict(Error="Error: ", Warning="Warning: ")
     level, flag = dict(Error="error", Warning="warn", Info="info", Debug="debug", other="none"), dict(Error="!", Warning="?", other="+")
@@ -58,7 +62,7 @@ def _register_roundtrips() -> None:
     _roundtrip("iis-w3c", lambda: F.concat(_stamp("yyyy-MM-dd HH:mm:ss"), F.lit(" GET /p - "), word(_STATUS), F.lit(" 0 "), "component"), _ONLY.format("'Error', 'Warning'", "Unknown"), f"'GET /p - ' || {sql(_STATUS)} || ' 0 ' || component")
     kinds = dict(Error="3", Warning="2", Info="1", other="0")
     _roundtrip(
-        "intune-ime", lambda: F.format_string('<![LOG[%s]LOG]!><time="13:55:36.123+420" date="%s" component="%s" context="" type="%s" thread="%s" file="x.cpp">', "message", _stamp("M-d-yyyy"), "component", word(kinds), "thread"),
+        "intune-ime", lambda: F.format_string('<![LOG[%s]LOG]!><time="07:12:48.905+060" date="%s" component="%s" context="" type="%s" thread="%s" file="x.cpp">', "message", _stamp("M-d-yyyy"), "component", word(kinds), "thread"),
         _ONLY.format("'Error', 'Warning', 'Info'", "Unknown"), "message", "thread", "component", "date_trunc('day', timestamp)",
     )
     _roundtrip(

@@ -74,7 +74,7 @@ _RENDER = {
     "postgresql-log": (lambda: F.format_string("%s UTC [%s] %s:  %s", _stamp("yyyy-MM-dd HH:mm:ss.SSS"), "thread", _level(_words({"Warning": "WARNING", "Unknown": "OTHER"})), "message"), "severity", "NULL"),
     "tomcat-catalina": (lambda: F.format_string("%s %s [%s] %s %s", _stamp("dd-MMM-yyyy HH:mm:ss.SSS"), _level({"Error": "SEVERE", "Warning": "WARNING", "Info": "INFO", "Debug": "FINE", "Unknown": "CONFIG"}), "thread", "component", "message"), "CASE severity WHEN 'Unknown' THEN 'Info' ELSE severity END", "component"),
     "windows-cluster": (lambda: F.format_string("00000fa0.%s::%s.001 %s %s", F.lpad("thread", 8, "0"), _stamp("yyyy/MM/dd-HH:mm:ss"), _level({"Error": "ERR", "Warning": "WARN", "Info": "INFO", "Debug": "DBG"}), "message"), "severity", "NULL"),
-    "sccm-cmtrace": (lambda: F.format_string('<![LOG[%s]LOG]!><time="13:55:36.123+420" date="%s" component="%s" context="" type="%s" thread="%s" file="x.cpp">', "message", _stamp("M-d-yyyy"), "component", _level({"Error": "3", "Warning": "2", "Info": "1", "Debug": "0", "Unknown": "0"}), "thread"), "CASE WHEN severity IN ('Error', 'Warning', 'Info') THEN severity ELSE 'Unknown' END", "component"),
+    "sccm-cmtrace": (lambda: F.format_string('<![LOG[%s]LOG]!><time="07:12:48.905+060" date="%s" component="%s" context="" type="%s" thread="%s" file="x.cpp">', "message", _stamp("M-d-yyyy"), "component", _level({"Error": "3", "Warning": "2", "Info": "1", "Debug": "0", "Unknown": "0"}), "thread"), "CASE WHEN severity IN ('Error', 'Warning', 'Info') THEN severity ELSE 'Unknown' END", "component"),
     "windows-firewall": (lambda: F.format_string("%s %s %s", _stamp("yyyy-MM-dd HH:mm:ss"), F.when(F.col("severity") == "Error", "DROP").otherwise("ALLOW"), "message"), "CASE severity WHEN 'Error' THEN 'Warning' ELSE 'Info' END", "NULL"),
     "veeam-vbr": (lambda: F.format_string("[%s] <%s> %s %s", _stamp("dd.MM.yyyy HH:mm:ss"), "thread", _level({"Error": "Error", "Warning": "Warning", "Info": "Info", "Debug": "Debug", "Unknown": "Critical"}), "message"), "CASE severity WHEN 'Unknown' THEN 'Critical' ELSE severity END", "NULL"),
 }
