@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, minhash, mixing, pii, quality, tokens, toxicity, urlfilter, warc
+from . import decontaminate, licenses, minhash, mixing, pii, quality, token_counts, tokens, toxicity, urlfilter, warc
 from .sql import SQL
 
 
@@ -82,6 +82,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", "ranks")
 
 
+#: A document with more tokens doesn't fit into a training window.
+TOKEN_LIMIT = 1024
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.store_counts(_read(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pii_base": pii_base}
 

@@ -25,8 +25,8 @@ def test_matches_sql(spark, name):
     same(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF)
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
+def test_all_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 12))
 
 
 def test_pipeline(spark, tmp_path):
