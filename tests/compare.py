@@ -14,13 +14,19 @@ def duck(sf_dir: str):
     return c
 
 
+def _text(v) -> str:
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
+        return "null"
+    return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)  # integers with nulls among them
+
+
 def _plain(p: pd.DataFrame) -> pd.DataFrame:
     p = p[sorted(p.columns)].copy()
     for c in p.columns:
         if p[c].dtype.kind == "f":
             p[c] = p[c].map(lambda v: "null" if pd.isna(v) else f"{v:.9g}")
         else:
-            p[c] = p[c].map(lambda v: "null" if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)) else str(v))
+            p[c] = p[c].map(_text)
     return p.sort_values(list(p.columns)).reset_index(drop=True)
 
 
