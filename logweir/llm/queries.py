@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, minhash, mixing, pii, quality, token_counts, tokens, toxicity, urlfilter, warc
+from . import decontaminate, licenses, minhash, mixing, phrases, pii, quality, token_counts, tokens, toxicity, urlfilter, variants, warc
 from .sql import SQL
 
 
@@ -91,6 +91,14 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_read(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pii_base": pii_base}
 

@@ -51,6 +51,57 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
+OP12 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {ABC}) AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i+m-1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+k AS (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (
+  SELECT k.lang, k.m, k.phrase, k.a, k.k, l.a AS l, r.a AS r, ((2000000::HUGEINT * k.a) // (l.a + r.a))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k.k+1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(ws[x:x+y-1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, m, a, string_split(phrase, ' ') AS ws FROM b), (SELECT unnest([1, 2, 3]) AS x), (SELECT unnest([2, 3]) AS y)
+  WHERE y < m AND x + y - 1 <= m GROUP BY 1, 2)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE i.longer IS NULL OR 100 * i.longer < 80 * a QUALIFY rank <= 2000
+"""
+
+# crc32 in SQL: the table of the polynomial 0xEDB88320 from its rule, bytes from code points below 256.
+OP13 = rf"""
+WITH RECURSIVE z AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), {ABC}) AS run FROM documents),
+u AS (SELECT id, run, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY 1, 2),
+b AS (
+  SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END)) AS bytes FROM u),
+h AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(t[xor(c % 256, x) + 1], c // 256))) AS h FROM b, z),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM v WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+g AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+s AS (SELECT word, n, i, left(word, i - 1) || chr(1) || substr(word, i + 1) AS same, left(word, i - 1) || substr(word, i + 1) AS less FROM g),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM s a JOIN s b ON a.same = b.same AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM s a JOIN w ON a.less = w.word
+  UNION SELECT w.word, a.word, a.n FROM s a JOIN w ON a.less = w.word),
+q AS (SELECT word, count(*) AS n_near, min((-m, near)) AS best FROM p GROUP BY 1),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best[1] >= 5 * w.n THEN best[2] END AS form, (CASE WHEN -best[1] >= 5 * w.n THEN -best[1] END)::BIGINT AS form_n
+  FROM w LEFT JOIN q ON q.word = w.word),
+o AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT o.word, f.form FROM o JOIN f ON f.word = o.root WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, n) AS root FROM (SELECT o.word, o.root, f.n FROM o JOIN f ON f.word = o.root) GROUP BY 1)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, coalesce(e.root, f.word) AS root FROM f LEFT JOIN e ON e.word = f.word
+"""
+
 OP10 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest,
@@ -176,4 +227,4 @@ SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_email, coalesce(n1, 0)::BIGINT AS n_
 FROM documents LEFT JOIN a USING (doc_id)
 """
 
-SQL = {"pii_base": PII, "op1_url_filter": OP1, "op2_minhash": OP2, "op3_licenses": OP3, "op4_warc": OP4, "op8_decontaminate": OP8, "op10_mixing": OP10}
+SQL = {"pii_base": PII, "op1_url_filter": OP1, "op2_minhash": OP2, "op3_licenses": OP3, "op4_warc": OP4, "op8_decontaminate": OP8, "op10_mixing": OP10, "op12_phrases": OP12, "op13_variants": OP13}

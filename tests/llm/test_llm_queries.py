@@ -26,7 +26,7 @@ def test_matches_sql(spark, name):
 
 
 def test_all_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):
