@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,6 +34,21 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
+def arrow_uri(uri: str) -> str:
+    """Arrow's name of a folder that Hadoop calls ``uri``: other schemes for object stores; ``dbfs:`` is mounted."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return "s3:" + rest
+    if scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    return uri if "://" in uri or uri.startswith("file:") else "file://" + uri
+
+
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder, for Python code outside Spark's readers."""
+    return pafs.FileSystem.from_uri(arrow_uri(uri))
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back; values such as row marks stay as written."""
     path = new_dir(df.sparkSession, what)

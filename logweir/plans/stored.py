@@ -5,17 +5,24 @@ What they read, they write first from the driver's tables, into a folder of shar
 
 from __future__ import annotations
 
+import shutil
+from dataclasses import replace
 from datetime import datetime, timezone
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..functions.storage import materialize, new_dir
-from ..operators import sinks
+from ..functions.storage import materialize, new_dir, open_folder
+from ..operators import filters, pages, sinks
 from ..sources import files
-from ..streaming import follow, tail
+from ..sources.profiles import builtin_profiles
+from ..streaming import follow, live, tail
 from .lenses import documents_lens, events_lens, rendered
-from .registry import AS_OF, _known_levels, profile, query
+from .registry import _RENDER, AS_OF, _known_levels, profile, query
 
 # Paths made of the events, as a listing has them.
 _F = """, f AS (
@@ -201,11 +208,75 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(lens.schema).parquet(lens.inputFiles()[0].rsplit("/", 1)[0])
 
 
-@query(f"SELECT {_FILE} AS file, count(*) AS n, sum(strlen(regexp_replace(line, '\\r$', '')))::BIGINT AS bytes FROM l GROUP BY 1")
+def _lens_files(spark: SparkSession, lines: DataFrame) -> str:
+    """A folder with a file for each of the lens's, in the order of ids."""
+    return _write_lines(lines.withColumn("folder", F.col("source_file")), ["line_number"])
+
+
+def _collected(stream: DataFrame, sink_of, schema: str) -> DataFrame:
+    """Rows that ``sink_of(path)`` wrote until the source was read."""
+    path = new_dir(stream.sparkSession, "collected")
+    sink_of(stream, path).awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(f"{path}/batch=*")
+
+
+def _by_batch(path: str):
+    """A sink that writes each batch to its own place, so a batch that is given again is no other rows."""
+    return lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+@query(f"""
+SELECT {_FILE} AS file, count(*) AS n, sum(strlen(regexp_replace(line, '\\r$', '')))::BIGINT AS bytes, count(*) AS last FROM l GROUP BY 1""")
 def stream_new_files(spark, sf_dir):
-    """Files that appear, as a stream."""
-    got = _drained(follow.watch_new_files(spark, _document_files(spark, sf_dir)))
-    return got.groupBy(_folder().alias("file")).agg(F.count("*").alias("n"), F.sum(F.octet_length("line")).alias("bytes"))
+    """Files that appear, a hundred a batch, and their numbered lines."""
+    root = _document_files(spark, sf_dir)
+
+    def start(stream: DataFrame, path: str):
+        keep = _by_batch(path)
+        run = lambda b, i: keep(follow.lines_of_files(materialize(b, "new-files")).select("source_file", "line_number", "line"), i)
+        return stream.writeStream.foreachBatch(run).option("checkpointLocation", new_dir(spark, "mark")).trigger(availableNow=True).start()
+
+    got = _collected(follow.watch_new_files(spark, root, most=100), start, "source_file string, line_number long, line string")
+    return got.groupBy(_folder().alias("file")).agg(F.count("*").alias("n"), F.sum(F.octet_length("line")).alias("bytes"), F.max("line_number").alias("last"))
+
+
+_ENTRY = "source_file string, line_number long, timestamp timestamp, severity string, message string, profile_id string"
+
+
+@query("""
+SELECT source_file AS file, row_number() OVER (PARTITION BY source_file ORDER BY id) AS line_number, date_trunc('second', timestamp) AS timestamp,
+  CASE WHEN severity = 'Unknown' AND source_file NOT IN ('user_0.log', 'user_5.log') THEN 'Debug' ELSE severity END AS severity, message,
+  CASE WHEN source_file IN ('user_0.log', 'user_5.log') THEN 'nginx-error' ELSE 'log4j-default' END AS profile_id FROM e""")
+def stream_new_entries(spark, sf_dir):
+    """Files of two formats appear, some in UTF-16, five a batch; each is parsed by the format that is found."""
+    lens = events_lens(spark, sf_dir)
+    nginx = F.col("source_file").isin("user_0.log", "user_5.log")
+    lines = rendered(lens, F.when(nginx, _RENDER["nginx-error"][0]()).otherwise(_known_levels()))
+    wide = F.col("source_file").isin("user_0.log", "user_3.log")
+    root = _lens_files(spark, lines.where(~wide))
+    # Small files whole, one a row, as UTF-16 bytes; they join the others.
+    text = lines.where(wide).groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("all"))
+    text.select(F.concat(F.lit(f"{root}/folder="), "source_file", F.lit("/wide.txt")).alias("path"), F.encode(F.concat(F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n")), "UTF-16").alias("content")).mapInArrow(_put_files, "path string").count()
+
+    def start(stream: DataFrame, path: str):
+        keep = _by_batch(path)
+        sink = lambda e, i: keep(e.select("source_file", "line_number", "timestamp", "severity", "message", "profile_id"), i)
+        return follow.follow_new_files(stream, builtin_profiles(), sink, new_dir(spark, "mark"), lambda: AS_OF, trigger={"availableNow": True})
+
+    got = _collected(follow.watch_new_files(spark, root, most=5), start, _ENTRY)
+    return got.select(_folder().alias("file"), "line_number", "timestamp", "severity", "message", "profile_id")
+
+
+def _put_files(batches):
+    """Write ``content`` to ``path``, in the tasks."""
+    for b in batches:
+        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+            folder, _, name = path.rpartition("/")
+            fs, at = open_folder(folder)
+            fs.create_dir(at, recursive=True)
+            with fs.open_output_stream(f"{at}/{name}") as f:
+                f.write(content)
+        yield pa.RecordBatch.from_arrays([b.column("path")], ["path"])
 
 
 _KEY = "regexp_replace(regexp_replace(message, '(?i)\\b0x[0-9a-f]{8,}\\b', '<HEX>', 'g'), '\\b\\d+(\\.\\d+)?\\b', '<NUM>', 'g')"
@@ -222,24 +293,117 @@ def stream_severity_per_minute(spark, sf_dir):
     return _drained(follow.severity_per_minute(_event_stream(spark, sf_dir)), "complete")
 
 
-@query("SELECT source_file AS file, date_trunc('second', timestamp) AS timestamp, severity, component, message FROM e WHERE severity IN ('Critical', 'Error')")
-def stream_follow(spark, sf_dir):
-    """Files followed from their start, errors kept; files of the tasks' machines, so only where shared storage is a mounted folder."""
-    lens = events_lens(spark, sf_dir)
-    root = _write_lines(rendered(lens, _known_levels()).withColumn("folder", F.col("source_file")), ["line_number"])
-    paths = [r.path.removeprefix("file:") for r in files.list_files(spark, root).select("path").collect()]
-    out, mark = new_dir(spark, "followed"), new_dir(spark, "mark")
-    stream = tail.tail_source(spark, paths, dict.fromkeys(paths, 0), bytes_per_file=64 << 20)
-    run = follow.follow(stream, profile("log4j-default"), lambda e, _: e.write.mode("append").parquet(out), mark, lambda: AS_OF, errors_only=True, trigger={"processingTime": "0 seconds"})
+def _append_files(batches):
+    """Put a file's bytes behind those of another, in the tasks and in blocks."""
+    for b in batches:
+        for source, target in zip(b.column("source").to_pylist(), b.column("target").to_pylist()):
+            with open(source, "rb") as f, open(target, "ab") as g:
+                shutil.copyfileobj(f, g)
+        yield pa.RecordBatch.from_arrays([b.column("target")], ["target"])
+
+
+def _local_files(spark: SparkSession, root: str) -> dict[str, str]:
+    """Folder -> the path of its file, as Python opens it."""
+    listed = files.list_files(spark, root).select(_folder("path").alias("folder"), "path").collect()
+    return {r.folder: r.path.removeprefix("file:") for r in listed}
+
+
+def _followed(spark: SparkSession, paths: list[str], out: str, positions: str, mark: str) -> None:
+    """Follow files from their start until nothing more is there, errors kept."""
+    stream = tail.tail_source(spark, paths, positions, dict.fromkeys(paths, 0))
+    sink = _by_batch(out)
+    run = follow.follow(stream, profile("log4j-default"), sink, mark, lambda: AS_OF, errors_only=True, trigger={"processingTime": "0 seconds"})
     try:
         run.processAllAvailable()
     finally:
         run.stop()
-    return spark.read.parquet(out).select(_folder().alias("file"), "timestamp", "severity", "component", "message")
 
 
-@query("SELECT id, severity FROM e ORDER BY id DESC LIMIT 700")
+_ERRORS = "SELECT source_file AS file, date_trunc('second', timestamp) AS timestamp, severity, component, message FROM e WHERE severity IN ('Critical', 'Error')"
+
+
+@query(_ERRORS)
+def stream_follow(spark, sf_dir):
+    """Files followed from their start in steps of the default size; files of the tasks' machines, so only where shared storage is a mounted folder."""
+    paths = list(_local_files(spark, _lens_files(spark, rendered(events_lens(spark, sf_dir), _known_levels()))).values())
+    out = new_dir(spark, "followed")
+    _followed(spark, paths, out, new_dir(spark, "positions"), new_dir(spark, "mark"))
+    return spark.read.parquet(f"{out}/batch=*").select(_folder().alias("file"), "timestamp", "severity", "component", "message")
+
+
+@query(_ERRORS)
+def stream_follow_restarted(spark, sf_dir):
+    """Half of each file is followed, the query stops, the other half is appended, and the query is started again on its checkpoint, twice."""
+    lens = events_lens(spark, sf_dir).withColumn("half", F.ntile(2).over(Window.partitionBy("source_file").orderBy("line_number")))
+    first, second = (_local_files(spark, _lens_files(spark, rendered(lens.where(F.col("half") == k), _known_levels()))) for k in (1, 2))
+    out, positions, mark = (new_dir(spark, x) for x in ("followed", "positions", "mark"))
+    _followed(spark, list(first.values()), out, positions, mark)
+    pairs = spark.createDataFrame([(second[k], first[k]) for k in second if k in first], "source string, target string")
+    pairs.repartition(len(first)).mapInArrow(_append_files, "target string").count()
+    for _ in range(2):
+        _followed(spark, list(first.values()), out, positions, mark)
+    return spark.read.parquet(f"{out}/batch=*").select(_folder().alias("file"), "timestamp", "severity", "component", "message")
+
+
+# --------------------------------------------------------------------------- tables that grow
+def _in_batches(lens: DataFrame, n: int) -> list[DataFrame]:
+    """The lens in ``n`` batches as they might come: by id, and every tenth row late by one batch."""
+    when = F.floor(F.col("id") * n / (F.lit(1) + lens.agg(F.max("id")).first()[0])).cast("int")
+    late = lens.withColumn("batch", F.when(F.col("id") % 10 == 0, F.least(when + 1, F.lit(n - 1))).otherwise(when))
+    stored = materialize(late, "batches")
+    return [stored.where(F.col("batch") == k).drop("batch") for k in range(n)]
+
+
+@query("""SELECT source_file, line_number, 500000 + row_number() OVER (ORDER BY batch, source_file, line_number) - 1 AS id FROM (
+  SELECT *, CASE WHEN id % 10 = 0 THEN least(b + 1, 4) ELSE b END AS batch FROM (SELECT *, (id * 5 // (1 + (SELECT max(id) FROM e)))::INT AS b FROM e)) ORDER BY id DESC LIMIT 700""")
 def stream_ring(spark, sf_dir):
-    """The last entries of a table and a batch that is added."""
-    lens = events_lens(spark, sf_dir)
-    return follow.ring(lens.where("severity <> 'Error'"), lens.where("severity = 'Error'"), 700).select("id", "severity")
+    """The last 700 of five batches, two of which are given again; ids go on from those of a scan."""
+    lens = events_lens(spark, sf_dir).drop("id")
+    parts = _in_batches(events_lens(spark, sf_dir), 5)
+    ring = live.RingTable(spark, new_dir(spark, "ring"), most=700, first_id=500_000)
+    for k, part in enumerate(parts):
+        for _ in range(2 if k in (1, 3) else 1):
+            ring.append(part.drop("id"), k)
+    schema = T.StructType([*lens.schema.fields, T.StructField("id", T.LongType())])
+    return ring.read(schema).select("source_file", "line_number", "id")
+
+
+_VIEWED = "severity IN ('Critical', 'Error', 'Warning') AND (contains(lower(message), '1') OR contains(lower(thread), '1') OR contains(lower(component), '1'))"
+
+
+def _view(spark: SparkSession, sf_dir: str) -> tuple[live.LiveView, DataFrame]:
+    """A view of six batches with late rows, runs of two merged as they come."""
+    lens = events_lens(spark, sf_dir, untimed=True)
+    spec = replace(filters.FilterSpec.errors_and_warnings(), text="1")
+    view = live.LiveView(spark, new_dir(spark, "view"), spec, fan_in=2)
+    for k, part in enumerate(_in_batches(lens, 6)):
+        view.append(part, k)
+        view.merge(lens.schema)
+    return view, lens
+
+
+@query(f"SELECT id, timestamp, row_number() OVER (ORDER BY timestamp NULLS LAST, id) AS position FROM u WHERE {_VIEWED}")
+def live_view(spark, sf_dir):
+    """A filtered timeline that grew batch by batch, late rows and merges among them."""
+    view, lens = _view(spark, sf_dir)
+    order = Window.orderBy(F.asc_nulls_last("timestamp"), "id")
+    return view.read(lens.schema).select("id", "timestamp", F.row_number().over(order).cast("long").alias("position"))
+
+
+@query(f"SELECT id, timestamp FROM u WHERE {_VIEWED} AND timestamp BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-11'")
+def live_view_stretch(spark, sf_dir):
+    """Three days of it; runs without any of them aren't opened."""
+    view, lens = _view(spark, sf_dir)
+    return view.read(lens.schema, start=datetime(2024, 1, 8, tzinfo=timezone.utc), end=datetime(2024, 1, 11, tzinfo=timezone.utc)).select("id", "timestamp")
+
+
+_PAGES = ((0, 30), (137, 200), (611, 55), (905, 80))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT {at} AS page, {newest} AS newest, id, timestamp FROM u ORDER BY {order} LIMIT {n} OFFSET {at})" for at, n in _PAGES for newest, order in (("false", "timestamp NULLS LAST, id"), ("true", "timestamp DESC NULLS FIRST, id DESC"))))
+def timeline_pages(spark, sf_dir):
+    """Pages at any place of a stored timeline, from its index of ranks."""
+    path = new_dir(spark, "timeline")
+    pages.store_timeline(events_lens(spark, sf_dir, untimed=True), path, file_rows=200)
+    out = [pages.page(spark, path, at, n, newest).select(F.lit(at).alias("page"), F.lit(newest).alias("newest"), "id", "timestamp") for at, n in _PAGES for newest in (False, True)]
+    return reduce(DataFrame.unionByName, out)

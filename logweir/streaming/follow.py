@@ -8,12 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from ..functions.text import matches_glob, normalize_message
-from ..operators.parse import only_errors, parse_lines
-from ..sources.files import EXCLUDE, INCLUDE, below, newest
+from ..operators.detect import detect_formats
+from ..operators.parse import only_errors, parse_all, parse_lines
+from ..sources.files import EXCLUDE, INCLUDE, below, newest, read_lines
 from ..sources.profiles import Profile
 
-RING_ROWS, TAIL_FILES = 50_000, 100
+TAIL_FILES, NEW_FILES = 100, 1000
 
 
 def tail_candidates(files: DataFrame, most: int = TAIL_FILES) -> DataFrame:
@@ -23,12 +25,19 @@ def tail_candidates(files: DataFrame, most: int = TAIL_FILES) -> DataFrame:
 
 def parse_batch(lines: DataFrame, profile: Profile, now: datetime, errors_only: bool = False) -> DataFrame:
     """Entries of a micro-batch: continuation lines before its first entry are dropped, entries without a time get ``now``."""
-    entries = parse_lines(lines, profile, now).withColumn("timestamp", F.coalesce("timestamp", F.lit(now)))
+    return _live(parse_lines(lines, profile, now), now, errors_only)
+
+
+def _live(entries: DataFrame, now: datetime, errors_only: bool) -> DataFrame:
+    entries = entries.withColumn("timestamp", F.coalesce("timestamp", F.lit(now)))
     return only_errors(entries) if errors_only else entries
 
 
 def follow(lines: DataFrame, profile: Profile, sink: Callable[[DataFrame, int], None], checkpoint: str, clock: Callable[[], datetime], errors_only: bool = False, trigger: dict | None = None):
-    """Start a query that parses each micro-batch and gives the entries to ``sink(entries, batch_id)``."""
+    """Start a query that parses each micro-batch and gives the entries to ``sink(entries, batch_id)``.
+
+    After a failure a batch may be given again, with the same id: sinks of :mod:`.live` put it in its own place.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         sink(parse_batch(batch, profile, clock(), errors_only), batch_id)
@@ -36,28 +45,52 @@ def follow(lines: DataFrame, profile: Profile, sink: Callable[[DataFrame, int],
     return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
 
 
-def ring(table: DataFrame | None, batch: DataFrame, most: int = RING_ROWS) -> DataFrame:
-    """The last ``most`` rows by id of a tail table and a new batch; scanned rows live in another table."""
-    every = batch if table is None else table.unionByName(batch)
-    return every.orderBy(F.desc("id")).limit(most)
-
-
-def watch_new_files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, modified_since: datetime | None = None) -> DataFrame:
-    """A stream of the lines of files that appear below ``root``; Spark's log of seen files remembers the known ones.
+def watch_new_files(
+    spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, modified_since: datetime | None = None, most: int = NEW_FILES
+) -> DataFrame:
+    """A stream of the files that appear below ``root``: ``path, modified, size``, ``most`` a batch; contents aren't read, and Spark's log of seen
+    files remembers the known ones.
 
     Every exclude applies to file names and to directory names.
     """
     include, exclude = INCLUDE if include is None else include, EXCLUDE if exclude is None else exclude
-    raw = spark.readStream.schema("value string").option("recursiveFileLookup", True).option("lineSep", "\n").text(root)
-    rel = below(F.col("_metadata.file_path"), root)
+    schema = "path string, modificationTime timestamp, length long, content binary"  # what the format has; content isn't asked for
+    listed = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most).load(root)
+    parts = below(F.col("path"), root)
     keep = F.lit(True)
     if include:
-        keep &= matches_glob(F.col("_metadata.file_name"), include)
+        keep &= matches_glob(F.element_at(parts, -1), include)
     if exclude:
-        keep &= ~F.exists(rel, lambda d: matches_glob(d, exclude))
+        keep &= ~F.exists(parts, lambda d: matches_glob(d, exclude))
     if modified_since is not None:
-        keep &= F.col("_metadata.file_modification_time") >= F.lit(modified_since)
-    return raw.where(keep).select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_modification_time").alias("file_modified"))
+        keep &= F.col("modificationTime").isNull() | (F.col("modificationTime") >= F.lit(modified_since))
+    return listed.where(keep).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
+def lines_of_files(files: DataFrame) -> DataFrame | None:
+    """The numbered, decoded lines of a batch of :func:`watch_new_files`; None without files.
+
+    Only names pass through the driver, as many as a batch has; each file is read in splits, or whole if it is UTF-16.
+    """
+    paths = sorted(r.path for r in files.select("path").collect())
+    return read_lines(files.sparkSession, paths) if paths else None
+
+
+def follow_new_files(
+    files: DataFrame, profiles: list[Profile], sink: Callable[[DataFrame, int], None], checkpoint: str, clock: Callable[[], datetime], errors_only: bool = False, trigger: dict | None = None
+):
+    """Start a query that reads each batch of new files, finds out each file's format, parses it, and gives the entries to ``sink``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # A batch is listed anew for each action; what is parsed is what was listed first.
+        files = materialize(batch, "new-files")
+        lines = lines_of_files(files)
+        if lines is not None:
+            now = clock()
+            found = materialize(detect_formats(lines, files, profiles), "formats")
+            sink(_live(parse_all(lines, found, profiles, now), now, errors_only), batch_id)
+
+    return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "2 seconds"})).start()
 
 
 def streaming_dedup(entries: DataFrame, normalized: bool = True, watermark: str | None = None) -> DataFrame:

@@ -1,7 +1,11 @@
 import json
 import os
+from collections import Counter
 from datetime import datetime, timezone
 
+import pytest
+from pyspark.sql import functions as F
+
 from logweir.sources.profiles import builtin_profiles
 from logweir.streaming import follow, tail
 
@@ -9,15 +13,26 @@ NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
 LOG4J = next(p for p in builtin_profiles() if p.id == "log4j-default")
 
 
-def reader(*paths, **options):
-    return tail.TailReader({"paths": json.dumps([str(p) for p in paths]), **options})
+@pytest.fixture
+def reader(tmp_path):
+    """Readers of one query: each call is a new one, as after a restart."""
+    return lambda *paths, **options: tail.TailReader({"paths": json.dumps([str(p) for p in paths]), "positions": str(tmp_path / "positions"), **options})
 
 
 def lines_of(r, a, b):
     return [row[2] for part in r.partitions(a, b) for row in r.read(part)]
 
 
-def test_offsets(tmp_path):
+def drained(r, a):
+    """All lines from offset ``a`` on, and the offset behind them."""
+    got = []
+    while (b := r.latestOffset()) != a:
+        got += lines_of(r, a, b)
+        a = b
+    return got, a
+
+
+def test_offsets(tmp_path, reader):
     f = tmp_path / "a.log"
     f.write_bytes(b"1\n2\n3\n")
     r = reader(f)
@@ -31,61 +46,153 @@ def test_offsets(tmp_path):
     f.write_bytes(b"new\n")
     d = r.latestOffset()
     assert lines_of(r, c, d) == ["new"]
+    f.unlink()
+    e = r.latestOffset()
+    f.write_bytes(b"again\n")
+    assert lines_of(r, d, e) == [] and lines_of(r, e, r.latestOffset()) == ["again"]
 
 
-def test_a_long_line_costs_only_itself(tmp_path, monkeypatch):
-    """Neither what stands before it nor the complete lines behind it are lost, however long it is."""
+def test_a_long_line_costs_only_itself(tmp_path, reader, monkeypatch):
+    """Neither what stands before it nor the complete lines behind it are lost, however long it is; bytes are read once."""
     f = tmp_path / "a.log"
     f.write_bytes(b"")
     r = reader(f)
-    a, got = r.initialOffset(), []
-    long = b"x" * (3 * tail.LONGEST_LINE)
-    f.write_bytes(b"first\n" + long + b"\n" + b"".join(b"line %d\n" % i for i in range(200_000)) + b"y" * (tail.LONGEST_LINE - 5) + b"\nlast\n")
+    a, got, read, sizes = r.initialOffset(), [], Counter(), []
+    f.write_bytes(b"first\n" + b"x" * (3 * tail.LONGEST_LINE) + b"\n" + b"".join(b"line %d\n" % i for i in range(200_000)) + b"y" * (tail.LONGEST_LINE - 5) + b"\nlast\nopen")
     while (b := r.latestOffset()) != a:
-        parts = r.partitions(a, b)
-        assert all(p.end - p.start <= tail.PER_FILE_BYTES for p in parts)
-        got += [row[2] for p in parts for row in r.read(p)]
+        for p in r.partitions(a, b):
+            read.update(range(p.start, p.end, 1000))
+            sizes.append(p.end - p.start)
+            got += [row[2] for row in r.read(p)]
         a = b
     assert got == ["first", *[f"line {i}" for i in range(200_000)], "y" * (tail.LONGEST_LINE - 5), "last"]
+    assert max(read.values()) == 1 and sum(s > tail.PER_FILE_BYTES for s in sizes) == 1
+    f.open("ab").write(b" line\n")
+    assert drained(r, a)[0] == ["open line"]
 
 
-def test_bytes_per_file(tmp_path):
+def test_bytes_per_file(tmp_path, reader):
     f = tmp_path / "a.log"
     f.write_bytes(b"")
     r = reader(f, bytesPerFile="8")
     a = r.initialOffset()
-    f.write_bytes(b"aaa\nbbb\nccc\n")
+    f.write_bytes(b"aaa\nbbb\nccc\nlonger than eight\nd\n")
+    b = r.latestOffset()
+    assert lines_of(r, a, b) == ["aaa", "bbb"]
+    assert drained(r, b)[0] == ["ccc", "longer than eight", "d"]
+
+
+@pytest.mark.parametrize("offsets", [{}, {"offsets": 0}])
+def test_a_new_reader_goes_on_where_the_last_one_was(tmp_path, reader, offsets):
+    """At whatever point the query stopped: no line twice, none lost, no batch larger than others."""
+    f = tmp_path / "a.log"
+    f.write_bytes(b"old\n")
+    options = {"bytesPerFile": "64"} | ({"offsets": json.dumps({str(f): 0})} if offsets else {})
+    r = reader(f, **options)
+    log, done, got, n = [r.initialOffset()], 0, [], 0
+    for step in range(60):
+        f.open("ab").write(b"".join(b"line %d\n" % (n + i) for i in range(7)))
+        n += 7
+        if step % 7 == 3:
+            f.open("ab").write(b"z" * 200 + b"\n")  # longer than a step
+        b = r.latestOffset()
+        crash = step % 5
+        if crash == 1:  # planned, and Spark stopped before it wrote its log
+            r = reader(f, **options)
+            continue
+        if b != log[-1]:
+            log.append(b)
+        if crash == 2:  # logged, and not run: the batch is given again to a new reader
+            r = reader(f, **options)
+        for a, b in zip(log[done:], log[done + 1 :]):
+            parts = r.partitions(a, b)
+            assert all(p.end - p.start <= 264 for p in parts)
+            got += [row[2] for p in parts for row in r.read(p)]
+        done = len(log) - 1
+        if crash == 3:  # run, and committed
+            r = reader(f, **options)
+    got += drained(r, log[-1])[0]
+    want = [x for x in f.read_text().splitlines() if offsets or x != "old"]
+    assert got == want
+
+
+def test_paths_that_join_later(tmp_path, reader):
+    f, g = tmp_path / "a.log", tmp_path / "b.log"
+    f.write_bytes(b"1\n"), g.write_bytes(b"not this\n")
+    r = reader(f)
+    a = r.initialOffset()
     b = r.latestOffset()
-    assert lines_of(r, a, b) == ["aaa", "bbb"] and lines_of(r, b, r.latestOffset()) == ["ccc"]
+    r = reader(f, g)
+    assert r.latestOffset() == b
+    c = r.latestOffset()
+    g.open("ab").write(b"this\n")
+    assert lines_of(r, b, c) == [] and drained(r, c)[0] == ["this"] and a == b
 
 
 def test_follow(spark, tmp_path):
+    """A query that is stopped and started again on its checkpoint."""
     f = tmp_path / "a.log"
     f.write_text("2024-01-15 14:30:22,123 ERROR [m] a.B - old\n")
-    size = os.path.getsize(f)
+    size, got = os.path.getsize(f), []
+
+    def run():
+        stream = tail.tail_source(spark, [str(f)], str(tmp_path / "positions"), {str(f): size})
+        q = follow.follow(stream, LOG4J, lambda e, i: got.extend(e.collect()), str(tmp_path / "cp"), lambda: NOW, errors_only=True, trigger={"processingTime": "0 seconds"})
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
     f.open("a").write("  orphan\n2024-01-15 14:30:23,123 ERROR [m] a.B - new\n  more\n2024-01-15 14:30:24,123 INFO [m] a.B - info\n")
-    got = []
-    q = follow.follow(tail.tail_source(spark, [str(f)], {str(f): size}), LOG4J, lambda e, i: got.extend(e.collect()), str(tmp_path / "cp"), lambda: NOW, errors_only=True)
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    run()
     assert [r.message for r in got] == ["new\n  more"]
+    f.open("a").write("2024-01-15 14:31:23,123 ERROR [m] a.B - while down\n")
+    run()
+    run()
+    assert [r.message for r in got] == ["new\n  more", "while down"]
 
 
-def test_new_files_and_dedup(spark, tmp_path):
-    root = tmp_path / "logs"
+def test_untimed_entries_get_the_time_of_the_batch(spark):
+    lines = spark.createDataFrame([("a", 1, "no time here")], "source_file string, line_number long, line string")
+    plain = next(p for p in builtin_profiles() if p.id == "plain-text")
+    assert follow.parse_batch(lines, plain, NOW).select("timestamp").first()[0] == NOW.replace(tzinfo=None)
+
+
+def test_new_files_are_parsed_as_they_appear(spark, tmp_path):
+    """UTF-8 with and without mark, UTF-16, invalid bytes, by the format that is found; a file is read once, also by a query that is started again."""
+    root, got = tmp_path / "logs", []
     (root / "__pycache__").mkdir(parents=True)
-    (root / "a.log").write_text("x\ny\n")
+    line = "2024-01-15 14:30:%02d,123 ERROR [m] a.B - %s\n  more\n"
+    (root / "a.log").write_bytes(b"".join((line % (i, f"é {i}")).encode() for i in range(30)))
     (root / "a.bin").write_text("no\n")
     (root / "__pycache__" / "b.log").write_text("no\n")
-    out = []
-    s = follow.watch_new_files(spark, str(root))
-    q = s.writeStream.foreachBatch(lambda b, i: out.extend(r.line for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(out) == ["x", "y"]
-
-
-def test_ring(spark):
-    old, new = spark.range(5), spark.range(5, 8)
-    assert sorted(r.id for r in follow.ring(old, new, 5).collect()) == [3, 4, 5, 6, 7]
+    files = lambda: follow.watch_new_files(spark, str(root))
+
+    def run():
+        sink = lambda e, i: got.extend((r.source_file.rsplit("/", 1)[1], r.line_number, r.message, r.profile_id, r.timestamp) for r in e.collect())
+        q = follow.follow_new_files(files(), builtin_profiles(), sink, str(tmp_path / "c"), lambda: NOW, trigger={"availableNow": True})
+        q.awaitTermination()
+
+    run()
+    assert sorted(got, key=str) == sorted((("a.log", 2 * i + 1, f"é {i}\n  more", "log4j-default", datetime(2024, 1, 15, 14, 30, i)) for i in range(30)), key=str)
+    got.clear()
+    (root / "w.log").write_bytes("".join(line % (i, "wide") for i in range(25)).encode("utf-16"))
+    (root / "m.txt").write_bytes(b"\xef\xbb\xbffirst \xff\nsecond\n")
+    run()
+    assert Counter((f, p) for f, _, _, p, _ in got) == {("w.log", "log4j-default"): 25, ("m.txt", "plain-text"): 2}
+    assert {m for f, _, m, _, t in got if f == "m.txt" and t == NOW.replace(tzinfo=None)} == {"first �", "second"}
+    got.clear()
+    run()
+    assert got == []
+
+
+def test_new_files_by_time_and_pattern(spark, tmp_path):
+    root = tmp_path / "logs"
+    root.mkdir()
+    for name, t in (("a.log", 1_000_000_000), ("b.log", 2_000_000_000), ("c.txt", 2_000_000_000), ("tmp-d.log", 2_000_000_000)):
+        (root / name).write_text("x\n")
+        os.utime(root / name, (t, t))
+    seen = []
+    files = follow.watch_new_files(spark, str(root), include=["*.log"], exclude=["tmp*"], modified_since=datetime(2020, 1, 1, tzinfo=timezone.utc), most=1)
+    files.writeStream.foreachBatch(lambda b, i: seen.extend(r.path.rsplit("/", 1)[1] for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == ["b.log"]
