@@ -71,42 +71,85 @@ def parse_timestamp(text: Column, fmt: str, as_of: datetime) -> Column:
     return F.coalesce(*steps)
 
 
-def _either_order(text: Column, pattern: str, tail: str) -> Column:
-    """Day/month order by the values: over 12 tells; else month first, then day first."""
-    hit, first, second = (F.regexp_extract(text, pattern, k) for k in (0, 1, 2))
-    value = F.regexp_replace(hit, ",", " ")
-    day, month = _try(value, "d/M/" + tail), _try(value, "M/d/" + tail)
-    tell = lambda c: c.try_cast("int") > 12
-    return F.when(hit == "", None).when(tell(first), day).when(tell(second), month).otherwise(F.coalesce(month, day))
+def _tiers(text: Column, as_of: datetime) -> list[Column]:
+    """What each of 15 tiers finds, null where its pattern isn't there or doesn't parse.
 
-
-def sniff_timestamp(text: Column, as_of: datetime) -> Column:
-    """The first of 15 tiers whose pattern is found and parses."""
+    A tier's expression runs only on text that has the characters it can't do without, and only what it finds is parsed: a failed parse costs
+    ten times a failed match.
+    """
     get = lambda p, k=0: F.regexp_extract(text, p, k)
     clock = r"\d{2}:\d{2}:\d{2}"
     fraction = r"(?:\.\d{1,9})?"
 
-    def plain(pattern: str, fmt: str, change=lambda c: c) -> Column:
+    def having(marks: str, found: Column) -> Column:
+        test = F.contains(text, F.lit(marks[0]))
+        for m in marks[1:]:
+            test &= F.contains(text, F.lit(m))
+        return F.when(test, found)
+
+    def plain(marks: str, pattern: str, fmt: str, change=lambda c: c, finer: bool = True) -> Column:
+        hit = get(pattern)
+        value = change(hit)
+        return having(marks, F.when(hit != "", _try(F.regexp_replace(value, r"(\.\d{6})\d+", "$1") if finer else value, fmt)))
+
+    def either_order(pattern: str, tail: str) -> Column:
+        """Day/month order by the values: over 12 tells; else month first, then day first."""
         hit = get(pattern)
-        return F.when(hit != "", _try(F.regexp_replace(change(hit), r"(\.\d{6})\d+", "$1"), fmt))
+        value = F.replace(hit, F.lit(","), F.lit(" "))
+        day, month = _try(value, "d/M/" + tail), _try(value, "M/d/" + tail)
+        # A number over 12 is no month, so only one order parses.
+        return having("/:", F.when(hit != "", F.coalesce(month, day)))
 
     zone = rf"(\d{{4}}-\d{{2}}-\d{{2}})[Tt ]({clock}(?:\.\d{{1,9}})?)(Z|[+-]\d{{2}}:?\d{{2}})"
-    offset = F.regexp_replace(F.regexp_replace(get(zone, 3), "^Z$", "+00:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    tiers = [
-        F.when(get(zone) != "", rfc3339_timestamp(F.concat(get(zone, 1), F.lit("T"), get(zone, 2), offset))),
-        plain(rf"\d{{4}}-\d{{2}}-\d{{2}} {clock},\d{{1,9}}", "yyyy-MM-dd HH:mm:ss.SSSSSS", lambda c: F.replace(c, F.lit(","), F.lit("."))),
-        plain(rf"\d{{4}}-\d{{2}}-\d{{2}}[T ]{clock}{fraction}", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", lambda c: F.replace(c, F.lit("T"), F.lit(" "))),
-        plain(rf"\d{{4}}/\d{{2}}/\d{{2}} {clock}{fraction}", "yyyy/MM/dd HH:mm:ss[.SSSSSS]"),
-        plain(rf"\d{{2}}\.\d{{2}}\.\d{{4}} {clock}{fraction}", "dd.MM.yyyy HH:mm:ss[.SSSSSS]"),
-        plain(rf"\d{{2}}/[A-Za-z]{{3}}/\d{{4}}:{clock} [+-]\d{{4}}", "dd/MMM/yyyy:HH:mm:ss xx"),
-        _either_order(text, rf"(\d{{1,2}})/(\d{{1,2}})/\d{{4}} {clock}", "yyyy H:mm:ss"),
-        _either_order(text, rf"(\d{{1,2}})/(\d{{1,2}})/\d{{2}}[, ]{clock}", "yy H:mm:ss"),
-        plain(rf"[A-Z][a-z]{{2}}\s+\d{{1,2}},?\s+\d{{4}}\s+{clock}", "MMM d yyyy HH:mm:ss", lambda c: F.regexp_replace(c, r",?\s+", " ")),
-        plain(rf"[A-Z][a-z]{{2}}\s+\d{{1,2}}\s+{clock}", "yyyy MMM d HH:mm:ss", lambda c: F.concat(F.lit(f"{as_of.year} "), F.regexp_replace(c, r"\s+", " "))),
-        plain(r"(?<!\d)\d{8}T\d{6}(?!\d)", "yyyyMMdd'T'HHmmss"),
-        F.when(get(r"^\d{10}") != "", F.timestamp_seconds(get(r"^\d{10}").try_cast("bigint"))),
-        F.when(get(r"^\d{13}") != "", F.timestamp_millis(get(r"^\d{13}").try_cast("bigint"))),
-        plain(r"(?<!\d)\d{2}\.\d{2}\.\d{4}(?!\d)", "dd.MM.yyyy"),
-        plain(rf"(?<!\d){clock}(?:[.,]\d{{1,9}})?", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", lambda c: F.concat(F.lit(f"{as_of:%Y-%m-%d} "), F.replace(c, F.lit(","), F.lit(".")))),
+    # The whole find in one form: a space, no more than six digits, an offset with a colon.
+    found = F.regexp_replace(F.regexp_replace(get(zone), r"^(.{10})[Tt]", "$1 "), r"(\.\d{6})\d+", "$1")
+    offset = F.regexp_replace(F.regexp_replace(found, "Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    no_comma = lambda c: F.replace(c, F.lit(","), F.lit("."))
+    month = lambda sep: lambda c: F.regexp_replace(c, sep, " ")
+    seconds = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+    return [
+        having("-:", F.when(get(zone) != "", _try(offset, "yyyy-MM-dd HH:mm:ss[.SSSSSS]xxx"))),
+        plain("-:,", rf"\d{{4}}-\d{{2}}-\d{{2}} {clock},\d{{1,9}}", "yyyy-MM-dd HH:mm:ss.SSSSSS", no_comma),
+        plain("-:", rf"\d{{4}}-\d{{2}}-\d{{2}}[T ]{clock}{fraction}", seconds, lambda c: F.replace(c, F.lit("T"), F.lit(" "))),
+        plain("/:", rf"\d{{4}}/\d{{2}}/\d{{2}} {clock}{fraction}", "yyyy/MM/dd HH:mm:ss[.SSSSSS]"),
+        plain(".:", rf"\d{{2}}\.\d{{2}}\.\d{{4}} {clock}{fraction}", "dd.MM.yyyy HH:mm:ss[.SSSSSS]"),
+        plain("/:", rf"\d{{2}}/[A-Za-z]{{3}}/\d{{4}}:{clock} [+-]\d{{4}}", "dd/MMM/yyyy:HH:mm:ss xx", finer=False),
+        either_order(rf"(\d{{1,2}})/(\d{{1,2}})/\d{{4}} {clock}", "yyyy H:mm:ss"),
+        either_order(rf"(\d{{1,2}})/(\d{{1,2}})/\d{{2}}[, ]{clock}", "yy H:mm:ss"),
+        plain(":", rf"[A-Z][a-z]{{2}}\s+\d{{1,2}},?\s+\d{{4}}\s+{clock}", "MMM d yyyy HH:mm:ss", month(r",?\s+"), finer=False),
+        plain(":", rf"[A-Z][a-z]{{2}}\s+\d{{1,2}}\s+{clock}", "yyyy MMM d HH:mm:ss", lambda c: F.concat(F.lit(f"{as_of.year} "), month(r"\s+")(c)), finer=False),
+        plain("T", r"(?<!\d)\d{8}T\d{6}(?!\d)", "yyyyMMdd'T'HHmmss", finer=False),
+        F.timestamp_seconds(get(r"^\d{10}").try_cast("bigint")),
+        F.timestamp_millis(get(r"^\d{13}").try_cast("bigint")),
+        plain(".", r"(?<!\d)\d{2}\.\d{2}\.\d{4}(?!\d)", "dd.MM.yyyy", finer=False),
+        plain(":", rf"(?<!\d){clock}(?:[.,]\d{{1,9}})?", seconds, lambda c: F.concat(F.lit(f"{as_of:%Y-%m-%d} "), no_comma(c))),
     ]
-    return F.coalesce(*tiers)
+
+
+def _apart(text: Column, found) -> Column:
+    """``found(text)`` as the body of a lambda, which Spark evaluates as it stands.
+
+    Generated code of all tiers is longer than what the JVM compiles (8000 bytes a method), and everything else in the same stage would be
+    interpreted with it.
+    """
+    return F.get(F.transform(F.array(text), found), F.lit(0))
+
+
+def sniff_timestamp(text: Column, as_of: datetime, tier: Column | None = None) -> Column:
+    """The first of 15 tiers whose pattern is found and parses; ``tier`` (from :func:`sniffed_tier`, may be null) is tried before the others."""
+
+    def found(t: Column) -> Column:
+        tiers = _tiers(t, as_of)
+        if tier is None:
+            return F.coalesce(*tiers)
+        likely = F.when(tier == 0, tiers[0])
+        for i, one in enumerate(tiers[1:], 1):
+            likely = likely.when(tier == i, one)
+        return F.coalesce(likely, *tiers)
+
+    return _apart(text, found)
+
+
+def sniffed_tier(text: Column, as_of: datetime) -> Column:
+    """Number (from 0) of the tier that :func:`sniff_timestamp` takes, null without one."""
+    return _apart(text, lambda t: F.coalesce(*[F.when(one.isNotNull(), i) for i, one in enumerate(_tiers(t, as_of))]))

@@ -14,10 +14,10 @@ from pyspark.sql.window import Window
 
 from ..functions.storage import materialize
 from ..functions.text import severity_rank, truncate_bytes
-from ..functions.timestamps import parse_timestamp, sniff_timestamp
+from ..functions.timestamps import parse_timestamp, sniff_timestamp, sniffed_tier
 from ..sources.profiles import LEVELS, PLAIN_TEXT, Profile, java_regex
 
-MAX_ENTRY_BYTES, MAX_ERRORS = 65_536, 1000
+MAX_ENTRY_BYTES, MAX_ERRORS, SNIFF_LINES = 65_536, 1000, 200
 #: Lines of a file that are numbered in one task.
 BLOCK_LINES = 200_000
 COLUMNS = ("timestamp", "severity", "severity_rank", "source_file", "line_number", "thread", "component", "message", "raw_text", "profile_id", "file_modified")
@@ -99,10 +99,21 @@ def with_heads(rows: DataFrame) -> DataFrame:
     return marked.withColumn("ahead", F.col("start") + F.col("upto") - size - begin).withColumn("head", head).drop("block", "carried", "own", "upto", "start")
 
 
-def parse_lines(lines: DataFrame, profile: Profile, as_of: datetime) -> DataFrame:
+def tier_hints(lines: DataFrame, as_of: datetime, most: int = SNIFF_LINES) -> DataFrame:
+    """``source_file, tier``: how most times are written in the first ``most`` lines of each file that has any, to be given to :func:`parse_lines`.
+
+    A row a file, written once, so that Spark knows its size and broadcasts it where it is small.
+    """
+    first = _lines(lines).where(F.col("line_number") <= most).select("source_file", sniffed_tier(F.col("line"), as_of).alias("tier"))
+    counts = first.where(F.col("tier").isNotNull()).groupBy("source_file", "tier").agg(F.count("*").alias("n"))
+    return materialize(counts.groupBy("source_file").agg(F.max_by("tier", F.struct("n", -F.col("tier"))).alias("tier")), "tiers")
+
+
+def parse_lines(lines: DataFrame, profile: Profile, as_of: datetime, hints: DataFrame | None = None) -> DataFrame:
     """Entries of ``lines`` by one profile (:data:`COLUMNS`; ids come from :func:`assign_ids`).
 
-    ``as_of`` stands for the clock: the year of formats without one, the day of times without one.
+    ``as_of`` stands for the clock: the year of formats without one, the day of times without one.  Where times are looked for in the text,
+    a file's tier in ``hints`` is tried first and the others only where it finds nothing.
     """
     rows = extract(lines, profile)
     level = F.col("level") if profile.group("level") else None
@@ -124,8 +135,11 @@ def parse_lines(lines: DataFrame, profile: Profile, as_of: datetime) -> DataFram
         )
         rows = grouped.withColumns({"message": text("part"), "raw_text": text("line")}).withColumnRenamed("head", "line_number")
     stamped = parse_timestamp(F.col("stamp"), profile.format, as_of) if profile.group("timestamp") else F.lit(None).cast("timestamp")
+    if hints is not None:
+        rows = rows.join(hints.select("source_file", "tier"), "source_file", "left")
+    sniffed = sniff_timestamp(F.col("raw_text"), as_of, F.col("tier") if hints is not None else None)
     return rows.select(
-        F.coalesce(stamped, sniff_timestamp(F.col("raw_text"), as_of)).alias("timestamp"), "severity", severity_rank(F.col("severity")).alias("severity_rank"), "source_file", "line_number",
+        F.coalesce(stamped, sniffed).alias("timestamp"), "severity", severity_rank(F.col("severity")).alias("severity_rank"), "source_file", "line_number",
         "thread", "component", truncate_bytes(F.col("message"), MAX_ENTRY_BYTES).alias("message"), truncate_bytes(F.col("raw_text"), MAX_ENTRY_BYTES).alias("raw_text"),
         F.lit(profile.id).alias("profile_id"), "file_modified",
     )
@@ -148,7 +162,7 @@ def parse_errors(lines: DataFrame, profile: Profile, as_of: datetime, most: int
     return found.withColumn("r", F.row_number().over(Window.partitionBy("source_file").orderBy("line_number"))).where(F.col("r") <= most).drop("r")
 
 
-def parse_all(lines: DataFrame, detected: DataFrame, profiles: list[Profile], as_of: datetime) -> DataFrame:
+def parse_all(lines: DataFrame, detected: DataFrame, profiles: list[Profile], as_of: datetime, hints: DataFrame | None = None) -> DataFrame:
     """Entries of all files, each by its detected profile (``path, profile_id``); files whose profile finds
     nothing in them, and files that ``detected`` doesn't have, are plain text.  Profiles that no file has cost nothing."""
     by_id = {p.id: p for p in profiles}
@@ -163,9 +177,9 @@ def parse_all(lines: DataFrame, detected: DataFrame, profiles: list[Profile], as
         named = lines.join(materialize(final, "profiles"), "source_file", "left")
     else:
         named = lines.withColumn("profile_id", F.lit(None).cast("string"))
-    out = parse_lines(named.where(F.col("profile_id").isNull()).drop("profile_id"), by_id[PLAIN_TEXT], as_of)
+    out = parse_lines(named.where(F.col("profile_id").isNull()).drop("profile_id"), by_id[PLAIN_TEXT], as_of, hints)
     for i in present:
-        out = out.unionByName(parse_lines(named.where(F.col("profile_id") == i).drop("profile_id"), by_id[i], as_of))
+        out = out.unionByName(parse_lines(named.where(F.col("profile_id") == i).drop("profile_id"), by_id[i], as_of, hints))
     return out
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import java_escape, prefix_sums
 
 MAX_TERMS = 200
+#: From so many terms on they are looked for in one scan.
+SCAN_TERMS = 4
 
 
 @dataclass(frozen=True)
@@ -69,12 +71,64 @@ class MultiSearch:
             need = min(max(self.min_match, 1), len(self.terms)) if self.min_match is not None else 1 if self.mode == "any" else len(self.terms)
             if need == 1:
                 passed &= F.coalesce(one_of(self.terms), F.lit(False))
+            elif self.one_scan():
+                passed &= F.coalesce(F.size(self.terms_in(text)), F.lit(0)) >= need
             else:
                 hits = [F.coalesce(text.rlike(self.pattern(t)), F.lit(False)).cast("int") for t in self.terms]
                 passed &= sum(hits[1:], hits[0]) >= need
         return passed
 
 
+    # ------------------------------------------------------------------ all terms in one scan
+    def one_scan(self) -> bool:
+        """Whether :meth:`terms_in` can tell the terms apart: literal ones, in ASCII if their case doesn't matter."""
+        return len(self.terms) >= SCAN_TERMS and not self.regex and (not self.ignore_case or all(t.isascii() for t in self.terms))
+
+    def _key(self, term: str) -> str:
+        return term.lower() if self.ignore_case else term
+
+    def _ends_at(self, term: str, size: int) -> bool:
+        """Whether a term's first ``size`` characters are a match of their own where the term is."""
+        if not self.whole_word or size == len(term):
+            return True
+        word = lambda c: c.isalnum() or c == "_"
+        return (word(term[size - 1]) != word(term[size])) == word(term[size - 1])
+
+    def scan_pattern(self) -> str:
+        """An expression that captures, without taking anything, the longest term that begins at a place: common beginnings are shared, longer ones
+        come first."""
+        tree: dict = {}
+        for term in self.terms:
+            node = tree
+            for c in self._key(term):
+                node = node.setdefault(c, {})
+            node[""] = term
+
+        def edge(c: str) -> str:
+            return (r"\b" if c.isalnum() or c == "_" else r"\B") if self.whole_word else ""
+
+        def body(node: dict, last: str) -> str:
+            ways = [java_escape(c) + body(n, c) for c, n in node.items() if c != ""]
+            if "" in node:
+                ways.append(edge(last))
+            return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+        firsts = {c: edge(c) + java_escape(c) + body(n, c) for c, n in tree.items()}
+        begin = "[" + "".join(java_escape(c) for c in firsts) + "]"
+        return ("(?iu)" if self.ignore_case else "") + f"(?={begin})(?=({'|'.join(firsts.values())}))"
+
+    def terms_in(self, text: Column) -> Column:
+        """Numbers of the terms that are in ``text``, by one scan: what it captures at each place, and the terms that those begin with."""
+        number = {self._key(t): i for i, t in enumerate(self.terms)}
+        inside = {k: [i for u, i in number.items() if k.startswith(u) and self._ends_at(k, len(u))] for k in number}
+        table = F.create_map(*[x for k, found in inside.items() for x in (F.lit(k), F.array(*map(F.lit, found)))])
+        caught = F.regexp_extract_all(text, F.lit(self.scan_pattern()), F.lit(1))
+        if self.ignore_case:
+            # The characters outside ASCII that an expression takes for i, s and k.
+            caught = F.transform(caught, lambda c: F.lower(F.translate(c, "\u0130\u0131\u017f\u212a", "iisk")))
+        return F.array_distinct(F.flatten(F.transform(F.array_distinct(caught), lambda c: F.element_at(table, c))))
+
+
 def highlight(text: Column, search: MultiSearch) -> Column:
     """Byte ranges (start, end) of the terms' matches: sorted, with those that overlap or touch merged."""
     kind = "array<struct<start:int,end:int>>"

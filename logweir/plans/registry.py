@@ -159,6 +159,34 @@ def sniff_tiers(spark, sf_dir):
     return lens.select("id", parse.sniff_timestamp(F.concat(F.lit("event at "), shape, F.lit(" - done")), AS_OF).alias("timestamp"))
 
 
+def _shaped(spark, sf_dir):
+    """Each file writes its times in a shape of its own, every hundredth line in another, every seventh line has none."""
+    lens = events_lens(spark, sf_dir)
+    user = F.substring("source_file", 6, 1).cast("int")
+    shape = F.when(F.col("id") % 100 == 0, 2).otherwise(user)
+    stamp = F.coalesce(*[F.when(shape == i, F.date_format("timestamp", f)) for i, f in enumerate(_TIERS[:10])])
+    return rendered(lens, F.when(F.col("id") % 7 == 0, F.concat(F.lit("no time in "), "component")).otherwise(F.concat(F.lit("event at "), stamp, F.lit(" - done"))))
+
+
+_SHAPED = """SELECT line_number, CASE WHEN id % 7 = 0 THEN NULL WHEN tier = 0 THEN date_trunc('second', timestamp) - INTERVAL 330 MINUTE WHEN tier = 1 THEN date_trunc('millisecond', timestamp)
+  ELSE date_trunc('second', timestamp) END AS timestamp
+FROM (SELECT *, CASE WHEN id % 100 = 0 THEN 2 ELSE right(left(source_file, 6), 1)::INT END AS tier FROM e)"""
+
+
+@query(_SHAPED)
+def sniff_per_file(spark, sf_dir):
+    """Files that keep to one shape: the tier that their first lines need is tried first."""
+    lines = _shaped(spark, sf_dir)
+    hints = parse.tier_hints(lines, AS_OF)
+    return parse.parse_lines(lines, profile("plain-text"), AS_OF, hints).select("line_number", "timestamp")
+
+
+@query(_SHAPED)
+def sniff_without_hints(spark, sf_dir):
+    """The same without hints: every line goes through the tiers in order."""
+    return parse.parse_lines(_shaped(spark, sf_dir), profile("plain-text"), AS_OF).select("line_number", "timestamp")
+
+
 @query("""
 SELECT source_file AS path, CASE WHEN source_file IN ('user_0.log', 'user_5.log') THEN 'nginx-error' ELSE 'log4j-default' END AS profile_id, 1.0::DOUBLE AS detection_confidence
 FROM e GROUP BY 1""")
@@ -344,6 +372,13 @@ def correlate_many(spark, sf_dir):
     return correlate.correlate_many(lens, lens.where(F.col("severity") == "Error")).select("anchor_id", "id")
 
 
+@query("SELECT id, timestamp FROM e WHERE EXISTS (SELECT 1 FROM e a WHERE a.severity = 'Error' AND a.id % 9 = 0 AND e.timestamp BETWEEN a.timestamp - INTERVAL 45 SECOND AND a.timestamp + INTERVAL 45 SECOND)")
+def correlate_any(spark, sf_dir):
+    """Every entry near some error, once, without pairs."""
+    lens = events_lens(spark, sf_dir)
+    return correlate.correlate_any(lens, lens.where((F.col("severity") == "Error") & (F.col("id") % 9 == 0)), 45).select("id", "timestamp")
+
+
 @query("""SELECT line_number, date_trunc('second', timestamp) AS timestamp, CASE severity WHEN 'Unknown' THEN 'Info' ELSE severity END AS severity, component, thread,
   'EventID ' || (id % 100) || ' | ' || component || ' | App | host | user=' || thread || ', kind=' || component AS message FROM e""")
 def event_xml(spark, sf_dir):
