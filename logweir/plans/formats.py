@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from dataclasses import replace
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from ..functions import text, timestamps
 from ..operators import analyse, detect, filters, parse, search
-from ..sources.profiles import builtin_profiles
+from ..sources.profiles import builtin_profiles, load_profiles, register_profile
+from ..streaming import follow
 from .lenses import documents_lens, events_lens, rendered
 from .registry import AS_OF, _RENDER, profile, query
 
@@ -121,7 +126,85 @@ def timestamp_chain(spark, sf_dir):
     return events_lens(spark, sf_dir).select("id", F.coalesce(*each).alias("timestamp"))
 
 
+_ZONED = (("dd/MMM/yyyy:HH:mm:ss '+0530'", "%d/%b/%Y:%H:%M:%S %z"), ("yyyy-MM-dd HH:mm:ss'-07:00'", "%Y-%m-%d %H:%M:%S%:z"), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"))
+
+
+@query("""
+SELECT id, date_trunc('second', timestamp) + to_minutes(CASE step WHEN 0 THEN -330 WHEN 1 THEN 420 ELSE 0 END) AS timestamp, step < 2 AS zoned
+FROM (SELECT *, (id % 3)::INT AS step FROM e)""")
+def timestamp_offsets(spark, sf_dir):
+    """Formats with an offset, which is applied, and one without."""
+    each = [F.when(F.col("id") % 3 == i, timestamps.parse_timestamp(_stamp(f), g, AS_OF)) for i, (f, g) in enumerate(_ZONED)]
+    zoned = F.coalesce(*[F.when(F.col("id") % 3 == i, F.lit(timestamps.has_offset(g))) for i, (_, g) in enumerate(_ZONED)])
+    return events_lens(spark, sf_dir).select("id", F.coalesce(*each).alias("timestamp"), zoned.alias("zoned"))
+
+
 # --------------------------------------------------------------------------- detection and parsing
+_OWN = """
+[profile]
+id = "own-format"
+name = "Pipes"
+[detection]
+content_match = '^\\d{4}/\\d\\d/\\d\\d \\d\\d\\|'
+[parsing]
+line_pattern = '^(?P<timestamp>[^|]*)\\|(?P<level>\\w+)\\|(?P<thread>\\w*)\\|(?P<message>.*)$'
+timestamp_format = "%Y/%m/%d %H"
+multiline_mode = "skip"
+[severity_mapping]
+error = ["BAD"]
+warning = ["ODD"]
+"""
+
+
+@query("""
+SELECT source_file, id AS line_number, CASE WHEN severity IN ('Error', 'Warning') THEN severity ELSE 'Unknown' END AS severity, thread, message,
+  date_trunc('hour', timestamp) AS timestamp, 'own-format' AS profile_id, 1::BIGINT AS skipped FROM e""")
+def user_profiles(spark, sf_dir):
+    """A folder of a user's profiles, one of which can't be used; files are detected and parsed by the other."""
+    folder = Path(tempfile.mkdtemp(prefix="profiles-"))  # read by the driver alone, at once
+    (folder / "own.toml").write_text(_OWN)
+    (folder / "broken.toml").write_text(_OWN.replace("own-format", "broken").replace("skip", "sideways"))
+    profiles, skipped = load_profiles(str(folder))
+    shutil.rmtree(folder)
+    lens = events_lens(spark, sf_dir)
+    level = F.coalesce(F.when(F.col("severity") == "Error", "BAD"), F.when(F.col("severity") == "Warning", "ODD"), F.lit("FINE"))
+    lines = rendered(lens, F.concat_ws("|", _stamp("yyyy/MM/dd HH"), level, "thread", "message"))
+    order = F.row_number().over(analyse.Window.partitionBy("source_file").orderBy("line_number"))
+    found = detect.detect_formats(lines.withColumn("line_number", order), lens.select(F.col("source_file").alias("path")).distinct(), profiles)
+    got = parse.parse_all(lines, found, profiles, AS_OF)
+    return got.select("source_file", "line_number", "severity", "thread", "message", "timestamp", "profile_id", F.lit(len(skipped)).cast("long").alias("skipped"))
+
+
+@query("""
+SELECT source_file, id AS line_number, upper(event) AS message FROM (SELECT *, component AS event FROM e)""")
+def replaced_profile(spark, sf_dir):
+    """A profile of the same id takes the place of a built-in one."""
+    own = register_profile(builtin_profiles(), replace(profile("log4j-default"), content="^#", line=r"^# (?P<message>.*)$", format="", mode="skip"))
+    by_id = next(p for p in own if p.id == "log4j-default")
+    lines = rendered(events_lens(spark, sf_dir), F.concat(F.lit("# "), F.upper("component")))
+    return parse.parse_lines(lines, by_id, AS_OF).select("source_file", "line_number", "message")
+
+
+@query("""
+SELECT source_file, id AS line_number, CASE WHEN id % 3 = 1 THEN date_trunc('second', timestamp) ELSE TIMESTAMP '2024-01-20' END AS timestamp, CASE WHEN id % 3 = 1 THEN message ELSE component END AS message
+FROM (SELECT *, min(CASE WHEN id % 3 <> 0 THEN id END) OVER (PARTITION BY source_file) AS head FROM e) WHERE id % 3 <> 0""")
+def followed_batch(spark, sf_dir):
+    """A micro-batch: what stands before its first entry is dropped, entries without a time get the batch's; a line in three continues nothing and is skipped."""
+    lens = events_lens(spark, sf_dir)
+    raw = F.when(F.col("id") % 3 == 1, F.concat(_stamp("yyyy/MM/dd HH:mm:ss"), F.lit(" | "), "message")).when(F.col("id") % 3 == 2, F.concat(F.lit("undated | "), "component")).otherwise(F.lit("  at nothing"))
+    own = replace(profile("nginx-error"), id="own", line=r"^(?P<timestamp>.*?) \| (?P<message>.*)$", format="%Y/%m/%d %H:%M:%S", mode="skip", levels={}, overrides={})
+    return follow.parse_batch(rendered(lens, raw), own, AS_OF).select("source_file", "line_number", "timestamp", "message")
+
+
+@query("""
+SELECT source_file, id AS line_number FROM (SELECT *, min(CASE WHEN id % 5 = 2 THEN id END) OVER (PARTITION BY source_file) AS head FROM e) WHERE id % 5 = 2""")
+def followed_orphans(spark, sf_dir):
+    """Continuation lines at the start of a batch have no entry and are dropped; later ones belong to theirs."""
+    lens = events_lens(spark, sf_dir)
+    raw = F.when(F.col("id") % 5 == 2, _RENDER["log4j-default"][0]()).otherwise(F.concat(F.lit("  at "), "component"))
+    return follow.parse_batch(rendered(lens, raw), profile("log4j-default"), AS_OF).select("source_file", "line_number")
+
+
 _NAMED = "CASE WHEN source_file IN ('user_0.log', 'user_5.log') THEN '/var/access.log' WHEN source_file = 'user_1.log' THEN '/var/u_ex' || right(left(source_file, 6), 1) || '.log' ELSE source_file END"
 
 
@@ -287,20 +370,20 @@ def union_of_tables(spark, sf_dir):
 
 # --------------------------------------------------------------------------- text
 @query("""
-SELECT doc_id, CASE WHEN length(line) > 140 THEN left(line, 140) || '…' ELSE line END AS preview
-FROM (SELECT doc_id, regexp_replace(coalesce(string_split(text, chr(10))[1], ''), '[\\x00-\\x08\\x0A-\\x1F\\x7F-\\x{9F}]', chr(65533), 'g') AS line FROM documents WHERE text IS NOT NULL)""")
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(line) > 140 THEN left(line, 140) || '…' ELSE line END AS preview
+FROM (SELECT doc_id, text, regexp_replace(coalesce(string_split(text, chr(10))[1], ''), '[\\x00-\\x08\\x0A-\\x1F\\x7F-\\x{9F}]', chr(65533), 'g') AS line FROM documents)""")
 def previews(spark, sf_dir):
     """The first lines of the documents, cut."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
 @query("""
 SELECT doc_id, CASE WHEN strlen(text) > 200 THEN left(text, list_max(list_filter(range(0, 201), lambda k: strlen(left(text, k)) <= 200))) || '... [truncated]' ELSE text END AS cut
-FROM documents WHERE text IS NOT NULL""")
+FROM documents""")
 def truncated(spark, sf_dir):
     """At most 200 bytes of every document, cut between characters."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", text.truncate_bytes(F.col("text"), 200).alias("cut"))
 
 

@@ -237,7 +237,6 @@ _filter("filter_regex", filters.FilterSpec(regex=r"^(error|signup) .*[13]"), _AN
 _filter("filter_exclude", filters.FilterSpec(exclude="click"), "NOT (" + _ANY("contains(lower({c}), 'click')") + ")")
 _filter("filter_component", filters.FilterSpec(components=frozenset({"view", "error"})), "component IN ('view', 'error')")
 _filter("filter_sources", filters.FilterSpec(sources=frozenset({"user_1.log", "user_3.log"})), "source_file IN ('user_1.log', 'user_3.log')")
-_filter("filter_hidden", filters.FilterSpec(hide_all_sources=True), "false")
 _filter("filter_combined", filters.FilterSpec(severities=frozenset({"Error", "Warning"}), start=_T0, text="1", exclude="3", sources=frozenset({"user_1.log", "user_2.log"})), "severity IN ('Error', 'Warning') AND timestamp >= TIMESTAMP '2024-01-05' AND source_file IN ('user_1.log', 'user_2.log') AND (" + _ANY("contains({c}, '1')") + ") AND NOT (" + _ANY("contains({c}, '3')") + ")")
 _TEXT = "(message || ' | ' || thread || ' | ' || component)"
 _filter("multi_any", filters.FilterSpec(search=search.MultiSearch.parse("signup, 11")), f"regexp_matches({_TEXT}, 'signup|11')")
@@ -247,6 +246,32 @@ _filter("multi_not", filters.FilterSpec(search=search.MultiSearch.parse("-view,
 _filter("multi_word", filters.FilterSpec(search=search.MultiSearch.parse("error, 12", whole_word=True)), f"regexp_matches({_TEXT}, '(?i)\\berror\\b|\\b12\\b')")
 
 
+@query("SELECT source_file, count(*) AS n, 0::BIGINT AS hidden, count_if(source_file IN ('user_1.log', 'user_3.log') AND severity = 'Error') AS shown FROM e GROUP BY 1")
+def filter_hidden(spark, sf_dir):
+    """Of each file's entries, what passes with all files hidden, and with two of them chosen."""
+    hidden = filters.FilterSpec(hide_all_sources=True).to_column()
+    shown = filters.FilterSpec(sources=frozenset({"user_1.log", "user_3.log"}), severities=frozenset({"Error"})).to_column()
+    return events_lens(spark, sf_dir).groupBy("source_file").agg(F.count("*").alias("n"), F.count_if(hidden).alias("hidden"), F.count_if(shown).alias("shown"))
+
+
+_MANY = ("error", "sign", "signup", "up", "view", "click", "1", "12", "3", "hase", "purchase", "0")
+_FOUND = " + ".join(f"contains(lower({_TEXT}), '{t}')::INT" for t in _MANY)
+
+
+@query(f"SELECT id, severity FROM e WHERE {_FOUND} >= 4")
+def multi_one_scan(spark, sf_dir):
+    """A number of many terms, some within others, found in one scan."""
+    spec = filters.FilterSpec(search=search.MultiSearch.parse(", ".join(_MANY), min_match=4))
+    return filters.apply_filters(events_lens(spark, sf_dir), spec).select("id", "severity")
+
+
+@query(f"SELECT id, ({_FOUND})::BIGINT AS terms FROM e")
+def multi_terms_found(spark, sf_dir):
+    """How many of the terms each entry has."""
+    terms = search.MultiSearch.parse(", ".join(_MANY))
+    return events_lens(spark, sf_dir).select("id", F.size(terms.terms_in(F.concat_ws(" | ", "message", "thread", "component"))).cast("long").alias("terms"))
+
+
 @query("SELECT id, severity FROM e WHERE id IN (SELECT id FROM e WHERE id % 97 = 0 AND severity = 'Error')")
 def bookmarks_semi(spark, sf_dir):
     lens = events_lens(spark, sf_dir)
@@ -291,10 +316,13 @@ SELECT key, count(*) AS n FROM (
     '(?i)\\b(?:[0-9a-f]{1,4}:){2,7}[0-9a-f]{1,4}\\b|\\b(?:[0-9a-f]{1,4}:){1,6}:[0-9a-f]{1,4}\\b|::1\\b', '<IP>', 'g'),
     '\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}(:\\d+)?\\b', '<IP>', 'g'),
     '(?i)\\b0x[0-9a-f]{8,}\\b', '<HEX>', 'g'), '\\b\\d+(\\.\\d+)?\\b', '<NUM>', 'g') AS key
-  FROM l WHERE regexp_matches(line, '^[\\x00-\\x7F]*$')) GROUP BY 1""")
+  FROM l WHERE regexp_matches(line, '^[\\x00-\\x7F]*$')) GROUP BY 1
+UNION ALL SELECT NULL, count(*) FROM l WHERE NOT regexp_matches(line, '^[\\x00-\\x7F]*$') HAVING count(*) > 0""")
 def normalize_lines(spark, sf_dir):
-    """Normalised lines of the documents, those in ASCII, as SQL's word boundaries are; all of them: :func:`normalize_all_lines`."""
-    return _normalized(documents_lens(spark, sf_dir).where(F.col("line").rlike(r"^[\x00-\x7F]*$")))
+    """Normalised lines of the documents.  SQL's word boundaries are those of ASCII, so lines with other characters are counted
+    together; by name: :func:`normalize_all_lines`."""
+    key = F.when(F.col("line").rlike(r"^[\x00-\x7F]*$"), normalize_message(F.col("line")))
+    return documents_lens(spark, sf_dir).where("line is not null").groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
 def _normalized(lines: DataFrame) -> DataFrame:

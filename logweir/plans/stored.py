@@ -5,6 +5,7 @@ What they read, they write first from the driver's tables, into a folder of shar
 
 from __future__ import annotations
 
+import os
 import shutil
 from dataclasses import replace
 from datetime import datetime, timezone
@@ -20,7 +21,7 @@ from ..functions.storage import materialize, new_dir, open_folder
 from ..operators import filters, pages, sinks
 from ..sources import files
 from ..sources.profiles import builtin_profiles
-from ..streaming import follow, live, tail
+from ..streaming import follow, live, mtimes, tail
 from .lenses import documents_lens, events_lens, rendered
 from .registry import _RENDER, AS_OF, _known_levels, profile, query
 
@@ -118,6 +119,14 @@ def read_lines(spark, sf_dir):
     return got.select(_folder().alias("file"), "line_number", "line", F.col("file_modified").isNotNull().alias("dated"))
 
 
+@query(f"SELECT {_FILE} AS file, count(*) AS n, max(length(regexp_replace(line, '\\r$', ''))) AS longest FROM l GROUP BY 1")
+def read_listed(spark, sf_dir):
+    """Files named one by one."""
+    paths = [r.path for r in files.list_files(spark, _document_files(spark, sf_dir)).select("path").collect()]
+    got = files.read_lines(spark, paths)
+    return got.groupBy(_folder().alias("file")).agg(F.count("*").alias("n"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
 @query(f"SELECT {_FILE} AS file, count(*) > 0 AS listed, false AS is_large FROM l GROUP BY 1")
 def list_files(spark, sf_dir):
     """The listing of a real folder."""
@@ -345,6 +354,54 @@ def stream_follow_restarted(spark, sf_dir):
     return spark.read.parquet(f"{out}/batch=*").select(_folder().alias("file"), "timestamp", "severity", "component", "message")
 
 
+def _replace_files(batches):
+    """Put a file's bytes in the place of another's, shorter, as a rotation does."""
+    for b in batches:
+        for source, target in zip(b.column("source").to_pylist(), b.column("target").to_pylist()):
+            with open(source, "rb") as f, open(target, "wb") as g:
+                shutil.copyfileobj(f, g)
+        yield pa.RecordBatch.from_arrays([b.column("target")], ["target"])
+
+
+@query(_ERRORS)
+def stream_follow_rotated(spark, sf_dir):
+    """Four fifths of each file are followed, then the file begins again with the rest."""
+    lens = events_lens(spark, sf_dir).withColumn("fifth", F.ntile(5).over(Window.partitionBy("source_file").orderBy("line_number")))
+    first, second = (_local_files(spark, _lens_files(spark, rendered(lens.where(test), _known_levels()))) for test in ("fifth < 5", "fifth = 5"))
+    out, positions, mark = (new_dir(spark, x) for x in ("followed", "positions", "mark"))
+    _followed(spark, list(first.values()), out, positions, mark)
+    pairs = spark.createDataFrame([(second[k], first[k]) for k in second if k in first], "source string, target string")
+    pairs.repartition(len(first)).mapInArrow(_replace_files, "target string").count()
+    _followed(spark, list(first.values()), out, positions, mark)
+    return spark.read.parquet(f"{out}/batch=*").select(_folder().alias("file"), "timestamp", "severity", "component", "message")
+
+
+@query("SELECT source_file AS file, TIMESTAMP '2024-03-01' AS modified FROM e WHERE source_file IN ('user_2.log', 'user_6.log', 'user_9.log') GROUP BY 1")
+def stream_mtimes(spark, sf_dir):
+    """Files whose modification time changed, four files a round, in two runs of one query with the change between them."""
+    by_folder = _local_files(spark, _lens_files(spark, rendered(events_lens(spark, sf_dir), _known_levels())))
+    paths = [by_folder[k] for k in sorted(by_folder)]
+    out, positions, mark = (new_dir(spark, x) for x in ("mtimes", "positions", "mark"))
+
+    def rounds(n: int) -> None:
+        for _ in range(n):
+            stream = mtimes.mtime_source(spark, paths, positions, files_per_round=4)
+            run = stream.writeStream.foreachBatch(_by_batch(out)).option("checkpointLocation", mark).trigger(processingTime="0 seconds").start()
+            try:
+                run.processAllAvailable()
+            finally:
+                run.stop()
+
+    _by_batch(out)(spark.createDataFrame([], "path string, modified timestamp"), "none")
+    rounds(3)
+    at = datetime(2024, 3, 1, tzinfo=timezone.utc).timestamp()
+    for k in ("user_2.log", "user_6.log", "user_9.log"):
+        if k in by_folder:
+            os.utime(by_folder[k], (at, at))
+    rounds(4)
+    return spark.read.schema("path string, modified timestamp").parquet(f"{out}/batch=*").select(_folder("path").alias("file"), "modified")
+
+
 # --------------------------------------------------------------------------- tables that grow
 def _in_batches(lens: DataFrame, n: int) -> list[DataFrame]:
     """The lens in ``n`` batches as they might come: by id, and every tenth row late by one batch."""

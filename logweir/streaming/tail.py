@@ -27,6 +27,7 @@ import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -108,11 +109,9 @@ class Positions:
     def __init__(self, folder: str) -> None:
         self.folder = folder
 
-    def _names(self) -> list[str]:
+    def names(self, prefix: str = "planned-") -> list[str]:
         fs, folder = open_folder(self.folder)
-        from pyarrow.fs import FileSelector
-
-        return sorted(f.base_name for f in fs.get_file_info(FileSelector(folder, allow_not_found=True)) if f.base_name.startswith("planned-"))
+        return sorted(f.base_name for f in fs.get_file_info(FileSelector(folder, allow_not_found=True)) if f.base_name.startswith(prefix))
 
     def read(self, name: str) -> dict | None:
         fs, folder = open_folder(self.folder)
@@ -129,16 +128,16 @@ class Positions:
             f.write(json.dumps(offset).encode())
 
     def last(self) -> tuple[int, dict | None]:
-        for name in reversed(self._names()):
+        for name in reversed(self.names()):
             offset = self.read(name)
             if offset is not None:
                 return int(name[8:-5]), offset
         return 0, None
 
-    def plan(self, number: int, offset: dict) -> None:
+    def plan(self, number: int, offset: dict, kept: int = KEPT) -> None:
         self.write(f"planned-{number:012d}.json", offset)
         fs, folder = open_folder(self.folder)
-        for name in self._names()[:-KEPT]:
+        for name in self.names()[:-kept]:
             fs.delete_file(f"{folder}/{name}")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweir.sources.profiles import builtin_profiles
-from logweir.streaming import follow, tail
+from logweir.streaming import follow, mtimes, tail
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
 LOG4J = next(p for p in builtin_profiles() if p.id == "log4j-default")
@@ -196,3 +196,49 @@ def test_new_files_by_time_and_pattern(spark, tmp_path):
     files = follow.watch_new_files(spark, str(root), include=["*.log"], exclude=["tmp*"], modified_since=datetime(2020, 1, 1, tzinfo=timezone.utc), most=1)
     files.writeStream.foreachBatch(lambda b, i: seen.extend(r.path.rsplit("/", 1)[1] for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert seen == ["b.log"]
+
+
+def test_mtimes_in_rounds(tmp_path):
+    """450 files, three rounds to see all; only changed ones come, each change once, also by a reader that takes over."""
+    paths = [tmp_path / f"{i:03}.log" for i in range(450)]
+    for p in paths:
+        p.write_text("x")
+        os.utime(p, (1_000_000_000, 1_000_000_000))
+    new = lambda: mtimes.MtimeReader({"paths": json.dumps([str(p) for p in paths]), "positions": str(tmp_path / "m")})
+    r, at = new(), {"round": 0}
+
+    def rounds(n):
+        nonlocal at
+        got = []
+        for _ in range(n):
+            b = r.latestOffset()
+            got += [(row[0][-7:-4], row[1].timestamp()) for part in r.partitions(at, b) for row in r.read(part)]
+            at = b
+        return got
+
+    assert rounds(3) == [] and r.cursor == 0
+    for i, t in ((5, 2_000_000_000.25), (210, 2_000_000_001), (449, 2_000_000_002)):
+        os.utime(paths[i], (t, t))
+    paths[6].unlink()
+    assert rounds(1) == [("005", 2_000_000_000.25)] and r.cursor == 200
+    planned = r.latestOffset()
+    r = new()  # stopped before the round ran
+    assert [row[0][-7:-4] for part in r.partitions(at, planned) for row in r.read(part)] == ["210"] and r.cursor == 400
+    at = planned
+    assert rounds(1) == [("449", 2_000_000_002)] and rounds(6) == []
+    os.utime(paths[5], (3_000_000_000, 3_000_000_000))
+    assert rounds(3) == [("005", 3_000_000_000)]
+
+
+def test_mtimes_as_a_stream(spark, tmp_path):
+    f = tmp_path / "a.log"
+    f.write_text("x")
+    got = []
+    q = mtimes.mtime_source(spark, [str(f)], str(tmp_path / "m")).writeStream.foreachBatch(lambda b, i: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
+    try:
+        q.processAllAvailable()
+        os.utime(f, (2_000_000_000, 2_000_000_000))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [(r.path, r.modified) for r in got] == [(str(f), datetime(2033, 5, 18, 3, 33, 20))]
