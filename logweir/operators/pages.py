@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 FILE_ROWS = 1_000_000
 
 
-def _order(newest_first: bool = False) -> list:
+def timeline_order(newest_first: bool = False) -> list:
     return [F.desc_nulls_first("timestamp"), F.desc("id")] if newest_first else [F.asc_nulls_last("timestamp"), F.asc("id")]
 
 
@@ -21,7 +21,7 @@ def store_timeline(entries: DataFrame, path: str, file_rows: int = FILE_ROWS) ->
     """
     spark = entries.sparkSession
     n = max(1, -(-entries.count() // file_rows))
-    entries.repartitionByRange(n, *_order()).sortWithinPartitions(*_order()).write.parquet(f"{path}/rows")
+    entries.repartitionByRange(n, *timeline_order()).sortWithinPartitions(*timeline_order()).write.parquet(f"{path}/rows")
     key = F.struct(F.col("timestamp").isNull().alias("untimed"), "timestamp", "id")
     stored = spark.read.schema(entries.schema).parquet(f"{path}/rows")
     files = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.min(key).alias("key"))
@@ -52,4 +52,4 @@ def page(spark: SparkSession, path: str, at: int, rows: int, newest_first: bool
     # The page's rows counted from the start of the first file, or newest first from the end of the last.
     least, most = min(r.before for r in index), max(r.before + r.rows for r in index)
     skip = most - last if newest_first else first - least
-    return within.orderBy(*_order(newest_first)).offset(max(0, skip)).limit(min(last, most) - first)
+    return within.orderBy(*timeline_order(newest_first)).offset(max(0, skip)).limit(min(last, most) - first)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.storage import materialize, new_dir, open_folder
-from ..operators import filters, pages, sinks
+from ..operators import filters, pages, sinks, textindex
 from ..sources import files
 from ..sources.profiles import builtin_profiles
 from ..streaming import follow, live, mtimes, tail
@@ -411,6 +411,16 @@ def _in_batches(lens: DataFrame, n: int) -> list[DataFrame]:
     return [stored.where(F.col("batch") == k).drop("batch") for k in range(n)]
 
 
+_CLOCKS = [datetime(2024, 1, d, h, tzinfo=timezone.utc) for d, h in ((2, 0), (9, 13), (15, 6), (20, 0), (29, 23))]
+
+
+@query(" UNION ALL ".join(f"SELECT TIMESTAMP '{c:%Y-%m-%d %H:%M:%S}' AS clock, severity, count(*) AS n FROM e WHERE timestamp BETWEEN TIMESTAMP '{c:%Y-%m-%d %H:%M:%S}' - INTERVAL 7200 SECOND AND TIMESTAMP '{c:%Y-%m-%d %H:%M:%S}' GROUP BY 2" for c in _CLOCKS))
+def stream_rolling(spark, sf_dir):
+    """The entries of the last two hours at some times, from a stream of changes."""
+    changes = _drained(follow.rolling_changes(_event_stream(spark, sf_dir), 7200), "complete")
+    return follow.rolling_counts(changes, _CLOCKS)
+
+
 @query("""SELECT source_file, line_number, 500000 + row_number() OVER (ORDER BY batch, source_file, line_number) - 1 AS id FROM (
   SELECT *, CASE WHEN id % 10 = 0 THEN least(b + 1, 4) ELSE b END AS batch FROM (SELECT *, (id * 5 // (1 + (SELECT max(id) FROM e)))::INT AS b FROM e)) ORDER BY id DESC LIMIT 700""")
 def stream_ring(spark, sf_dir):
@@ -464,3 +474,11 @@ def timeline_pages(spark, sf_dir):
     pages.store_timeline(events_lens(spark, sf_dir, untimed=True), path, file_rows=200)
     out = [pages.page(spark, path, at, n, newest).select(F.lit(at).alias("page"), F.lit(newest).alias("newest"), "id", "timestamp") for at, n in _PAGES for newest in (False, True)]
     return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT id, severity FROM u WHERE contains(lower(message), 'e {\"k\": 7') OR contains(lower(thread), 'e {\"k\": 7') OR contains(lower(component), 'e {\"k\": 7')")
+def search_indexed(spark, sf_dir):
+    """A text looked for in a stored table; files without its letter triples aren't opened."""
+    path = new_dir(spark, "searchable")
+    textindex.store_searchable(events_lens(spark, sf_dir, untimed=True), path, file_rows=300)
+    return textindex.search_stored(spark, path, filters.FilterSpec(text='E {"K": 7')).select("id", "severity")

@@ -107,3 +107,28 @@ def severity_per_minute(entries: DataFrame, watermark: str = "10 minutes") -> Da
     """An extension: tumbling counts of severities."""
     w = F.window("timestamp", "1 minute")
     return entries.withWatermark("timestamp", watermark).groupBy(w, "severity").count().select(F.col("window.start").alias("minute"), "severity", F.col("count").alias("n"))
+
+
+def rolling_changes(entries: DataFrame, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """``at, severity, change``: by how much the number of entries of the last ``seconds`` changes at each full second, as a stream.
+
+    An entry enters at the first full second that isn't before it and leaves ``seconds`` after the one that isn't behind it, plus one.  The state is a sum a
+    second and severity, whatever the number of entries; seconds that no late entry can reach any more leave it.
+    Write it in update mode (the newest row of a second counts) or in append mode (a second once it is final).
+    """
+    timed = entries.where("timestamp is not null").withColumns({"floor": F.date_trunc("second", "timestamp")})
+    second = F.make_dt_interval(secs=F.lit(1))
+    enters = F.when(F.col("floor") == F.col("timestamp"), F.col("floor")).otherwise(F.col("floor") + second)
+    leaves = F.col("floor") + F.make_dt_interval(secs=F.lit(seconds + 1))
+    both = timed.select("severity", F.explode(F.array(F.struct(enters.alias("at"), F.lit(1).alias("step")), F.struct(leaves.alias("at"), F.lit(-1).alias("step")))).alias("c"))
+    # Leaving times run ahead of the entries by the length of the window.
+    marked = both.select("severity", F.col("c.at").alias("at"), F.col("c.step").alias("step")).withWatermark("at", f"{seconds + 1} seconds {late}")
+    return marked.groupBy("at", "severity").agg(F.sum("step").alias("change"))
+
+
+def rolling_counts(changes: DataFrame, clocks: list[datetime]) -> DataFrame:
+    """``clock, severity, n``: the entries of the window at each of ``clocks`` (full seconds), from the stored rows of :func:`rolling_changes`."""
+    sums = [F.sum(F.when(F.col("at") <= F.lit(c), F.col("change"))).alias(f"c{i}") for i, c in enumerate(clocks)]
+    wide = changes.groupBy("severity").agg(*sums)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("clock"), F.col(f"c{i}").alias("n")) for i, c in enumerate(clocks)])).alias("x")
+    return wide.select("severity", each).select("x.clock", "severity", "x.n").where(F.col("n") > 0)

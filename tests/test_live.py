@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from logweir.operators import analyse, pages
+from logweir.operators import analyse, pages, textindex
 from logweir.operators.filters import FilterSpec, apply_filters
 from logweir.streaming import live
 
@@ -93,3 +93,21 @@ def test_pages(spark, tmp_path):
     assert len(pages.page(spark, path, 500, 20).inputFiles()) <= 2
     pages.store_timeline(entries.limit(0), str(tmp_path / "e"))
     assert pages.timeline_rows(spark, str(tmp_path / "e")) == 0 and pages.page(spark, str(tmp_path / "e"), 0, 5).count() == 0
+
+
+def test_search_of_a_stored_table(spark, tmp_path):
+    """Equal to the filter over all rows; a rare text opens few files; short and absent texts, nulls, other letters."""
+    rng = random.Random(5)
+    words = ["Alpha", "beta", "ÄRGER", "日本語", "x", "né", None]
+    rows = [(T0 + timedelta(seconds=i), i, "Error", " ".join(w for w in rng.choices(words, k=4) if w) + (" needle %d" % i if i == 777 else ""), rng.choice(words), rng.choice(words), None) for i in range(1000)]
+    entries = spark.createDataFrame(rows, "timestamp timestamp, id long, severity string, message string, thread string, component string, file_modified timestamp")
+    path = str(tmp_path / "s")
+    textindex.store_searchable(entries, path, file_rows=100)
+    for text in ("NEEDLE 777", "alpha beta", "ärger", "日本語", "本", "x", "nothing of it", "né né"):
+        spec = FilterSpec(text=text, severities=frozenset({"Error"}))
+        got, want = textindex.search_stored(spark, path, spec), apply_filters(entries, spec)
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect()), text
+    assert len(textindex.files_with(spark, path, "needle")) == 1 and textindex.files_with(spark, path, "nothing of it") == [] and textindex.files_with(spark, path, "né") is None
+    assert len(textindex.search_stored(spark, path, FilterSpec(text="needle")).inputFiles()) == 1
+    fuzzy = FilterSpec(text="alpet", fuzzy=True)
+    assert textindex.search_stored(spark, path, fuzzy).count() == apply_filters(entries, fuzzy).count()

@@ -242,3 +242,25 @@ def test_mtimes_as_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert [(r.path, r.modified) for r in got] == [(str(f), datetime(2033, 5, 18, 3, 33, 20))]
+
+
+def test_rolling_window(spark, tmp_path):
+    """Batch by batch, in append mode: what is final is exact at every second, and expired seconds leave the state."""
+    from datetime import timedelta
+
+    t0, got = datetime(2024, 1, 1, tzinfo=timezone.utc), []
+    folder = tmp_path / "in"
+    schema = "timestamp timestamp, severity string"
+    times = [0, 0.4, 1, 1.5, 7, 7.999, 30, 31.25, 200, 201]
+    for k, part in enumerate((times[:5], times[5:8], times[8:])):
+        spark.createDataFrame([(t0 + timedelta(seconds=t), "Error" if i % 2 else "Info") for i, t in enumerate(part)], schema).coalesce(1).write.parquet(str(folder / str(k)))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    q = follow.rolling_changes(stream, 5, "2 seconds").writeStream.outputMode("append").foreachBatch(lambda b, i: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    for c in range(0, 60):
+        now = t0.replace(tzinfo=None) + timedelta(seconds=c)
+        assert sum(r.change for r in got if r.at <= now) == sum(c - 5 <= t <= c for t in times)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    changes = spark.createDataFrame(got, "at timestamp, severity string, change long")
+    counted = follow.rolling_counts(changes, [t0 + timedelta(seconds=s) for s in (1, 5, 10)])
+    assert sorted(((r.clock.second, r.n) for r in counted.groupBy("clock").agg(F.sum("n").alias("n")).collect())) == [(1, 3), (5, 4), (10, 2)]
