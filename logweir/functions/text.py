@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ NORMALISED = (
     (r"(?iU)\b0x[0-9a-f]{8,}\b", "<HEX>"),
     (r"(?U)\b\d+(\.\d+)?\b", "<NUM>"),
 )
+#: What a text must have one of, for each of these.
+_NEEDS = (("-",), (":",), (".",), ("0x", "0X"), ())
 
 
 def severity_rank(severity: Column) -> Column:
@@ -44,10 +47,22 @@ def prefix_sums(sizes: Column, block: int = 128) -> Column:
     return F.flatten(F.zip_with(parts, folded(sums, F.lit(0)), folded))
 
 
+def _one_argument(step):
+    return lambda text: step(text)
+
+
 def normalize_message(message: Column) -> Column:
-    """Variable parts replaced by marks, so that messages that differ only in those are equal."""
-    for pattern, mark in NORMALISED:
-        message = F.regexp_replace(message, pattern, mark)
+    """Variable parts replaced by marks, so that messages that differ only in those are equal.
+
+    A replacement runs only where the text has what its pattern can't do without.  Each step is a lambda's body, so that its text is worked out once.
+    """
+    for (pattern, mark), need in zip(NORMALISED, _NEEDS, strict=True):
+
+        def step(text: Column, pattern=pattern, mark=mark, need=need) -> Column:
+            replaced = F.regexp_replace(text, pattern, mark)
+            return F.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in need)), replaced).otherwise(text) if need else replaced
+
+        message = F.get(F.transform(F.array(message), _one_argument(step)), F.lit(0)) if need else step(message)
     return message
 
 

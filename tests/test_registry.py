@@ -1,4 +1,7 @@
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -19,6 +22,12 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_registers_without_a_session():
+    """Queries and SQL are there before any session is; what needs one is built when a query runs."""
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); from pyspark import SparkContext; assert SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
