@@ -4,12 +4,12 @@ Top-order marginalisation.  Every word opens one window of the longest phrase, a
 padded at the end of its piece; only those windows are counted.  A ROLLUP over the columns sums them into the counts of ever shorter
 prefixes, which are the counts of all phrases, as every occurrence of a phrase is the beginning of one window.  Nothing is exploded per length.
 
-A phrase occurs ``least`` times only if each pair of its neighbours does.  So a first pass counts hashes of words and pairs in a fixed number
-of buckets, and a window ends before the first pair whose bucket stays below ``least``: whatever stands behind belongs to no phrase in question.
-Buckets that several pairs share only admit more, so counts stay exact whatever the size of the input; the buckets are
-one bit each in the end, ``2 ** BITS`` of them.
+A phrase occurs ``least`` times only if each shorter phrase in it does.  So two passes before find hashes of frequent phrases, the first of pairs,
+the second of longer ones made of such, and a window ends where the phrase it would be isn't among them: what stands behind
+belongs to no phrase in question.  Single words are counted all.  What the tasks keep of the frequent hashes is one bit each in a field of ``2 ** BITS``; phrases that share a bit only
+admit more, so counts stay exact whatever the size of the input.
 
-Tasks count the windows of a slice of texts before Spark sees them, so a very frequent phrase is one row a slice.
+Tasks count the windows of their texts before Spark sees them, so a very frequent phrase is one row a task.
 
 Defined cases: null and empty texts have no words; null languages are ``und``, together with those named so.  Repeated rows
 count each.  Ties of a phrase's cuts go to the shortest first part, ties of phrases to the more frequent one and then to byte order.  Scores are
@@ -20,6 +20,7 @@ An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,12 @@ from .common import bounded_rows, materialize, mix64
 from .tokens import slices
 
 LONGEST, LEAST, MOST, SCALE = 4, 30, 2000, 2_000_000
-BITS, LOW_BITS = 27, 16
-#: Texts of a slice, in bytes; hashes that a task holds before it hands them on.
-SLICE, HELD = 8 << 20, 8 << 20
+#: Bits of the field of frequent hashes, and those by which hashes are dealt into parts (more with more partitions).
+BITS, PART_BITS = 27, 11
+#: Texts of a slice, in bytes; hashes that a task holds before it hands them on, and words and windows.
+SLICE, HELD, KEPT = 2 << 20, 1 << 20, 300_000
+#: Rows of a batch that goes back to Spark.
+OUT_ROWS = 16_384
 UNKNOWN = "und"
 #: Parts in which a language's best phrases are found before they meet.
 SALT = 64
@@ -60,22 +64,51 @@ class _Numbers(dict):
         return n
 
 
-def numbered(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
-    """Numbers of the words and ends of a slice, an end last, and the words of the numbers."""
-    number = _Numbers({_END: 0})
-    words = words_and_ends(texts)
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    return np.r_[ids, 0], list(number)
+class Language:
+    """Numbers and hashes of the words of one language that a task has met."""
 
+    def __init__(self, name: str) -> None:
+        self.seed = xxhash.xxh3_64_intdigest(name.encode())
+        self.number = _Numbers({_END: 0})
+        self.hashes = np.zeros(1, np.uint64)
+        #: Windows so far: numbers of their words, and counts.
+        self.windows: list[tuple[np.ndarray, np.ndarray]] = []
 
-def buckets(lang: str, words: list[bytes], ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each word, and of each pair that begins at a word."""
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)[ids]
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words and ends of some texts, an end last, and the words' hashes."""
+        words = words_and_ends(texts)
+        ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = islice(self.number, len(self.hashes), None)
+        self.hashes = np.r_[self.hashes, np.array([xxhash.xxh3_64_intdigest(w, self.seed) for w in new], np.uint64)]
+        ids = np.r_[ids, 0]
+        return ids, self.hashes[ids]
+
+    def held(self) -> int:
+        """What is kept, in words and rows."""
+        return len(self.number) + sum(len(n) for _, n in self.windows)
+
+
+def phrase_keys(own: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Hashes of the phrases of one, two, ... words that begin at each place, as far as they end within the words."""
+    keys = [mix64(own)]
     with np.errstate(over="ignore"):
-        pairs = mix64(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
-    down = np.uint64(64 - bits)
-    return (mix64(hashes) >> down).astype(np.uint32), (pairs >> down).astype(np.uint32)
+        for m in range(1, longest):
+            keys.append(mix64(keys[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + own[m:]))
+    return keys
+
+
+def _within(field: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    at = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    return (field[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def possible(ids: np.ndarray, keys: list[np.ndarray], fields: list[np.ndarray | None], bits: int) -> list[np.ndarray]:
+    """Of each length, the places where a phrase begins that lies in one piece, whose parts are possible, and whose hash is in its length's field."""
+    out: list[np.ndarray] = []
+    for key, field in zip(keys, fields):
+        on = out[-1][:-1] & out[-1][1:] if out else ids > 0
+        out.append(on & _within(field, key, bits) if field is not None else on)
+    return out
 
 
 def _languages(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
@@ -87,23 +120,30 @@ def _languages(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
             yield lang, own.slice(lo, hi - lo).to_pylist()
 
 
-def _bucket_counts(least: int, bits: int, held_most: int):
+def _hash_counts(lengths: range, shared, least: int, bits: int, part_bits: int, most: int):
+    """Hashes of the possible phrases of some lengths, with counts up to ``least``: by part, 32 bits each in order."""
+
     def rows(held: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
+        found, n = np.unique(np.concatenate(held) >> np.uint64(32 - part_bits), return_counts=True)
         n = np.minimum(n, least).astype("u1")
-        high, first = np.unique(found >> LOW_BITS, return_index=True)
-        low, ends = (found & (1 << LOW_BITS) - 1).astype("<u2"), np.r_[first[1:], len(found)]
+        part, first = np.unique((found >> np.uint64(32)).astype("i4"), return_index=True)
+        low, ends = (found & np.uint64(0xFFFFFFFF)).astype("<u4"), np.r_[first[1:], len(found)]
         spans = list(zip(first.tolist(), ends.tolist()))
-        return pa.RecordBatch.from_arrays([pa.array(high.astype("i4")), pa.array([low[a:b].tobytes() for a, b in spans]), pa.array([n[a:b].tobytes() for a, b in spans])], ["part", "low", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array([low[a:b].tobytes() for a, b in spans]), pa.array([n[a:b].tobytes() for a, b in spans])], ["part", "low", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        fields = [f.value if f is not None else None for f in shared]
+        known: dict[str, Language] = {}
         for b in batches:
             for lang, texts in _languages(b):
-                ids, words = numbered(texts)
-                single, pair = buckets(lang, words, ids, bits)
-                held += [single[ids > 0], pair[(ids[:-1] > 0) & (ids[1:] > 0)]]
-                if sum(map(len, held)) > held_most:
+                if sum(x.held() for x in known.values()) > KEPT:
+                    known = {}
+                ids, own = known.setdefault(lang, Language(lang)).numbered(texts)
+                keys = phrase_keys(own, lengths[-1])
+                on = possible(ids, keys, fields, bits)
+                held += [keys[m - 1][on[m - 1]] for m in lengths]
+                if sum(map(len, held)) > most:
                     yield rows(held)
                     held = []
         if any(map(len, held)):
@@ -112,63 +152,91 @@ def _bucket_counts(least: int, bits: int, held_most: int):
     return run
 
 
-def _frequent(least: int):
+def _frequent(least: int, bits: int, part_bits: int):
+    """One part after the other, whose rows stand together: the field's bits of the hashes that are frequent in all."""
+
+    def done(part: int, low: list[bytes], n: list[bytes]) -> pa.RecordBatch:
+        found, inverse = np.unique(np.frombuffer(b"".join(low), "<u4"), return_inverse=True)
+        often = found[np.bincount(inverse, np.frombuffer(b"".join(n), "u1")) >= least]
+        own = np.zeros(1 << bits - part_bits, np.uint8)
+        own[often >> np.uint32(32 - bits + part_bits)] = 1
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()])], ["part", "bits"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of a part stand together; counts are capped where it makes no difference.
-        part, count = None, np.zeros(0, np.int64)
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(count >= least, bitorder="little").tobytes()])], ["part", "bits"])
+        part, low, n = None, [], []
         for b in batches:
-            for p, low, n in zip(b.column("part").to_pylist(), b.column("low").to_pylist(), b.column("n").to_pylist()):
+            for p, x, y in zip(b.column("part").to_pylist(), b.column("low").to_pylist(), b.column("n").to_pylist()):
                 if p != part:
                     if part is not None:
-                        yield done()
-                    part, count = p, np.zeros(1 << LOW_BITS, np.int64)
-                count[np.frombuffer(low, "<u2")] += np.frombuffer(n, "u1")
+                        yield done(part, low, n)
+                    part, low, n = p, [], []
+                low.append(x), n.append(y)
         if part is not None:
-            yield done()
+            yield done(part, low, n)
 
     return run
 
 
-def frequent_buckets(texts: DataFrame, least: int, bits: int = BITS) -> DataFrame:
-    """``part, bits``: which buckets of words and pairs of ``texts(lang, text)`` hold ``least``; ``2 ** (bits - LOW_BITS)`` rows at most."""
-    counted = texts.mapInArrow(_bucket_counts(min(least, 255), bits, HELD), "part int, low binary, n binary")
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def frequent_field(texts: DataFrame, lengths: range, shared: list, least: int, bits: int = BITS):
+    """A broadcast field of the hashes of phrases of ``lengths`` that occur ``least`` times in ``texts(lang, text)``.
+
+    It has ``2 ** bits`` bits whatever the input; a part's counts are merged in one task, and parts grow in number with the partitions.
+    """
+    spark = texts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part_bits = min(max(PART_BITS, (8 * n - 1).bit_length()), bits - 3)
+    capped = min(least, 255)
+    counted = texts.mapInArrow(_hash_counts(lengths, shared, capped, bits, part_bits, HELD), "part int, low binary, n binary")
     placed = counted.repartition(n, "part").sortWithinPartitions("part")
-    return placed.mapInArrow(_frequent(min(least, 255)), "part int, bits binary")
+    field, each = np.zeros(1 << bits - 3, np.uint8), 1 << bits - part_bits - 3
+    for r in bounded_rows(placed.mapInArrow(_frequent(capped, bits, part_bits), "part int, bits binary"), 1 << part_bits, "the field of frequent phrases"):
+        field[r.part * each : (r.part + 1) * each] = np.frombuffer(r.bits, np.uint8)
+    return spark.sparkContext.broadcast(field)
 
 
-def _windows(frequent, longest: int, bits: int):
-    """Distinct windows of a slice with their counts, as columns ``w1``, ``w2``, ..., padded with empty words."""
+def _windows(shared: list, longest: int, bits: int, most: int):
+    """Distinct windows of a task's texts with their counts, as columns ``w1``, ``w2``, ..., padded with empty words."""
     columns = [f"w{i + 1}" for i in range(longest)]
 
+    def rows(known: dict[str, Language]) -> Iterator[pa.RecordBatch]:
+        for name, own in known.items():
+            lead, n = merged(own.windows)
+            words = pa.array([b"", *islice(own.number, 1, None)], pa.binary()).cast(pa.string(), safe=False)
+            for at in range(0, len(n), OUT_ROWS):  # batches of a size that suits the reader
+                some = lead[at : at + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), *(words.take(pa.array(c)) for c in some.T), pa.array(n[at : at + OUT_ROWS])], ["lang", *columns, "n"])
+        known.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = frequent.value
+        fields = [f.value if f is not None else None for f in shared]
+        known: dict[str, Language] = {}
         for b in batches:
             for lang, texts in _languages(b):
-                ids, words = numbered(texts)
-                single, pair = buckets(lang, words, ids, bits)
-                known = np.bitwise_and(on[single >> 3] >> (single & 7).astype("u1"), 1).astype(bool)
-                joined = np.bitwise_and(on[pair >> 3] >> (pair & 7).astype("u1"), 1).astype(bool) & known[:-1] & known[1:] & (ids[:-1] > 0) & (ids[1:] > 0)
+                if sum(x.held() for x in known.values()) > most:
+                    yield from rows(known)
+                language = known.setdefault(lang, Language(lang))
+                ids, own = language.numbered(texts)
                 at = np.flatnonzero(ids)
-                # The lead columns: a window goes on while its next pair is frequent; rare words are counted without being named.
-                lead = [np.where(known[at], ids[at], 0)]
-                goes = known[at]
-                for i in range(1, longest):
-                    end = at + i >= len(ids)
-                    place = np.where(end, 0, at + i)
-                    goes = goes & ~end & joined[np.where(end, 0, place - 1)]
-                    lead.append(np.where(goes, ids[place], 0))
-                key, _ = _numbered_rows(lead)
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                names = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string(), safe=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(first), pa.string()), *(names.take(pa.array(c[first])) for c in lead), pa.array(n.astype(np.int64))], ["lang", *columns, "n"]
-                )
+                # The lead columns: the i-th word is named where the phrase up to it is possible.
+                lead = []
+                for i, on in enumerate(possible(ids, phrase_keys(own, longest), fields, bits)):
+                    goes = np.zeros(len(ids), bool)
+                    goes[: len(on)] = on
+                    lead.append(np.where(goes[at], ids[np.minimum(at + i, len(ids) - 1)], 0))
+                language.windows.append(merged([(np.stack(lead, 1), np.ones(len(at), np.int64))]))
+        yield from rows(known)
 
     return run
 
 
+def merged(windows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal windows once, with the sums of their counts."""
+    lead, n = np.concatenate([w for w, _ in windows]), np.concatenate([k for _, k in windows])
+    key, _ = _numbered_rows(list(lead.T))
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return lead[first], np.bincount(inverse, n, len(first)).astype(np.int64)
+
+
 def _numbered_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, int]:
     """A number for each row, the same for equal rows."""
     if len(columns) == 1:
@@ -185,13 +253,13 @@ def _numbered_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, int]:
 
 def window_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """``lang, w1, ..., n``: the padded longest windows of ``docs(lang, text)`` and how often they occur, in part sums."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    on = np.zeros(1 << bits - 3, np.uint8)
-    for r in bounded_rows(frequent_buckets(texts, least, bits), 1 << bits - LOW_BITS, "the table of frequent buckets"):
-        on[r.part << LOW_BITS - 3 : r.part + 1 << LOW_BITS - 3] = np.frombuffer(r.bits, np.uint8)
+    shared: list = [None]
+    for lengths in (range(2, min(3, longest + 1)), range(3, longest + 1)):
+        if lengths:
+            shared += [frequent_field(texts, lengths, [*shared, *[None] * len(lengths)], least, bits)] * len(lengths)
     words = ", ".join(f"w{i + 1} string" for i in range(longest))
-    return texts.mapInArrow(_windows(spark.sparkContext.broadcast(on), longest, bits), f"lang string, {words}, n long")
+    return texts.mapInArrow(_windows(shared, longest, bits, KEPT), f"lang string, {words}, n long")
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = BITS) -> DataFrame:
