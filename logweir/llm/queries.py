@@ -78,6 +78,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op9_quality`` that SQL can express: the counts and the rules on them."""
+    return op9_quality(spark, sf_dir).drop("kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", "ranks")
 
@@ -100,7 +105,7 @@ def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pii_base": pii_base}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pii_base": pii_base, "quality_base": quality_base}
 
 
 def oracle_sql() -> dict[str, str]:

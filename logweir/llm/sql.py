@@ -102,6 +102,21 @@ e AS (SELECT word, arg_max(root, n) AS root FROM (SELECT o.word, o.root, f.n FRO
 SELECT f.word, f.n, f.n_near, f.form, f.form_n, coalesce(e.root, f.word) AS root FROM f LEFT JOIN e ON e.word = f.word
 """
 
+QUALITY = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+w AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 3)) AS p, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS win FROM d WHERE len(ws) >= 5),
+r AS (SELECT doc_id, p FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, win) >= 2),
+c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM r) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(ws) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(ws) AS base_failed
+FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
 OP10 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest,
@@ -227,4 +242,4 @@ SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_email, coalesce(n1, 0)::BIGINT AS n_
 FROM documents LEFT JOIN a USING (doc_id)
 """
 
-SQL = {"pii_base": PII, "op1_url_filter": OP1, "op2_minhash": OP2, "op3_licenses": OP3, "op4_warc": OP4, "op8_decontaminate": OP8, "op10_mixing": OP10, "op12_phrases": OP12, "op13_variants": OP13}
+SQL = {"pii_base": PII, "quality_base": QUALITY, "op1_url_filter": OP1, "op2_minhash": OP2, "op3_licenses": OP3, "op4_warc": OP4, "op8_decontaminate": OP8, "op10_mixing": OP10, "op12_phrases": OP12, "op13_variants": OP13}
