@@ -44,26 +44,32 @@ class Rule:
     site: bool
 
 
+def quoted(text: str) -> str:
+    """``text`` as an expression for itself."""
+    return rf"\Q{text.replace(r'\E', r'\E\\E\Q')}\E"
+
+
 def site_rule(name: str, verdict: str) -> Rule:
     """``example.com/en/7``: host up to the first ``/``, in any case, path from it; a host alone fits all its paths."""
     host, slash, rest = name.partition("/")
     host, path = host.translate(str.maketrans(_UPPER, _LOWER)), slash + rest
     # The path is a prefix: its last token may go on in the url unless something else follows it.
     tokens = re.findall(r"[0-9a-z]+", host) + re.findall(r"[0-9a-z]+(?=[^0-9a-z])", path.lower())
-    end = rf"\Q{path}\E" if path else r"(?:/|\z)"
-    return Rule(name, verdict, rf"^(?:[^/?#]*\.)?\Q{host}\E{end}", tuple(tokens), True)
+    end = quoted(path) if path else r"(?:/|\z)"
+    return Rule(name, verdict, rf"^(?:[^/?#]*\.)?{quoted(host)}{end}", tuple(tokens), True)
 
 
 def glob_rule(glob: str, verdict: str = BLOCK) -> Rule:
     """``*/ads/*.gif`` over host and path, lower case; ``*`` is any run of characters."""
     parts = glob.lower().split("*")
     tokens = re.findall(r"(?<![0-9a-z*])[0-9a-z]+(?![0-9a-z*])", glob.lower())  # one that touches a star may go on in the url
-    return Rule(glob, verdict, "(?i)^" + ".*".join(rf"\Q{p}\E" if p else "" for p in parts) + r"\z", tuple(dict.fromkeys(tokens)), False)
+    return Rule(glob, verdict, "(?i)^" + ".*".join(quoted(p) if p else "" for p in parts) + r"\z", tuple(dict.fromkeys(tokens)), False)
 
 
 def word_rule(word: str, verdict: str = BLOCK) -> Rule:
-    """A word of the host, as a token."""
-    return Rule(word, verdict, rf"^(?:[^/]*[^0-9a-z/])?{word}(?:[^0-9a-z]|$)", (word,), False)
+    """A word of the host, in any case, with no letter or digit beside it; it is found by the tokens that it has."""
+    low = word.translate(str.maketrans(_UPPER, _LOWER))
+    return Rule(word, verdict, rf"^(?:[^/]*[^0-9a-z/])?{quoted(low)}(?:[^0-9a-z]|$)", tuple(dict.fromkeys(re.findall(r"[0-9a-z]+", low))), False)
 
 
 #: The site rules of the contract, and words of hosts that crawls leave out.
@@ -93,25 +99,30 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules from text files: a line is ``block`` or ``allow``, a space, and ``host/path``, a glob with ``*``, or ``=word`` of a host;
-    empty lines and those from ``#`` on are comments.  The table can have any size; :func:`site_rule` and the others say what a rule means."""
-    line = F.trim(F.col("value"))
-    raw = spark.read.text(path).where(line.rlike(r"^(?i:block|allow)\s+\S+$"))
-    raw = raw.select(F.lower(F.regexp_extract(line, r"^(\S+)", 1)).alias("says"), F.regexp_extract(line, r"(\S+)$", 1).alias("name")).distinct()
+    """Rules from text files: a line is ``block`` or ``allow``, a space, and ``host/path``, a glob with ``*``, or ``=word`` of a host.
+
+    From ``#`` on a line is a comment; empty lines mean nothing; any other line is an error that names it.  The table can have any size;
+    :func:`site_rule` and the others say what a rule means.
+    """
+    line = F.trim(F.regexp_replace(F.regexp_replace("value", r"#.*", ""), r"\s+", " "))
+    right = line.rlike(r"^(?i:block|allow) =?[^ ]*[^ =][^ ]*$")
+    says = F.when(right, F.lower(F.regexp_extract(line, r"^(\S+)", 1))).otherwise(F.raise_error(F.concat(F.lit("no rule: "), "value")).cast("string"))
+    raw = spark.read.text(path).where(line != "").select(says.alias("says"), F.regexp_extract(line, r"(\S+)$", 1).alias("name")).distinct()
     lowered = F.translate("name", _UPPER, _LOWER)
     word, glob = F.startswith("name", F.lit("=")), F.contains("name", F.lit("*"))
     host, tail = F.translate(F.regexp_extract("name", "^([^/]*)", 1), _UPPER, _LOWER), F.regexp_extract("name", "^[^/]*(.*)$", 1)
-    quoted = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
-    any_ = F.regexp_replace(lowered, r"\*+", "\\\\E.*\\\\Q")
-    token = F.substring("name", 2, 1 << 20)
+    safe = lambda c: F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    quote = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
+    any_ = F.regexp_replace(safe(lowered), r"\*+", "\\\\E.*\\\\Q")
+    token = F.substring(lowered, 2, 1 << 20)
     regex = (
-        F.when(word, F.concat(F.lit("^(?:[^/]*[^0-9a-z/])?"), F.lower(token), F.lit("(?:[^0-9a-z]|$)")))
-        .when(glob, F.concat(F.lit("(?i)^"), quoted(any_), F.lit(r"\z")))
-        .otherwise(F.concat(F.lit(r"^(?:[^/?#]*\.)?"), quoted(host), F.when(tail != "", quoted(tail)).otherwise(F.lit(r"(?:/|\z)"))))
+        F.when(word, F.concat(F.lit("^(?:[^/]*[^0-9a-z/])?"), quote(safe(token)), F.lit("(?:[^0-9a-z]|$)")))
+        .when(glob, F.concat(F.lit("(?i)^"), quote(any_), F.lit(r"\z")))
+        .otherwise(F.concat(F.lit(r"^(?:[^/?#]*\.)?"), quote(safe(host)), F.when(tail != "", quote(safe(tail))).otherwise(F.lit(r"(?:/|\z)"))))
     )
     found = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
     tokens = (
-        F.when(word, F.array(F.lower(token)))
+        F.when(word, F.array_distinct(found(token, "[0-9a-z]+")))
         .when(glob, found(lowered, r"(?<![0-9a-z*])[0-9a-z]+(?![0-9a-z*])"))
         .otherwise(F.concat(found(host, "[0-9a-z]+"), found(F.lower(tail), "[0-9a-z]+(?=[^0-9a-z])")))
     )

@@ -103,15 +103,16 @@ def test_url_rules(spark):
 
 def test_url_rules_from_a_file(spark, tmp_path):
     """Sites in any case, hosts alone, globs and words; the table of rules means what the rules mean, broadcast or not."""
-    (tmp_path / "rules.txt").write_text("# comment\nblock Example.com/en/\nallow example.com/en/ok\nblock com\nBLOCK */Ads/*.gif\nblock =casino\nallow com.test/x\nbad line here\n\nblock *track*\n")
+    (tmp_path / "rules.txt").write_text("# comment\nblock Example.com/en/\nallow example.com/en/ok\nblock com\nBLOCK */Ads/*.gif\nblock =casino # a word\nallow\tcom.test/x\n\nblock *track*# all of them\nblock =Pay-Day\nblock odd.org/a\\Eb\nallow odd.org/a\\Eb/c\n")
     urls = [
         ("http://EXAMPLE.com/en/1", "block", "Example.com/en/"), ("http://a.example.com/en/ok", "allow", "example.com/en/ok"), ("http://x.com/", "block", "com"), ("http://computer.org/", "allow", None), ("http://com", "block", "com"),
         ("http://a.org/ADS/1/b.gif", "block", None), ("http://a.org/ads/b.gifx", "allow", None), ("http://my-casino.org", "block", None), ("http://com.test/xy", "allow", "com.test/x"), ("http://a.org/betracked", "block", None),
+        ("http://my.pay-day.net/", "block", None), ("http://pay-days.net/", "allow", None), ("http://payday.net/", "allow", None), ("http://odd.org/a\\Eb", "block", "odd.org/a\\Eb"), ("http://odd.org/a\\Eb/c", "allow", "odd.org/a\\Eb/c"), ("http://odd.org/ab", "allow", None),
         ("http://a.org/" + "y" * 100_000 + "/ads/" + "z" * 100_000 + ".gif", "block", None),
     ]
     df = spark.createDataFrame([(i, u[0]) for i, u in enumerate(urls)] * 2 + [(99, None)], "page_id long, url string").withColumns({"rule": F.lit("clash"), "verdict": F.lit(0)})
-    own = tuple(urlfilter.site_rule(n, v) for n, v in (("Example.com/en/", "block"), ("example.com/en/ok", "allow"), ("com", "block"), ("com.test/x", "allow")))
-    own += (urlfilter.glob_rule("*/Ads/*.gif"), urlfilter.word_rule("casino"), urlfilter.glob_rule("*track*"))
+    own = tuple(urlfilter.site_rule(n, v) for n, v in (("Example.com/en/", "block"), ("example.com/en/ok", "allow"), ("com", "block"), ("com.test/x", "allow"), ("odd.org/a\\Eb", "block"), ("odd.org/a\\Eb/c", "allow")))
+    own += (urlfilter.glob_rule("*/Ads/*.gif"), urlfilter.word_rule("casino"), urlfilter.glob_rule("*track*"), urlfilter.word_rule("Pay-Day"))
     for rules in (urlfilter.read_rules(spark, str(tmp_path / "rules.txt")), own):
         for most in (50_000, 0):
             urlfilter.BROADCAST_RULES, kept = most, urlfilter.BROADCAST_RULES
@@ -123,6 +124,20 @@ def test_url_rules_from_a_file(spark, tmp_path):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("line", ["bad line here", "block", "block a.com b.com", "block =", "deny a.com"])
+def test_url_rules_that_are_none(spark, tmp_path, line):
+    (tmp_path / "rules.txt").write_text(f"block a.com\n{line}\n")
+    with pytest.raises(Exception, match=f"no rule: {line}"):
+        urlfilter.judge(spark.createDataFrame([(1, "http://a.com")], "page_id long, url string"), urlfilter.read_rules(spark, str(tmp_path / "rules.txt"))).collect()
+
+
+def test_url_rules_of_equal_length(spark):
+    """Of rules that fit equally long, one that blocks decides, and a repeated one is one."""
+    rules = tuple(urlfilter.site_rule(n, v) for n, v in (("a.com/x", "allow"), ("a.com/x", "block"), ("a.com/x", "allow")))
+    df = spark.createDataFrame([(1, "http://a.com/x1"), (1, "http://a.com/x1")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in urlfilter.judge(df, rules).collect()] == [("a.com/x", "block")] * 2
+
+
 # --------------------------------------------------------------------------- warc
 def test_warc_round_trip(spark):
     df = spark.createDataFrame([(1, "http://a", "x"), (2, None, "x"), (3, "u\r\nX: y", ""), (4, "u", None), (None, "u", "é" * 70_000), (5, "u", "z")], "page_id long, url string, html string").repartition(3)
