@@ -174,3 +174,45 @@ def test_globs_and_fuzzy(spark):
     hit = lambda g, s: bool(re.match(glob_regex(g).replace(r"\z", r"\Z"), s))
     assert hit("*.log", "a/b.log") and hit("a?.[0-9]*", "ab.7x") and not hit("*.log", "a.logx") and hit("[!a]b", "cb")
     assert [spark.range(1).select(fuzzy(F.lit(t), q)).first()[0] for t, q in (("FAILED", "fail"), ("abc", "xyz"))] == [True, False]
+
+
+def test_many_terms_in_one_scan(spark):
+    """As the terms one by one: terms within others, letters that fold to ASCII, whole words, nulls."""
+    import random
+
+    from logweir.operators.search import MultiSearch
+
+    rng = random.Random(1)
+    parts = ["a", "b", "A", "ß", "k", "K", "ſ", "s", "-", "_", " ", "1", ".", "é", "ab", "i", "ı", "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(18))) for _ in range(600)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").cache()
+    for terms in (("a", "ab", "abk", "s", "b-a"), ("k", "is", "1", "a_b", "_", "a.", "bab"), ("aa", "a", "aaa", "-", "--")):
+        for whole in (False, True):
+            for fold in (True, False):
+                s = MultiSearch(terms, ignore_case=fold, whole_word=whole)
+                assert s.one_scan()
+                one_by_one = F.array_compact(F.array(*[F.when(F.col("t").rlike(s.pattern(t)), i) for i, t in enumerate(terms)]))
+                wrong = df.where(F.col("t").isNotNull() & (F.array_sort(s.terms_in(F.col("t"))) != F.array_sort(one_by_one)))
+                assert wrong.collect() == [], (terms, whole, fold)
+    many = MultiSearch(terms, min_match=2)
+    assert df.where(many.to_column(F.col("t"))).count() == df.where(sum([F.coalesce(F.col("t").rlike(many.pattern(t)), F.lit(False)).cast("int") for t in terms[1:]], F.coalesce(F.col("t").rlike(many.pattern(terms[0])), F.lit(False)).cast("int")) >= 2).count()
+    assert not MultiSearch(("é", "b", "c", "d")).one_scan() and not MultiSearch(("a", "b", "c", "d"), regex=True).one_scan()
+    with pytest.raises(ValueError, match="more than 200"):
+        MultiSearch(tuple(f"t{i}" for i in range(201))).to_column(F.col("t"))
+
+
+def test_correlate_any(spark):
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    from logweir.operators.correlate import correlate_any, correlate_many
+
+    rng, t0 = random.Random(2), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    at = lambda: t0 + timedelta(seconds=rng.randrange(-2000, 2000), microseconds=rng.choice([0, 0, 1, 999_999])) if rng.random() < 0.95 else None
+    entries = spark.createDataFrame([(i, at(), "x") for i in range(800)], "id long, timestamp timestamp, at string")
+    anchors = spark.createDataFrame([(i, at()) for i in range(25)] + [(99, t0)] * 3, "id long, timestamp timestamp")
+    for w in (1, 30, 3600):
+        got = [r.id for r in correlate_any(entries, anchors, w).collect()]
+        want = {r.id for r in correlate_many(entries, anchors, w).select("id").collect()}
+        assert len(got) == len(want) and set(got) == want
+    assert correlate_any(entries, anchors.limit(0)).count() == 0 and correlate_any(entries, anchors).columns == entries.columns

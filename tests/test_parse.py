@@ -165,3 +165,17 @@ def test_profiles_are_checked(spark, tmp_path):
     assert len(loaded) == 22 and loaded[21].name == "Mine" and len(skipped) == 1
     with pytest.raises(ValueError):
         register_profile(loaded, bad)
+
+
+def test_tier_hints(spark):
+    """The tier that most of a file's first lines need; the others still find what it doesn't."""
+    from logweir.operators import parse
+
+    lines = [("a", i, f"at 2024/01/05 10:00:0{i % 10}") for i in range(1, 8)] + [("a", 8, "at 05.01.2024 11:00:00"), ("a", 9, "none")]
+    lines += [("b", i, "none") for i in range(1, 4)] + [("c", 1, "2024-01-05T10:00:00Z"), ("c", 2, "5 Jan"), ("d", 500, "2024-01-05 10:00:00")]
+    df = spark.createDataFrame(lines, "source_file string, line_number long, line string")
+    hints = parse.tier_hints(df, AS_OF)
+    assert sorted(tuple(r) for r in hints.collect()) == [("a", 3), ("c", 0)]
+    plain = next(p for p in builtin_profiles() if p.id == "plain-text")
+    key = lambda rows: sorted((r.source_file, r.line_number, r.timestamp) for r in rows.where("timestamp is not null").collect())
+    assert key(parse.parse_lines(df, plain, AS_OF, hints)) == key(parse.parse_lines(df, plain, AS_OF)) and len(key(parse.parse_lines(df, plain, AS_OF, hints))) == 10
