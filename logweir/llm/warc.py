@@ -8,7 +8,9 @@ and the manifest names the archives of committed tasks.
 Reading is sequential: bytes go through an incremental ``zlib`` inflater, a member at a time; the head ends at the
 first blank line and ``Content-Length`` frames the block, so memory holds one record.  Digests that a record states are
 verified; a record that fails raises ``ValueError`` (or is marked, with ``strict=False``).  Archives of other writers are read too:
-any record type (``types`` chooses), any record id, with or without digests and HTTP heads; an archive is one task's work.
+any record type (``types`` chooses), any record id, with or without digests and HTTP heads; an archive is one task's work.  A body
+in chunks (``Transfer-Encoding: chunked``) is put together first: that is the payload, and a stated payload digest may be of
+either form, as writers differ.  A body that claims chunks without having them is taken as it is.
 
 Defined cases: a null html is an empty payload; a null url has no target URI; a null ``page_id`` is written as
 ``null`` and read back as null.  Pages that tie on the largest ``page_id`` of a payload are all responses; if all ids of a
@@ -93,6 +95,20 @@ def _matches(said: str | None, data: bytes) -> bool | None:
     return value.upper().rstrip("=") == base64.b32encode(real.digest()).decode().rstrip("=") or value.lower() == real.hexdigest()
 
 
+def dechunked(body: bytes) -> bytes | None:
+    """A chunked HTTP body put together, trailers left out; None if it isn't one."""
+    parts, at = [], 0
+    while m := re.compile(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?\r\n").match(body, at):
+        size, at = int(m[1], 16), m.end()
+        if not size:
+            return b"".join(parts)
+        if body[at + size : at + size + 2] != b"\r\n":
+            return None
+        parts.append(body[at : at + size])
+        at += size + 2
+    return None
+
+
 def _page(urn: str | None) -> int | None:
     m = re.fullmatch(r"<?urn:x-page:(-?\d+)>?", urn or "")
     return int(m[1]) if m else None
@@ -113,13 +129,19 @@ def parse(raw: bytes) -> dict:
     kind = head.get("warc-type", "")
     http = head.get("content-type", "").lower().startswith("application/http") or block[:5] == b"HTTP/"
     payload, full = (None if kind == "revisit" else block), size
+    body = payload
     if http:
         top, _, body = block.partition(b"\r\n\r\n")
-        stated = _fields(top.decode("latin-1").split("\r\n")[1:]).get("content-length", "")
-        payload = None if kind == "revisit" else body
-        full = len(body) if payload is not None else int(stated) if stated.isdigit() else None
+        fields = _fields(top.decode("latin-1").split("\r\n")[1:])
+        stated, coded = fields.get("content-length", ""), fields.get("transfer-encoding", "").lower()
+        whole = dechunked(body) if coded.endswith("chunked") else None
+        payload = None if kind == "revisit" else body if whole is None else whole
+        full = len(payload) if payload is not None else int(stated) if stated.isdigit() else None
     said = head.get("warc-payload-digest")
-    known = [_matches(head.get("warc-block-digest"), block), None if payload is None else _matches(said, payload)]
+    right = None if payload is None else _matches(said, payload)
+    if right is False and payload is not body:
+        right = _matches(said, body)  # as it was sent
+    known = [_matches(head.get("warc-block-digest"), block), right]
     known = [k for k in known if k is not None]
     digest = said.partition(":")[2] if said else digest_of(payload) if payload is not None else None
     return {
