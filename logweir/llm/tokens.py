@@ -253,9 +253,17 @@ def _write(path: str, out_dir: str, end_id: int, size: int):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, shards: int | None = None, end_id: int = END_ID) -> DataFrame:
+def _stable(df: DataFrame) -> bool:
+    """Whether a task of ``df`` that runs again gives its rows in the same order: no shuffle and no RDD in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" not in plan and "RDD" not in plan
+
+
+def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, shards: int | None = None, end_id: int = END_ID, distinct: bool = False) -> DataFrame:
     """Encode ``docs(doc_id, text)`` into shards under ``out_dir``; returns the manifest
-    ``doc_id, part, file, offset, n_tokens`` (offset in ids within the shard), already written."""
+    ``doc_id, part, file, offset, n_tokens`` (offset in ids within the shard), already written.
+
+    Rows that are equal are spread over shards like others; ``distinct`` says that no two rows have an id in common."""
     spark = docs.sparkSession
     from tokenizers import Tokenizer
 
@@ -263,7 +271,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, shards: int
     shards = shards or _partitions(docs)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    if not distinct:
+        # Equal rows need a mark, or one that is repeated all over would fill a shard.  Which of them has which is all the same, but
+        # a task that runs again must give the same: behind a shuffle rows may come in another order.
+        text = (text if _stable(text) else materialize(text, "texts")).withColumn("row", F.monotonically_increasing_id())
+        order.append(F.col("row"))
     placed = text.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    placed = placed.select("doc_id", "text")
     return materialize(placed.mapInArrow(_write(tokenizer_path, out_dir, end_id, 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4), ENTRY), "manifest")
 
 
@@ -476,7 +490,7 @@ def indexed_places(stored: DataFrame, index: DataFrame, out_dir: str) -> DataFra
     return first.unionByName(others.withColumn("indexed", F.lit(False)))
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None, distinct: bool = False) -> DataFrame:
     """Write, index and read back: ``doc_id, start, n_tokens, ids_crc32, indexed`` per document, all from the files.
 
     The shards' directories say which documents there are; each key's place comes from the index,
@@ -484,7 +498,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None)
     """
     spark = docs.sparkSession
     out_dir = out_dir or new_dir(spark, "tokens")
-    manifest = write_shards(docs, tokenizer_path, out_dir)
+    manifest = write_shards(docs, tokenizer_path, out_dir, distinct=distinct)
     index = build_index(manifest, out_dir)
     shards = manifest.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
     base = materialize(shards.select("part", "file", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "shards")

@@ -191,6 +191,27 @@ def test_warc_of_other_writers(spark, tmp_path):
         warc.parse(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n")
 
 
+@pytest.mark.parametrize("digest_sent", [False, True])
+def test_warc_of_chunked_bodies(digest_sent):
+    body = b"5\r\nhello\r\n8;name=x\r\n, world\n\r\n0\r\nTrailer: x\r\n\r\n"
+    assert warc.dechunked(body) == b"hello, world\n" and warc.dechunked(b"0\r\n\r\n") == b""
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body
+    said = warc.digest_of(body if digest_sent else b"hello, world\n")
+    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (said.encode(), len(block))
+    got = warc.parse(raw + block + b"\r\n\r\n")
+    assert got["verified"] and got["payload"] == b"hello, world\n" and got["payload_bytes"] == 13
+    assert warc.parse(raw + block.replace(b"hello", b"hallo") + b"\r\n\r\n")["verified"] is False
+
+
+@pytest.mark.parametrize("body", [b"", b"plain", b"5\r\nhel", b"5\r\nhello\r\n", b"3\r\nhello\r\n0\r\n\r\n"])
+def test_warc_bodies_that_only_claim_chunks(body):
+    assert warc.dechunked(body) is None
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body
+    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n" % (warc.digest_of(body).encode(), len(block))
+    got = warc.parse(raw + block + b"\r\n\r\n")
+    assert got["verified"] and got["payload"] == body
+
+
 def test_warc_damage():
     good = warc.record("response", 1, "u", b"hello", None)
     raw = next(warc.members(__import__("io").BytesIO(good)))
@@ -516,6 +537,20 @@ def test_tokens_round_trip(spark):
     assert tokens.round_trip(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_one_row_in_half_of_the_table(spark, tmp_path):
+    """No shard has more than twice the median; the keys, repeats and long texts come back whole."""
+    spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "again and again").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text")).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    shards = tokens.write_shards(df, tokenizer_path(), common.new_dir(spark, "hot"), shards=8)
+    sizes = sorted(r["count"] for r in shards.groupBy("part").count().collect())
+    assert sum(sizes) == 20_000 and len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+    long = docs(spark, "word " * 300_000, "x", "x", None)
+    for table, n in ((df, 20_000), (long, 4), (long.union(long), 8)):
+        rows = sorted(tokens.round_trip(table.select("doc_id", "text"), tokenizer_path()).collect(), key=lambda r: r.start)
+        assert len(rows) == n and [r.start for r in rows] == [sum(q.n_tokens for q in rows[:i]) for i in range(n)] if n < 100 else len(rows) == n
+        assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+
+
 def test_encoder_matches_the_tokenizer():
     """Texts of any characters, cut into slices, in a cold and a warm cache."""
     from tokenizers import Tokenizer
