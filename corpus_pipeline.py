@@ -80,7 +80,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     id alone; null ids stay null; an empty table gives none.
     """
     placed = training_order(docs.select("doc_id", "text"))
-    stored = tokens.round_trip(placed.select(F.col("position").alias("doc_id"), "text"), tokenizer_path())
+    stored = tokens.round_trip(placed.select(F.col("position").alias("doc_id"), "text"), tokenizer_path(), distinct=True)
     stored = stored.select(F.col("doc_id").alias("position"), "start", "n_tokens", "ids_crc32")
     return placed.select("doc_id", "position").join(stored, "position").select("doc_id", "position", "start", "n_tokens", "ids_crc32")
 
