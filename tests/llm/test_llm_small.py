@@ -617,12 +617,40 @@ def test_contamination_matches_brute_force(spark, monkeypatch):
                         found.add(str(i))
         want[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     df, bench = docs(spark, *texts).withColumn("n_words", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string")
-    for size in (1_000_000, 20):  # one block, several blocks
+    for size in (1_000_000, 20):  # sent to the tasks, kept as tables
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(decontaminate.contamination(df, bench)).collect()}
         assert got == want
 
 
+@pytest.mark.parametrize("size", [1_000_000, 0])
+def test_contamination_of_odd_rows(spark, monkeypatch, size):
+    """Repeated rows one by one, a very long text whole, no items, no documents, a passage in most of the rows."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
+    passage = "one two three four five six seven eight nine ten eleven"
+    long = "word " * 200_000 + passage + " word" * 10
+    df = docs(spark, long, passage, passage, None, *[f"text {i} " + passage for i in range(40)])
+    df = df.union(df.where("doc_id = 1"))
+    items = spark.createDataFrame([(1, passage), (2, "x " + passage), (2, passage), (3, "never seen"), (4, "Seven")], "item_id long, text string")
+    got = decontaminate.contamination(df, items).select("row.doc_id", "n_words", "starts", "ends", "item_ids").collect()
+    rows = {r.doc_id: tuple(r)[1:] for r in got}
+    assert len(got) == 45 and rows[0] == (200_021, [200_000], [200_011], [1, 2, 4]) and rows[1] == rows[2] == (11, [0], [11], [1, 2, 4])
+    assert rows[3] == (0, [], [], []) and all(rows[i] == (13, [2], [13], [1, 2, 4]) for i in range(4, 44))
+    nothing = decontaminate.contamination(df, items.limit(0)).collect()
+    assert len(nothing) == 45 and not any(r.starts or r.ends or r.item_ids for r in nothing)
+    assert decontaminate.contamination(df.limit(0), items).count() == 0
+
+
+def test_python_stages_do_not_grow_with_the_items(spark, monkeypatch):
+    df = docs(spark, "a b c d e f g h i j k", "x")
+    plans = []
+    for many in (20, 400):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+        items = spark.range(many).select(F.col("id").alias("item_id"), F.concat(F.lit("a b c d e f g h i j "), F.col("id")).alias("text"))
+        plans.append(decontaminate.contamination(df, items)._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+    assert plans == [0, 0]  # all Python stages end in written tables
+
+
 # --------------------------------------------------------------------------- quality
 def test_statistics():
     h = common.WordHashes()
