@@ -722,6 +722,39 @@ def test_quality_sample_with_one_key_in_most_rows(spark):
     assert quality.threshold(a, g, 0.4, np.array([1, 1, 9])) < 0.8 and quality.threshold(a, g, 0.4) == float("inf")
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """Leaf sizes and the threshold count every labelled row, whatever ``max_rows``; trees draw from all of them."""
+    rng = np.random.default_rng(5)
+    stats = [(i, 80, int(rng.integers(240, 480)), int(rng.integers(0, 4)) + 40 * (i % 10 == 0), 0, int(rng.integers(0, 12)), i % 10 > 0) for i in range(3000)]
+    learn = spark.createDataFrame(stats, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, good boolean").repartition(7)
+    x, good = quality.features(np.array([r[1:6] for r in stats])), np.array([r[6] for r in stats])
+    forest, whole = quality.fit(learn, 2700, 300), quality.Forest(x[good], x[~good])
+    for (stat, split, left, right, path), mine in zip(forest.trees[:5], whole.trees, strict=False):
+        assert np.array_equal(stat, mine[0]) and np.array_equal(split, mine[1])
+        todo = [(0, 0, np.arange(len(x)))]
+        while todo:
+            at, depth, rows = todo.pop()
+            if stat[at] >= 0:
+                below = x[rows, stat[at]] < split[at]
+                todo += [(left[at], depth + 1, rows[below]), (right[at], depth + 1, rows[~below])]
+                continue
+            size = 254 * good[rows].sum() / 2700 + 2 * (~good[rows]).sum() / 300
+            low = int(size)
+            want = forest.average(low) + (size - low) * (forest.average(low + 1) - forest.average(low))
+            assert path[at] == pytest.approx(depth + want)
+    copies = rng.integers(1, 4, 3000)
+    anomaly = forest.anomaly(x).round(2)
+    judged = spark.createDataFrame([(float(a), bool(g), int(c)) for a, g, c in zip(anomaly, good, copies)], "anomaly double, good boolean, copies long")
+    for loss in (0.0, 0.005, 0.3):
+        want = quality.threshold(anomaly, good, loss, copies)
+        assert [quality.table_threshold(judged, loss, most) for most in (3, 5000)] == [want, want] and want < 1
+    assert quality.table_threshold(judged.where("good"), 0.1, 3) == float("inf")
+    texts = [" ".join("w%d%s" % (rng.integers(5000), "#" * int(i % 9 == 0 and rng.integers(0, 2))) for _ in range(60)) for i in range(300)]
+    known = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(300)], "doc_id long, quality int")
+    few, all_ = (sorted((r.row.doc_id, r.anomaly, r.kept) for r in quality.judge(docs(spark, *texts), known, max_rows=most).collect()) for most in (10, 50_000))
+    assert few == all_ and 10 < sum(not r[2] for r in all_) < 60
+
+
 # --------------------------------------------------------------------------- mixing
 def test_mixing(spark):
     rng = random.Random(8)
