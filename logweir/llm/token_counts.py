@@ -4,7 +4,7 @@ Prefix dynamic programming over byte-pair encodings: a token sequence is an enco
 are the encoding of their joined bytes.  So of all tokens that end at a byte, one follows on the last token of the prefix before
 it, and ``count[i] = count[i - its length] + 1``.  The tokens that end at each byte come from one automaton over the
 vocabulary, and whether two tokens may stand together is worked out once and remembered; a text of n bytes takes some 4 n steps,
-however long its words are.
+however long its words are.  New short pre-tokens go through the same steps together, byte by byte as numpy columns.
 
 Pre-tokens are the tokenizer's own.  A text is cut before every single space that a visible character follows, where a pre-token
 begins whatever stands around it; such pieces repeat, so each distinct one is worked out once and the counts of whole
@@ -44,8 +44,10 @@ RUN = 4 << 20
 _BLANK = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CUT = re.compile(f" (?=[^{_BLANK}])")
 _BLANKS = re.compile(f"[{_BLANK}]+")
-#: Two pre-tokens for certain: letters, and punctuation behind them.
-_PLAIN = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
+#: Pre-tokens for certain: letters, punctuation behind them, and the same again after a line break.
+_LETTERS, _MARKS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+", r"[!-/:-@\[-`{-~]"
+_PLAIN = re.compile(rf" ?{_LETTERS}{_MARKS}*(?:\n{_LETTERS}{_MARKS}*)*")
+_PARTS = re.compile(rf" ?{_LETTERS}|{_MARKS}+|\0?\n")
 #: Of the pre-tokenizer's contractions those of three characters.
 _CONTRACTIONS = ("'re", "'ve", "'ll")
 
@@ -60,7 +62,9 @@ def byte_letters() -> dict[str, int]:
 class PrefixCounter:
     """Counts of prefixes under one byte-level BPE tokenizer, with remembered pieces."""
 
-    MOST_PIECES, MOST_PAIRS, LONGEST = 500_000, 2_000_000, 64
+    MOST_PIECES, MOST_PAIRS, LONGEST, AT_ONCE = 500_000, 2_000_000, 64, 20_000
+    #: Stands for the space behind a piece among pre-tokens; it is none itself, as white space ends one.
+    GAP = "\0\n"
 
     def __init__(self, path: str) -> None:
         import ahocorasick
@@ -68,7 +72,8 @@ class PrefixCounter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.pretokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        library = Tokenizer.from_file(path)
+        self.pretokens, self.merged = library.pre_tokenizer.pre_tokenize_str, library.model.tokenize
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
@@ -83,43 +88,131 @@ class PrefixCounter:
         raw = {t: bytes(letters[c] for c in t) for t in model["vocab"] if all(c in letters for c in t)}
         self.bytes_of = {model["vocab"][t]: b for t, b in raw.items()}
         self.single = {b[0]: i for i, b in self.bytes_of.items() if len(b) == 1}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[model["vocab"][a], model["vocab"][b]] = (rank, model["vocab"][a + b])
+        self.written = {model["vocab"][t]: t for t in raw}
         self.endings = ahocorasick.Automaton()
         for i, b in self.bytes_of.items():
             if len(b) > 1:
                 self.endings.add_word(b.decode("latin-1"), (len(b), i))
         self.endings.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.byte_token = np.array([self.single[b] for b in range(256)], np.int64)
+        # The vocabulary's beginnings by length: parent's place << 8 | byte, in order, and the token that ends there or -1.
+        self.beginnings: list[tuple[np.ndarray, np.ndarray]] = []
+        ids, places, most = {b: i for i, b in self.bytes_of.items()}, {b"": 0}, 2 * self.LONGEST
+        for n in range(1, min(most, max(map(len, ids))) + 1):
+            found = sorted({b[:n] for b in ids if len(b) >= n})
+            self.beginnings.append((np.array([places[b[:-1]] << 8 | b[-1] for b in found], np.int64), np.array([ids.get(b, -1) for b in found], np.int64)))
+            places = {b: i for i, b in enumerate(found)}
+        self.pairs: dict[int, bool] = {}
+        self.pair_keys, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
         self._forget()
 
-    # ------------------------------------------------------------------ one pre-token
-    def _encoded(self, data: bytes) -> list[int]:
-        """The encoding by merging, lowest rank first, for a few bytes."""
-        parts = [self.single[b] for b in data]
-        while len(parts) > 1:
-            ranked = [(self.merges[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in self.merges]
-            if not ranked:
-                break
-            at = min(ranked)[1]
-            parts[at : at + 2] = [self.merges[parts[at], parts[at + 1]][1]]
-        return parts
+    # ------------------------------------------------------------------ two tokens
+    def _stand(self, before: int, token: int) -> bool:
+        """Whether ``token`` may follow ``before`` (-1: begin a pre-token): the model merges their joined bytes to just them."""
+        got = self.merged(self.written.get(before, "") + self.written[token])
+        return [t.id for t in got] == ([token] if before < 0 else [before, token])
 
     def _fits(self, before: int, token: int) -> bool:
-        """Whether ``token`` may follow ``before`` (-1: begin a pre-token)."""
+        """:meth:`_stand`, remembered."""
         if len(self.pairs) >= self.MOST_PAIRS:
             self.pairs.clear()
-        both = self.bytes_of.get(before, b"") + self.bytes_of[token]
-        self.pairs[before << 20 | token] = known = self._encoded(both) == ([token] if before < 0 else [before, token])
+        self.pairs[before << 20 | token] = known = self._stand(before, token)
         return known
 
+    @staticmethod
+    def _found(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``sought`` in the ordered ``keys``, and whether they are there."""
+        at = np.minimum(np.searchsorted(keys, sought), max(len(keys) - 1, 0))
+        return at, keys[at] == sought if len(keys) else np.zeros(len(sought), bool)
+
+    def _fit_all(self, pairs: np.ndarray, fresh: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """:meth:`_stand` of pairs ``before << 20 | token``; ``fresh`` has the ones worked out since the last merge."""
+        at, known = self._found(self.pair_keys, pairs)
+        fits = np.zeros(len(pairs), bool)
+        fits[known] = self.pair_fits[at[known]]
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            sought = pairs[rest]
+            new = np.unique(sought[~self._found(fresh[0], sought)[1]])
+            if len(new):
+                stand = np.fromiter((self._stand(k >> 20, k & (1 << 20) - 1) for k in new.tolist()), bool, len(new))
+                to = np.searchsorted(fresh[0], new)
+                fresh = np.insert(fresh[0], to, new), np.insert(fresh[1], to, stand)
+            fits[rest] = fresh[1][self._found(fresh[0], sought)[0]]
+        return fits, fresh
+
+    # ------------------------------------------------------------------ many pre-tokens
+    def _learn(self, names: list[str]) -> None:
+        """:meth:`prefixes` of many new pre-tokens at once, of at most ``LONGEST`` characters below U+0800.
+
+        Longest first, so those with a byte at some place are the first ones: all bytes, last tokens and counts are kept place by
+        place, ``off[i]`` on for what ends with byte i, and a place is worked out for all pre-tokens together.
+        """
+        raw = list(map(str.encode, names))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(-size, kind="stable")
+        size, names, raw = size[order], [names[i] for i in order.tolist()], [raw[i] for i in order.tolist()]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        begin = np.cumsum(size) - size
+        many = np.searchsorted(-size, -np.arange(size[0] + 1), "right")
+        off = np.r_[0, np.cumsum(many)]
+        at = np.zeros(off[-1], np.int64)
+        for i in range(1, size[0] + 1):
+            at[off[i] : off[i + 1]] = data[begin[: many[i]] + i - 1]
+        # Every token that ends somewhere: from each place down the vocabulary's beginnings.
+        start = np.repeat(np.arange(size[0]), many[1:])
+        which = np.arange(off[-1] - off[1]) - np.repeat(off[1:-1] - off[1], many[1:])
+        node = at[off[1] :]
+        ends = []
+        for n, (keys, tokens) in enumerate(self.beginnings[1:], 2):
+            go = np.flatnonzero(size[which] >= start + n)
+            start, which = start[go], which[go]
+            node, there = self._found(keys, node[go] << 8 | at[off[start + n] + which])
+            start, which, node = start[there], which[there], node[there]
+            if not len(node):
+                break
+            token = tokens[node]
+            is_token = token >= 0
+            ends.append(np.stack([start[is_token] + n, off[start[is_token]] + which[is_token], off[start[is_token] + n] + which[is_token], token[is_token]]))
+        place, since, end, token = np.concatenate(ends, 1) if ends else np.empty((4, 0), np.int64)
+        order = np.argsort(place, kind="stable")
+        since, end, token, bounds = since[order], end[order], token[order], np.searchsorted(place[order], np.arange(size[0] + 2))
+        last, count = self.byte_token[at], np.zeros(off[-1], np.int64)
+        last[: off[1]] = -1
+        fresh = np.empty(0, np.int64), np.empty(0, bool)
+        for i in range(1, size[0] + 1):
+            # Where no longer token fits, it is that of the byte.
+            count[off[i] : off[i + 1]] = count[off[i - 1] : off[i - 1] + many[i]] + 1
+            own = slice(bounds[i], bounds[i + 1])
+            fits, fresh = self._fit_all(last[since[own]] << 20 | token[own], fresh)
+            to = end[own][fits]
+            last[to], count[to] = token[own][fits], count[since[own][fits]] + 1
+        if len(self.pair_keys) + len(fresh[0]) > self.MOST_PAIRS:
+            self.pair_keys, self.pair_fits = fresh
+        else:
+            to = np.searchsorted(self.pair_keys, fresh[0])
+            self.pair_keys, self.pair_fits = np.insert(self.pair_keys, to, fresh[0]), np.insert(self.pair_fits, to, fresh[1])
+        # One after the other again, by code points.
+        whole = np.r_[data[1:] & 0xC0 != 0x80, True]
+        counts = count[off[np.arange(len(data)) - np.repeat(begin, size) + 1] + np.repeat(np.arange(len(size)), size)]
+        until = np.cumsum(np.add.reduceat(whole, begin, dtype=np.int64))
+        steps = np.diff(counts[whole], prepend=0)
+        steps[until[:-1]] = counts[whole][until[:-1]]
+        if len(steps) and np.abs(steps).max() > 127:
+            raise OverflowError("a step that a byte doesn't hold")
+        self.pretoken.update(zip(names, range(len(self.pre_first), len(self.pre_first) + len(names))))
+        n = np.diff(until, prepend=0)
+        for column, values in ((self.pre_first, len(self.pre_pool) + until - n), (self.pre_size, n), (self.pre_count, counts[begin + size - 1])):
+            column.frombytes(values.astype(np.int64).tobytes())
+        self.pre_pool += steps.astype(np.int8).tobytes()
+
+    # ------------------------------------------------------------------ one pre-token
+
     def prefixes(self, pretoken: str) -> tuple[bytes, int]:
         """Steps of a pre-token's prefixes, by code points, and its number of tokens; remembered."""
-        found = self.pretoken_steps.get(pretoken)
-        if found is not None:
-            return found
+        i = self.pretoken.get(pretoken)
+        if i is not None:
+            return bytes(self.pre_pool[self.pre_first[i] : self.pre_first[i] + self.pre_size[i]]), self.pre_count[i]
         data = pretoken.encode()
         pairs, fits, size, own = self.pairs, self._fits, len(data), 0
         last, count = [-1, *map(self.single.__getitem__, data)], [0] * (size + 1)
@@ -144,18 +237,12 @@ class PrefixCounter:
             count = [0, *(count[i] for i in range(1, size + 1) if i == size or data[i] & 0xC0 != 0x80)]
         steps = array("b", map(sub, count[1:], count)).tobytes()  # a step that a byte doesn't hold is an error
         if len(pretoken) <= self.LONGEST:
-            self.pretoken_steps[pretoken] = (steps, own)
+            self._keep(pretoken, steps, own)
         return steps, own
 
     # ------------------------------------------------------------------ one piece
     def piece(self, text: str) -> tuple[bytes, int, int]:
         """Steps of a piece; its number of tokens; and how many more it has with a space behind it."""
-        if plain := _PLAIN.fullmatch(text):
-            steps, own = self.prefixes(plain[1])
-            if plain[2]:
-                tail, n = self.prefixes(plain[2])
-                return steps + tail, own + n, 1
-            return steps, own, 1
         out, base, at, more = [], 0, 0, 0
         for _, (start, end) in self.pretokens(text):
             if start < at:
@@ -184,19 +271,46 @@ class PrefixCounter:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.openings: dict[str, int] = {}
-        self.pretoken_steps: dict[str, tuple[bytes, int]] = {}
-        self.pool = bytearray()
+        self.pool, self.pre_pool = bytearray(), bytearray()
         self.first, self.size, self.count, self.gap = (array("q") for _ in range(4))
-
-    def _add(self, opening: bool, word: str) -> int:
-        """Remember a piece: the steps from its second character on, where it has a space before it, and that of the space behind it."""
-        steps, own, gap = self.piece(word if opening else " " + word)
-        kept = (steps if opening else steps[1:]) + gap.to_bytes(1, "little", signed=True)
-        at = len(self.first)
-        self.first.append(len(self.pool)), self.size.append(len(kept)), self.count.append(own), self.gap.append(gap)
-        self.pool += kept
-        (self.openings if opening else self.known)[word] = at
-        return at
+        self.pretoken: dict[str, int] = {}
+        self.pre_first, self.pre_size, self.pre_count = (array("q") for _ in range(3))
+        self._keep(self.GAP, b"\1", 0)
+
+    def _keep(self, pretoken: str, steps: bytes, own: int) -> None:
+        self.pretoken[pretoken] = len(self.pre_first)
+        self.pre_first.append(len(self.pre_pool)), self.pre_size.append(len(steps)), self.pre_count.append(own)
+        self.pre_pool += steps
+
+    def _add_all(self, opening: bool, words: list[str]) -> None:
+        """Remember new pieces: the steps from the second character on, where it has a space before it, and that of the space behind it."""
+        plain, other = [], []
+        for word in words:
+            text = word if opening else " " + word
+            (plain if len(text) <= self.LONGEST and _PLAIN.fullmatch(text) else other).append(text)
+        known, skip = (self.openings, 0) if opening else (self.known, 1)
+        if plain:
+            # Each is its pre-tokens' steps and that of the gap, one token.
+            parts = _PARTS.findall(self.GAP.join(plain) + self.GAP)
+            new = list(set(parts) - self.pretoken.keys())
+            for at in range(0, len(new), self.AT_ONCE):
+                self._learn(new[at : at + self.AT_ONCE])
+            of = np.fromiter(map(self.pretoken.__getitem__, parts), np.int64, len(parts))
+            begin = np.r_[0, np.flatnonzero(of == self.pretoken[self.GAP])[:-1] + 1]
+            first, size, count = (np.frombuffer(c, np.int64)[of] for c in (self.pre_first, self.pre_size, self.pre_count))
+            first[begin] += skip
+            size[begin] -= skip
+            n = np.add.reduceat(size, begin)
+            known.update(zip([t[skip:] for t in plain], range(len(self.first), len(self.first) + len(plain))))
+            for column, values in ((self.first, len(self.pool) + np.cumsum(n) - n), (self.size, n), (self.count, np.add.reduceat(count, begin)), (self.gap, np.ones(len(n), np.int64))):
+                column.frombytes(values.astype(np.int64).tobytes())
+            self.pool += gathered(np.frombuffer(self.pre_pool, np.int8), first, size).tobytes()
+        for text in other:
+            steps, own, gap = self.piece(text)
+            kept = steps[skip:] + gap.to_bytes(1, "little", signed=True)
+            known[text[skip:]] = len(self.first)
+            self.first.append(len(self.pool)), self.size.append(len(kept)), self.count.append(own), self.gap.append(gap)
+            self.pool += kept
 
     def _runs(self, texts: pa.Array) -> tuple[list[str], list[tuple[int, int, int]]]:
         """Ordinary runs of text; of each the text it belongs to, the length whose steps count and whether a special token ends it."""
@@ -234,10 +348,14 @@ class PrefixCounter:
         code = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         later = np.ones(len(of), bool)
         later[start] = False
-        for i in np.flatnonzero((code < 0) & (np.bincount(of[later], minlength=len(words)) > 0)).tolist():
-            code[i] = self._add(False, words[i])
+        new = np.flatnonzero((code < 0) & (np.bincount(of[later], minlength=len(words)) > 0))
+        added = [words[i] for i in new.tolist()]
+        self._add_all(False, added)
+        code[new] = np.fromiter(map(self.known.__getitem__, added), np.int64, len(added))
         pieces = code[of]
-        pieces[start] = [self.openings[w] if w in self.openings else self._add(True, w) for w in map(words.__getitem__, of[start].tolist())]
+        opening = [words[i] for i in of[start].tolist()]
+        self._add_all(True, [w for w in dict.fromkeys(opening) if w not in self.openings])
+        pieces[start] = [self.openings[w] for w in opening]
         first, size, count, more = (np.frombuffer(a, np.int64) for a in (self.first, self.size, self.count, self.gap))
         n = size[pieces]
         ends = offsets[1:] - 1

@@ -40,6 +40,25 @@ def test_every_prefix_is_exact(library):
         assert token_counts.prefix_counts(s).tolist() == want and k == want[-1], text
 
 
+def test_new_words_are_worked_out_together(library, monkeypatch):
+    """Distinct plain pieces take no step of their own, and their counts are those of every prefix."""
+    rng = random.Random(12)
+    parts = ["the", "ing", "Sch", "é", "ñado", "ß", "ÿ", "x", "Qu", "ation"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", "%%%", ",'", ".\n" + rng.choice(parts), "\n" + rng.choice(parts) + "!"])
+    texts = [" ".join(word() for _ in range(40)) for _ in range(60)] + ["\0", "a \0 b", "\0\n", "a\0\nb \0\nc", "é" * 64, "b " + "é" * 63 + " " + "é" * 64 + " c"]
+    own, calls = token_counts.PrefixCounter(tokenizer_path()), []
+    own.AT_ONCE = 50
+    prefixes = own.prefixes
+    monkeypatch.setattr(own, "prefixes", lambda p: calls.append(p) or prefixes(p))
+    first, _ = own.steps(pa.array(texts[:60]))
+    assert not calls
+    own.MOST_PAIRS = 40
+    for text, s in zip(texts, first + own.steps(pa.array(texts[60:]))[0], strict=True):
+        assert token_counts.prefix_counts(s).tolist() == brute_prefixes(library, text), text
+    own.MOST_PIECES = 0
+    assert own.steps(pa.array(texts[:60]))[0] == first
+
+
 def test_long_texts_are_cut_where_it_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(token_counts, "RUN", 40)
     own = token_counts.PrefixCounter(tokenizer_path())
