@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, bounded_rows, materialize, mix64, packed, texts_of, windows_hash
+from .common import WordHashes, bounded_rows, materialize, mix64, packed, texts_of, tidy, windows_hash
 
 WINDOW, SHINGLE = 10, 5
 #: Words of items that are sent to tasks, some 80 MB in each; more stay tables.
@@ -191,9 +191,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<long>").alias("item_ids"),
     )
     windows = Windows([(r.item_id, r.text) for r in items.collect()], window, shingle)  # a row has a word or more in the sum above
-    counted = docs.select(text).mapInArrow(_count(windows), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(tidy(_count(windows)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     counts = {r.shingle: r.n for r in counted.collect()}  # at most the items' own shingles
-    return out.mapInArrow(_probe(Probe(windows, counts)), out.schema).drop("text")
+    return out.mapInArrow(tidy(_probe(Probe(windows, counts))), out.schema).drop("text")
 
 
 # --------------------------------------------------------------------------- items of any number
@@ -306,14 +306,14 @@ def joined(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int
     own = windows.groupBy("words").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     each = materialize(own.select("words", "n", F.size("keys").alias("many"), F.posexplode("keys").alias("offset", "key")), "shingles")
 
-    counted = texts.mapInArrow(_count_keys(_field(each), lengths), "key long, n long")
+    counted = texts.mapInArrow(tidy(_count_keys(_field(each), lengths)), "key long, n long")
     counts = counted.groupBy("key").agg(F.sum("n").alias("seen"))
     # A window with a shingle that no document has stands nowhere.
     rarest = F.min_by(F.struct("key", "offset"), F.struct("seen", "offset")).alias("rarest")
     probes = each.join(counts, "key").groupBy("words", "n", "many").agg(F.count("*").alias("found"), rarest).where("found = many")
     probes = materialize(probes.select("words", "n", "rarest.key", "rarest.offset"), "probes")
 
-    candidates = texts.mapInArrow(_candidates(_field(probes), lengths, window), "digest string, key long, at int, before int, around string").distinct()
+    candidates = texts.mapInArrow(tidy(_candidates(_field(probes), lengths, window)), "digest string, key long, at int, before int, around string").distinct()
     first = F.col("before") - F.col("offset")  # negative: the window would begin before the text
     stands = F.array_join(F.slice(F.split("around", " "), F.greatest(first, F.lit(0)) + 1, F.col("n")), " ")
     start = F.col("at") - F.col("offset")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, _MUL, connected_components, materialize, mix64, shingle_set
+from .common import WordHashes, _MUL, connected_components, materialize, mix64, shingle_set, tidy
 
 BANDS, ROWS, WORDS = 32, 4, 5
 #: A block of the exact pass: this many shingles and members at most (a larger document is a block by itself).
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark_of(docs).alias("mark"))
     seen = materialize(
-        docs.mapInArrow(_features(bands, rows, words), "doc_id long, mark string, n long, key binary, bands array<long>"), "minhash"
+        docs.mapInArrow(tidy(_features(bands, rows, words)), "doc_id long, mark string, n long, key binary, bands array<long>"), "minhash"
     )
     compared = seen.where("key is not null and doc_id is not null")
     reps = materialize(
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (75, 100), bands:
         .agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bytes"))
     )
     bitmap = {r.chunk: bytes(r.bytes) for r in chunks.collect()}  # 2^27 bits = 16 MiB at most
-    found = docs.where("doc_id is not null").select("text", bit("doc_id").alias("bit")).mapInArrow(_sets(words, bitmap), "key binary, shingles array<long>")
+    found = docs.where("doc_id is not null").select("text", bit("doc_id").alias("bit")).mapInArrow(tidy(_sets(words, bitmap)), "key binary, shingles array<long>")
     sets = materialize(found.dropDuplicates(["key"]).join(need.select("rid", "key"), "key").select("rid", "shingles"), "sets")
 
     common = F.size(F.array_intersect("s", "shingles"))

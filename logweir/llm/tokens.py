@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, mix64, new_dir, open_folder
+from .common import materialize, mix64, new_dir, open_folder, tidy
 
 END_ID, MAGIC = 2, b"TIDS"
 KEYS_PER_PART = 200_000
+#: Bytes of text that are encoded at once.
+RUN = 1 << 20
 PUNCTUATION = ".,!?;:*&%$#|()"
 
 
@@ -236,7 +238,7 @@ def _write(path: str, out_dir: str, end_id: int, size: int):
                 name = f"shard-{part:06d}-{uuid.uuid4().hex}.tok"
                 stream = fs.open_output_stream(f"{folder}/{name}")
                 stream.write(MAGIC + struct.pack("<I", size))
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), RUN):
                 found, n = own.encode(b.column(1).slice(lo, hi - lo), end_id)
                 stream.write(found.astype("<u2" if size == 2 else "<u4").tobytes())
                 key, rows = b.column(0).slice(lo, hi - lo), hi - lo
@@ -278,7 +280,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, shards: int
         order.append(F.col("row"))
     placed = text.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     placed = placed.select("doc_id", "text")
-    return materialize(placed.mapInArrow(_write(tokenizer_path, out_dir, end_id, 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4), ENTRY), "manifest")
+    return materialize(placed.mapInArrow(tidy(_write(tokenizer_path, out_dir, end_id, 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4)), ENTRY), "manifest")
 
 
 class PerfectHash:

@@ -39,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, materialize, packed, texts_of
+from .common import bounded_rows, materialize, packed, texts_of, tidy
 
 MAX_ROWS, MAX_TOKENS = 100_000, 1_000_000
 PRIOR, Z, SEEN = 0.1, 3.0, 5
 LONG, PIECE = 32, 4
+#: Words that a task counts before it passes them on.
+COUNTED = 50_000
 #: Score of a word that tells nothing; two strong words some dozen words apart still form one passage.
 IDLE = -0.1
 SIGNIFICANT = 3.0
@@ -156,8 +158,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, y in zip(b.column(0), b.column(1)):
             counted[y.as_py()].update(set(words_of(text.as_py())))
-        if len(counted[0]) + len(counted[1]) > 200_000:
-            yield flush()
+            if len(counted[0]) + len(counted[1]) > COUNTED:
+                yield flush()
     yield flush()
 
 
@@ -228,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_tokens
     held = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0
     tokens = materialize(
         texts.where(~held).select("text", "y")
-        .mapInArrow(_counts, "token binary, clean long, toxic long")
+        .mapInArrow(tidy(_counts), "token binary, clean long, toxic long")
         .groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")),
         "tokens",
     )
@@ -260,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_tokens
     if n > max_rows:  # one id with many texts
         shown = shown.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n)) < max_rows * 9 // 10)
     seen = materialize(
-        shown.select("text", "y").mapInArrow(_evidence(known), "y int, n long, segments array<double>, value array<double>, count array<long>"), "calibration"
+        shown.select("text", "y").mapInArrow(tidy(_evidence(known)), "y int, n long, segments array<double>, value array<double>, count array<long>"), "calibration"
     )
     model = Model(known=known, base=total.toxic / total.n)
     best = F.coalesce(F.array_max("segments"), F.lit(0.0))
@@ -310,4 +312,4 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     the columns in ``carry`` (all)."""
     rows = packed(docs, carry)
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_score(model), f"row {kind}, score double, starts array<int>, ends array<int>, significance array<double>")
+    return rows.mapInArrow(tidy(_score(model)), f"row {kind}, score double, starts array<int>, ends array<int>, significance array<double>")

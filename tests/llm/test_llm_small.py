@@ -2,8 +2,12 @@
 
 import gzip
 import hashlib
+import os
+import platform
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -651,6 +655,61 @@ def test_python_stages_do_not_grow_with_the_items(spark, monkeypatch):
     assert plans == [0, 0]  # all Python stages end in written tables
 
 
+# --------------------------------------------------------------------------- memory of tasks
+_FREED = r"""
+import ctypes, re, sys
+from logweir.llm import common
+
+def own():
+    return int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def run(batches):
+    kept = [bytes(1000) for _ in range(100_000)]
+    end = bytes(1000)  # lies behind them, so that the allocator can't shrink its top
+    ends.append(end)
+    yield from batches
+    del kept
+
+ends, before = [], own()
+assert list(common.tidy(run)(iter([1, 2]))) == [1, 2]
+print(own() - before)
+"""
+
+
+def test_tasks_give_freed_memory_back():
+    """A worker stays small after a task: in a fresh process, as an allocator's state depends on what ran before."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if sys.platform != "linux" or platform.libc_ver()[0] != "glibc":
+        pytest.skip("measured and trimmed with glibc on Linux")
+    out = subprocess.run([sys.executable, "-c", _FREED], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=60, check=True)
+    assert float(out.stdout) < 30
+
+
+def test_word_hashes_are_bounded_and_right_when_they_start_over():
+    """Remembered words take less than 8 MB of a worker, and a text's set doesn't depend on what is remembered."""
+    h = common.WordHashes()
+    words = [b"w%d" % i for i in range(3 * h.MOST)]
+    got = h.of(words)
+    assert len(h) <= h.MOST <= 50_000
+    assert (got == np.array([common.xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)).all()
+    size = sys.getsizeof(h) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in h.items())
+    assert size < 8 << 20
+
+
+def test_counts_pass_on_within_a_batch():
+    """A task counts a bounded number of words, however many one batch has; the sums are those of all texts."""
+    texts = [" ".join("w%dx%d" % (i, j) for j in range(2000)) for i in range(60)] + ["w0x0 w1x1"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(60)] + [1])], ["text", "y"])
+    parts = list(toxicity._counts(iter([batch])))
+    assert len(parts) == 3
+    sums = {}
+    for token, clean, toxic in zip(*(pa.Table.from_batches(parts).column(c).to_pylist() for c in ("token", "clean", "toxic"))):
+        c, t = sums.get(token, (0, 0))
+        sums[token] = (c + clean, t + toxic)
+    assert len([k for k in sums if k[:1] == b"w"]) == 120_000
+    assert sums[b"ww0x0"] == (1, 1) and sums[b"ww1x1"] == (0, 2) and sums[b"ww2x5"] == (1, 0)
+
+
 # --------------------------------------------------------------------------- quality
 def test_statistics():
     h = common.WordHashes()
