@@ -141,6 +141,19 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 2 << 20) -> Iterator[None]:
+    """Tables written inside go to Python in batches of about ``most`` bytes: Spark's own have 10,000 rows, whatever their texts' length up to
+    64 MB, and the JVM and the worker hold each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # --------------------------------------------------------------------------- hashing in tasks
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finalizer that spreads 64-bit values (wrap-around arithmetic is meant)."""

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, mix64, new_dir, open_folder, tidy
+from .common import materialize, mix64, new_dir, open_folder, small_batches, tidy
 
 END_ID, MAGIC = 2, b"TIDS"
 KEYS_PER_PART = 200_000
@@ -61,13 +61,14 @@ class Encoder:
     pieces they are encoded one by one.
     """
 
-    MOST_PIECES, LONGEST, JOINED, AT_ONCE = 500_000, 64, 64, 2_000
+    MOST_PIECES, LONGEST, JOINED, AT_ONCE = 300_000, 64, 64, 2_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # what comes again is remembered here
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -80,6 +81,18 @@ class Encoder:
         self.pool = np.empty(1 << 16, np.uint32)
         self.first = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+
+    def _shrink(self) -> None:
+        """Keep the pieces that came again since the last time, most of which come often; the others make room."""
+        again = self.again[: len(self.known)]
+        if 2 * again.sum() > self.MOST_PIECES:
+            return self._forget()
+        code, words = np.flatnonzero(again), list(compress(self.known, again.tolist()))  # pieces are in the order of their codes
+        n = self.size[code]
+        ids = gathered(self.pool, self.first[code], n)
+        self._forget()
+        self._add(words, ids, n)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each text's."""
@@ -97,7 +110,8 @@ class Encoder:
         at, end = len(self.known), len(self.known) + len(words)
         self.pool = self._grown(self.pool, self.used + len(ids))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.first, self.size = self._grown(self.first, end), self._grown(self.size, end)
+        self.first, self.size, self.again = (self._grown(a, end) for a in (self.first, self.size, self.again))
+        self.again[at:end] = False
         self.first[at:end] = self.used + np.cumsum(n) - n
         self.size[at:end] = n
         self.used += len(ids)
@@ -158,7 +172,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` one after the other, ``end_id`` behind each text, and the number of ids of each text."""
         if len(self.known) > self.MOST_PIECES:
-            self._forget()
+            self._shrink()
         lists = self._pieces(texts.fill_null(""))
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
@@ -167,6 +181,7 @@ class Encoder:
         later = np.bincount(of, minlength=len(words)) > np.bincount(opening, minlength=len(words))
         code = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = later & (code < 0)
+        self.again[code[code >= 0]] = True
         long = new & (pc.binary_length(coded.dictionary).to_numpy() > self.LONGEST)  # not worth remembering
         simple = pc.utf8_is_alnum(coded.dictionary).to_numpy(zero_copy_only=False)
         pick = lambda mask: list(compress(words, mask.tolist()))
@@ -280,7 +295,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, out_dir: str, shards: int
         order.append(F.col("row"))
     placed = text.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     placed = placed.select("doc_id", "text")
-    return materialize(placed.mapInArrow(tidy(_write(tokenizer_path, out_dir, end_id, 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4)), ENTRY), "manifest")
+    write = tidy(_write(tokenizer_path, out_dir, end_id, 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4))
+    with small_batches(spark):
+        return materialize(placed.mapInArrow(write, ENTRY), "manifest")
 
 
 class PerfectHash:

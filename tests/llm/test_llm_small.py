@@ -927,3 +927,43 @@ def test_positions_invert_demand(spark):
     for g in (-0.5, 0.0, 0.5):
         t = spark.range(11).select((F.col("id") / 10).alias("u")).select("u", mixing.position(F.col("u"), F.lit(g)).alias("t")).collect()
         assert all(r.t + g * (r.t**2 - r.t) == pytest.approx(r.u) for r in t)
+
+
+def test_encoder_keeps_pieces_that_come_again(monkeypatch):
+    """A full memory lets go of what came once, not of what comes in every slice, and the ids stay the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens.Encoder, "MOST_PIECES", 600)
+    own, plain, rng = tokens.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path()), random.Random(3)
+    common_words, learnt = [f"word{i}s." for i in range(40)], []
+    monkeypatch.setattr(own, "_learn", lambda simple, words: (learnt.extend(simple + words), tokens.Encoder._learn(own, simple, words))[1])
+    for k in range(30):
+        texts = [" ".join(["x", *rng.sample(common_words, 30), f"{rng.randrange(10**9)}q", f"{k}\n{rng.random()}", "<|x|>"]) for _ in range(25)]
+        ids, n = own.encode(pa.array(texts), 2)
+        want = [[*e.ids, 2] for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(own.known) < 900
+    assert all(learnt.count(w) == 1 for w in common_words)
+    for _ in range(3):  # all of them come again: nothing to tell them apart, the memory starts over and stays bounded
+        many = [" ".join(["x", *(f"a{i}" for i in range(at, at + 200))]) for at in range(0, 1000, 200)]
+        assert own.encode(pa.array(many), 2)[0].tolist() == [i for e in plain.encode_batch(many, add_special_tokens=False) for i in [*e.ids, 2]]
+        assert len(own.known) <= 1800
+
+
+def test_long_texts_reach_the_encoder_in_small_batches(spark, monkeypatch):
+    """The token writer's tasks get some 2 MB at once, not 10,000 rows, and the session's setting is what it was, after an error too."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+
+    def write(df, what):
+        if what == "manifest":
+            rows = df.sparkSession.range(0, 4000, 1, 1).select(F.expr("repeat('abcdefgh', 500)").alias("text"))
+            seen.extend(r.n for r in rows.mapInArrow(sizes, "n long").collect())
+            raise RuntimeError("stop")
+
+    monkeypatch.setattr(tokens, "materialize", write)
+    with pytest.raises(RuntimeError, match="stop"):
+        tokens.write_shards(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_path(), common.new_dir(spark, "t"), distinct=True)
+    assert sum(seen) == 4000 and max(seen) < 1000
+    assert spark.conf.get(name) == before
