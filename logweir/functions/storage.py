@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,29 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(arrow_uri(uri))
 
 
+def _store(uri: str) -> tuple[str, str]:
+    """A file's store, as :func:`open_folder` takes it, and its name there, as it stands: nothing in it is an escape."""
+    scheme, host, name = re.fullmatch(r"(?:([a-z][a-z0-9+.-]*):)?(?://([^/]*))?/*(.*)", uri, re.S).groups()
+    return f"{scheme or 'file'}://{host or ''}/", name
+
+
+def open_file(uri: str, stores: dict[str, tuple[pafs.FileSystem, str]]) -> pa.NativeFile:
+    """A file's bytes as a stream; ``stores`` remembers the file systems that files were on."""
+    top, name = _store(uri)
+    if top not in stores:
+        stores[top] = open_folder(top)
+    fs, at = stores[top]
+    return fs.open_input_stream(f"{at.rstrip('/')}/{name}", compression=None)
+
+
+def readable(uris: list[str]) -> bool:
+    """Whether Arrow knows the stores of all these files; some only Spark does."""
+    try:
+        return all(open_folder(top) for top in {_store(u)[0] for u in uris})
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back; values such as row marks stay as written."""
     path = new_dir(df.sparkSession, what)

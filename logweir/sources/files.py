@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.storage import materialize
+from ..functions.storage import materialize, open_file
 from ..functions.text import base_name, matches_glob
 
 # Defaults of the listing.
@@ -16,18 +20,39 @@ INCLUDE = ["*.log", "*.log.[0-9]*", "*.txt"]
 EXCLUDE = ["*.gz", "*.zip", "*.bak", "*.tmp", "node_modules", ".git", "__pycache__"]
 MAX_DEPTH, DEEPEST, MAX_FILES, LARGE_BYTES = 10, 50, 500, 100 * 1024 * 1024
 UTF16_MARKS = (bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
+#: Up to this size a file isn't worth a task or a split of its own (by Spark's measure too: opening a file costs as much as reading this).
+WHOLE_BYTES = 4 * 1024 * 1024
+#: Names of files that Spark's reader of texts unpacks.
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
 
 
 def _wild(pattern: str) -> bool:
     return any(c in pattern for c in "*?[")
 
 
+def _few_tasks(spark: SparkSession) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+@contextmanager
+def listed_by_cores(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark lists files and folders in a few tasks a core, where its own number is a task for each, up to 10,000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), _few_tasks(spark)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def list_files(spark: SparkSession, root: str, **options) -> DataFrame:
     """``path, name, size, modified, is_large`` of the files below ``root``; ``options`` are those of :func:`select_files`.
 
     Contents aren't read; Spark's listing leaves out files of size 0.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    with listed_by_cores(spark):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).coalesce(_few_tasks(spark))  # dealt by sizes, as if they were read
     return select_files(listed.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")), root, **options)
 
 
@@ -113,13 +138,48 @@ def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     return narrow.unionByName(read_utf16_lines(spark, wide)) if wide else narrow
 
 
+def read_files(files: DataFrame) -> DataFrame:
+    """:func:`read_lines` of the files that ``files(path, size, modified)`` names, any number of them: names don't pass through the driver.
+
+    Files of up to ``WHOLE_BYTES`` are read whole, in the tasks that ``files`` has; the names of the larger and of packed ones, which are few for their size,
+    go to Spark's reader.  Stores are those that Arrow knows.
+    """
+    spark = files.sparkSession
+    other = F.coalesce(F.col("size") > WHOLE_BYTES, F.lit(True)) | F.rlike("path", F.lit(PACKED))
+    content = files.where(~other).select("path", "modified").mapInArrow(_contents, "path string, modified timestamp, content binary")
+    some = content.where("content NOT IN (x'', x'EFBBBF')")
+    lines = _numbered(some, f"if(substring(content, 1, 2) IN (x'FFFE', x'FEFF'), decode(content, 'UTF-16'), make_valid_utf8(regexp_replace(CAST(content AS string), '^\ufeff{{1,2}}', '')))")
+    names = sorted(re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in files.where(other).select("path").collect())  # else they are patterns
+    if not names:
+        return lines
+    named = F.url_decode(F.replace("source_file", F.lit("+"), F.lit("%2B")))  # Spark's metadata have names as in a URL
+    return lines.unionByName(read_lines(spark, names).withColumn("source_file", named))
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``content`` to ``path, modified``, some megabytes a batch, in the tasks."""
+    stores: dict = {}
+    for b in batches:
+        held, size = [], 0
+        for i, path in enumerate(b.column("path").to_pylist(), 1):
+            with open_file(path, stores) as f:
+                held.append(f.read())
+            size += len(held[-1])
+            if size >= WHOLE_BYTES or i == b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.slice(i - len(held), len(held)).columns, pa.array(held, pa.binary())], ["path", "modified", "content"])
+                held, size = [], 0
+
+
+def _numbered(files: DataFrame, text: str) -> DataFrame:
+    """The lines of ``text``, SQL for the decoded content of each of ``files(path, modified, ...)``: a batch of new files is planned in half the time of columns."""
+    lines = files.selectExpr("path AS source_file", "modified AS file_modified", f"posexplode(split(regexp_replace({text}, '\\n\\\\z', ''), '\\n')) AS (i, line)")
+    return lines.selectExpr("source_file", "i + 1L AS line_number", "regexp_replace(line, '\\r$', '') AS line", "file_modified")
+
+
 def utf16_lines(files: DataFrame) -> DataFrame:
     """Lines of ``files(path, content, modified)`` whose content begins with a UTF-16 byte order mark."""
-    text = F.regexp_replace(F.decode("content", "UTF-16"), "\n\\z", "")
     own = files.where(F.substring("content", 1, 2).isin(*UTF16_MARKS))
-    return own.select(F.col("path").alias("source_file"), F.col("modified").alias("file_modified"), F.posexplode(F.split(text, "\n")).alias("i", "line")).select(
-        "source_file", (F.col("i") + 1).cast("long").alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line"), "file_modified"
-    )
+    return _numbered(own, "decode(content, 'UTF-16')")
 
 
 def read_utf16_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -8,11 +8,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialize
+from ..functions.storage import materialize, readable
 from ..functions.text import matches_glob, normalize_message
 from ..operators.detect import detect_formats
 from ..operators.parse import only_errors, parse_all, parse_lines
-from ..sources.files import EXCLUDE, INCLUDE, below, newest, read_lines
+from ..sources.files import EXCLUDE, INCLUDE, below, newest, read_files, read_lines
 from ..sources.profiles import Profile
 
 TAIL_FILES, NEW_FILES = 100, 1000
@@ -70,10 +70,14 @@ def watch_new_files(
 def lines_of_files(files: DataFrame) -> DataFrame | None:
     """The numbered, decoded lines of a batch of :func:`watch_new_files`; None without files.
 
-    Only names pass through the driver, as many as a batch has; each file is read in splits, or whole if it is UTF-16.
+    Only names pass through the driver, as many as a batch has; small files are read whole, large ones in splits, or whole if they are UTF-16.
     """
-    paths = sorted(r.path for r in files.select("path").collect())
-    return read_lines(files.sparkSession, paths) if paths else None
+    # A batch is listed anew for each action; what is read is what was listed first.
+    listed = files.select("path", "modified", "size").coalesce(files.sparkSession.sparkContext.defaultParallelism).toArrow()
+    paths = listed.column("path").to_pylist()
+    if not paths:
+        return None
+    return read_files(files.sparkSession.createDataFrame(listed)) if readable(paths) else read_lines(files.sparkSession, sorted(paths))
 
 
 def follow_new_files(

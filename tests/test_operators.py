@@ -1,3 +1,4 @@
+import gzip
 import json
 import random
 import re
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from logweir.functions.text import NORMALISED, fuzzy, glob_regex, severity_rank
 from logweir.operators import analyse, correlate, detect, filters, search, sinks
 from logweir.plans import registry
+from logweir.sources import files as source_files
 from logweir.sources.event_xml import read_event_xml
-from logweir.sources.files import list_files, mark_chosen, newest, not_loaded, read_lines, read_utf16_lines, search_files
+from logweir.sources.files import list_files, mark_chosen, newest, not_loaded, read_files, read_lines, read_utf16_lines, search_files
 from logweir.sources.profiles import builtin_profiles
 
 T = datetime(2024, 1, 15, 14, 30, tzinfo=timezone.utc)
@@ -134,6 +136,28 @@ def test_files(spark, tmp_path):
     assert [(r.line_number, r.line) for r in read_utf16_lines(spark, str(tmp_path / "w.txt")).collect()] == [(1, "é"), (2, "ü")]
 
 
+@pytest.mark.parametrize("whole", [None, 20])
+def test_files_named_by_a_table(spark, tmp_path, monkeypatch, whole):
+    """Read whole or in splits, the lines are those of the splitting reader; names stand for themselves, whatever is in them."""
+    if whole:
+        monkeypatch.setattr(source_files, "WHOLE_BYTES", whole)
+    content = {
+        "a.log": b"one\r\ntwo\n\nthree", "cr.log": b"x\r\r\n\r\n", "mark.log": b"\xef\xbb\xbffirst\n\xef\xbb\xbfsecond\n", "only_mark.log": b"\xef\xbb\xbf", "break.log": b"\n",
+        "bad.log": b"a \xe2\x28\xa1 \xf0\x9f\x98\n\xed\xa0\x80 \xc0\xaf\n \xff\xfe", "w.log": "w\u00e4\r\nide\n\n".encode("utf-16"), "g.log.gz": gzip.compress(b"packed\nlines of text\n" * 3),
+    }
+    for name, text in content.items():
+        (tmp_path / name).write_bytes(text)
+    rows = lambda lines: sorted((r.source_file, r.line_number, r.line, r.file_modified) for r in lines.collect())
+    every = list_files(spark, str(tmp_path), include=[], exclude=[])
+    assert rows(read_files(every)) == rows(read_lines(spark, str(tmp_path))) != []
+    odd = tmp_path / "b c"
+    odd.mkdir()
+    for name in ("q[1].log", "y %20+z.log", "ü.log"):
+        (odd / name).write_text(f"in {name}\nand more of it\n")
+    got = {(r.source_file.removeprefix("file:"), r.line) for r in read_files(list_files(spark, str(odd))).where("line_number = 1").collect()}
+    assert got == {(f"{odd}/{name}", f"in {name}") for name in ("q[1].log", "y %20+z.log", "ü.log")}
+
+
 def test_line_numbers_over_splits(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"{k}.log").write_text("".join(f"file {k} line {i + 1}\n" for i in range(200)))

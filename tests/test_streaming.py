@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from logweir.sources.files import list_files
 from logweir.sources.profiles import builtin_profiles
 from logweir.streaming import follow, mtimes, tail
 
@@ -186,6 +187,33 @@ def test_new_files_are_parsed_as_they_appear(spark, tmp_path):
     assert got == []
 
 
+def test_a_batch_of_new_files_is_two_jobs(spark, tmp_path):
+    """One for its names, one for what is done with its lines, however many files; a job costs more than small files do."""
+    for i in range(40):
+        (tmp_path / f"a {i}.log").write_text("2024-01-15 14:30:22,123 ERROR [m] a.B - x\n" * 5)
+    batch = list_files(spark, str(tmp_path))
+    spark.sparkContext.setJobGroup("new-files", "")
+    try:
+        lines = follow.lines_of_files(batch)
+        lines.select("source_file", "line_number", "line").write.parquet(str(tmp_path / "out"))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("new-files")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 3  # the local table of names may be one
+    read = spark.read.parquet(str(tmp_path / "out"))
+    assert read.count() == 200 and {r.source_file for r in read.select("source_file").distinct().collect()} == {f"file:{tmp_path}/a {i}.log" for i in range(40)}
+    assert follow.lines_of_files(batch.where("false")) is None
+
+
+def test_a_format_is_found_whatever_the_name(spark, tmp_path):
+    root, got = tmp_path / "logs", []
+    root.mkdir()
+    (root / "a b%20.log").write_text("2024-01-15 14:30:22,123 ERROR [m] a.B - x\n" * 25)
+    sink = lambda e, i: got.extend(r.profile_id for r in e.collect())
+    follow.follow_new_files(follow.watch_new_files(spark, str(root)), builtin_profiles(), sink, str(tmp_path / "c"), lambda: NOW, trigger={"availableNow": True}).awaitTermination()
+    assert got == ["log4j-default"] * 25
+
+
 def test_new_files_by_time_and_pattern(spark, tmp_path):
     root = tmp_path / "logs"
     root.mkdir()
