@@ -35,15 +35,17 @@ def _few_tasks(spark: SparkSession) -> int:
 
 
 @contextmanager
-def listed_by_cores(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile Spark lists files and folders in a few tasks a core, where its own number is a task for each, up to 10,000."""
-    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(int(before), _few_tasks(spark)))
+def listed_by_cores(spark: SparkSession, alone: int = 32) -> Iterator[None]:
+    """Meanwhile Spark lists files and folders in a few tasks a core, where its own number is a task for each, up to 10,000; ``alone`` are listed by the driver without a job."""
+    key = "spark.sql.sources.parallelPartitionDiscovery."
+    before = {k: spark.conf.get(key + k) for k in ("parallelism", "threshold")}
+    spark.conf.set(key + "parallelism", min(int(before["parallelism"]), _few_tasks(spark)))
+    spark.conf.set(key + "threshold", max(int(before["threshold"]), alone))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(key + k, v)
 
 
 def list_files(spark: SparkSession, root: str, **options) -> DataFrame:
@@ -144,16 +146,27 @@ def read_files(files: DataFrame) -> DataFrame:
     Files of up to ``WHOLE_BYTES`` are read whole, in the tasks that ``files`` has; the names of the larger and of packed ones, which are few for their size,
     go to Spark's reader.  Stores are those that Arrow knows.
     """
-    spark = files.sparkSession
     other = F.coalesce(F.col("size") > WHOLE_BYTES, F.lit(True)) | F.rlike("path", F.lit(PACKED))
-    content = files.where(~other).select("path", "modified").mapInArrow(_contents, "path string, modified timestamp, content binary")
+    names = [r.path for r in files.where(other).select("path").collect()]
+    return read_some(files.where(~other), names)
+
+
+def by_reader(files: pa.Table) -> tuple[pa.Table, list[str]]:
+    """Of ``files(path, size, modified)`` on the driver those that are read whole, and the names of others."""
+    other = [size is None or size > WHOLE_BYTES or bool(re.search(PACKED, path)) for path, size in zip(files["path"].to_pylist(), files["size"].to_pylist())]
+    return files.filter(pa.array([not x for x in other], pa.bool_())), files["path"].filter(pa.array(other, pa.bool_())).to_pylist()
+
+
+def read_some(whole: DataFrame, others: list[str]) -> DataFrame:
+    """The lines of the files ``whole(path, modified)``, each read at once, and of ``others``, read by Spark."""
+    content = whole.select("path", "modified").mapInArrow(_contents, "path string, modified timestamp, content binary")
     some = content.where("content NOT IN (x'', x'EFBBBF')")
-    lines = _numbered(some, f"if(substring(content, 1, 2) IN (x'FFFE', x'FEFF'), decode(content, 'UTF-16'), make_valid_utf8(regexp_replace(CAST(content AS string), '^\ufeff{{1,2}}', '')))")
-    names = sorted(re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in files.where(other).select("path").collect())  # else they are patterns
-    if not names:
+    lines = _numbered(some, "if(substring(content, 1, 2) IN (x'FFFE', x'FEFF'), decode(content, 'UTF-16'), make_valid_utf8(regexp_replace(CAST(content AS string), '^\ufeff{1,2}', '')))")
+    if not others:
         return lines
+    names = sorted(re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in others)  # else they are patterns
     named = F.url_decode(F.replace("source_file", F.lit("+"), F.lit("%2B")))  # Spark's metadata have names as in a URL
-    return lines.unionByName(read_lines(spark, names).withColumn("source_file", named))
+    return lines.unionByName(read_lines(whole.sparkSession, names).withColumn("source_file", named))
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from ..functions.storage import materialize, readable
 from ..functions.text import matches_glob, normalize_message
 from ..operators.detect import detect_formats
 from ..operators.parse import only_errors, parse_all, parse_lines
-from ..sources.files import EXCLUDE, INCLUDE, below, newest, read_files, read_lines
+from ..sources.files import EXCLUDE, INCLUDE, below, by_reader, newest, read_lines, read_some
 from ..sources.profiles import Profile
 
 TAIL_FILES, NEW_FILES = 100, 1000
@@ -77,7 +77,10 @@ def lines_of_files(files: DataFrame) -> DataFrame | None:
     paths = listed.column("path").to_pylist()
     if not paths:
         return None
-    return read_files(files.sparkSession.createDataFrame(listed)) if readable(paths) else read_lines(files.sparkSession, sorted(paths))
+    if not readable(paths):
+        return read_lines(files.sparkSession, sorted(paths))
+    whole, others = by_reader(listed)
+    return read_some(files.sparkSession.createDataFrame(whole), others)
 
 
 def follow_new_files(
